@@ -26,14 +26,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
-from stratawell.llm.arrow_map import map_batches
+from stratawell.llm.arrow_map import column, map_batches, to_arrow_schema
+from stratawell.session import ship
 
 LONG_WORD = 192
 #: Chunks a worker remembers before it forgets those not met lately; a memory bound, results don't depend on it.
-REMEMBER = 400_000
+REMEMBER = 900_000
 #: New chunks per DuckDB query; a memory bound.
-QUERY_CHUNKS = 60_000
+QUERY_CHUNKS = 120_000
 #: White space as the split pattern means it (Unicode White_Space).
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
@@ -42,18 +44,20 @@ ENCODE_SQL = """
 WITH RECURSIVE step(wid, pos, tok, live) AS (
   SELECT wid, pos, tok, true FROM start_rows
   UNION ALL
-  SELECT wid, pos, CASE WHEN hit = pos THEN CAST(best >> 32 AS INTEGER) ELSE tok END, best IS NOT NULL
-  FROM (
-    SELECT *, best & 4294967295 AS hit
-    FROM (
-      SELECT p.wid, p.pos, p.tok, p.prev, min((m.merged << 32) | p.pos) OVER (PARTITION BY p.wid) AS best
+  (
+    WITH paired AS (
+      SELECT p.wid, p.pos, p.tok, p.prev, (m.merged << 32) | p.pos AS pair
       FROM (
         SELECT wid, pos, tok, lead(tok) OVER w AS nxt, lag(pos) OVER w AS prev
         FROM step WHERE live WINDOW w AS (PARTITION BY wid ORDER BY pos)
       ) p LEFT JOIN merges m ON m.l = p.tok AND m.r = p.nxt
+    ), best AS (
+      SELECT wid, min(pair) AS pair FROM paired WHERE pair IS NOT NULL GROUP BY wid
     )
+    SELECT p.wid, p.pos, CASE WHEN b.pair & 4294967295 = p.pos THEN CAST(b.pair >> 32 AS INTEGER) ELSE p.tok END, b.pair IS NOT NULL
+    FROM paired p LEFT JOIN best b ON b.wid = p.wid
+    WHERE b.pair IS NULL OR p.prev IS NULL OR p.prev <> b.pair & 4294967295
   )
-  WHERE hit IS NULL OR prev IS NULL OR prev <> hit
 )
 SELECT wid, string_agg(CAST(tok AS VARCHAR), ' ' ORDER BY pos) AS ids, count(*) AS n FROM step WHERE NOT live GROUP BY wid ORDER BY wid
 """
@@ -84,7 +88,7 @@ class Codec:
         l, r, m = map(np.array, zip(*pairs))
         self.db = duckdb.connect(":memory:")
         self.db.execute("SET threads = 1")
-        self.db.execute("SET memory_limit = '400MB'")
+        self.db.execute("SET memory_limit = '500MB'")
         self.db.register("merge_rows", pa.table({"l": pa.array(l, pa.int32()), "r": pa.array(r, pa.int32()), "merged": pa.array(m, pa.int64())}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
         self.db.register("vocab_rows", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in ranks])}))
@@ -166,26 +170,36 @@ class Codec:
         for a in range(0, len(chunks), QUERY_CHUNKS):
             part = chunks[a : a + QUERY_CHUNKS]
             pieces = [self.find(c) for c in part]
-            words = list(dict.fromkeys(p for ps in pieces for p in ps))
-            got = {w: x for w, (x, _) in zip(words, self.encode_words([w.encode() for w in words]))}
-            ids = [got[ps[0]] if len(ps) == 1 else " ".join([got[p] for p in ps]) for ps in pieces]
-            self.ids.update(zip(part, ids))
-            self.back.update(zip(part, self.decode_rows(ids)))
+            words = [w for w in dict.fromkeys(p for ps in pieces for p in ps) if w not in self.ids]
+            encoded = [x for x, _ in self.encode_words([w.encode() for w in words])]
+            self.ids.update(zip(words, encoded))
+            self.back.update(zip(words, self.decode_rows(encoded)))
+            ids, back = self.ids, self.back
+            for c, ps in zip(part, pieces):
+                if len(ps) > 1:
+                    ids[c], back[c] = " ".join([ids[p] for p in ps]), b"".join([back[p] for p in ps])
 
     def texts(self, texts: list[str | None]) -> Iterator[tuple[int, str, bytes]]:
-        """Number of tokens, ids joined by spaces and decoded bytes of each text."""
-        cut = [CHUNK.findall(t) if t else [] for t in texts]
-        met = set().union(*cut)
-        if len(self.ids) > REMEMBER:  # what recent texts hold stays
-            keep = (met | self.recent) & self.ids.keys()
-            self.ids, self.back = {c: self.ids[c] for c in keep}, {c: self.back[c] for c in keep}
-            self.recent = set()
-        if len(self.recent) < REMEMBER // 4:
-            self.recent |= met
-        if new := met - self.ids.keys():
+        """Number of tokens, ids joined by spaces and decoded bytes of each text; new chunks take one query for all texts."""
+        cut = CHUNK.findall
+        new: set[str] = set()
+        for a, b in runs(texts):
+            met: set[str] = set()
+            for t in texts[a:b]:
+                if t:
+                    met.update(cut(t))
+            new |= met.difference(self.ids)
+            if len(self.recent) < REMEMBER // 3:
+                self.recent |= met
+        if len(self.ids) + len(new) > REMEMBER:  # what recent texts hold stays
+            keep = self.recent & self.ids.keys()
+            self.ids, self.back, self.recent = {c: self.ids[c] for c in keep}, {c: self.back[c] for c in keep}, set()
+            new = set().union(*[set(cut(t)) - self.ids.keys() for t in texts if t])
+        if new:
             self.learn(sorted(new))
         ids, back = self.ids.__getitem__, self.back.__getitem__
-        for cs in cut:
+        for t in texts:
+            cs = cut(t) if t else []
             line = " ".join(map(ids, cs))
             yield (line.count(" ") + 1 if cs else 0), line, b"".join(map(back, cs))
 
@@ -226,21 +240,37 @@ def encode_frame(df: DataFrame, ranks_path: str | None = None, pattern: str | No
     head = ", ".join(f"`{k}` {types[k]}" for k in keys)
     schema = f"{head}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
-    def make():
-        def work(batch):
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            for a, b in runs(texts):
-                code = codec(key, sent.value, pattern)
-                rows = list(code.texts(texts[a:b]))
-                out = {k: batch.column(i).slice(a, b - a) for i, k in enumerate(keys)}
-                out |= {"n_tokens": [n for n, _, _ in rows], "ids_sha256": [hashlib.sha256(x.encode()).hexdigest() for _, x, _ in rows], "decoded_sha256": [hashlib.sha256(y).hexdigest() for _, _, y in rows]}
+    def run(batches):
+        code, at = codec(key, sent.value, pattern), len(keys)
+        for held in gathered(batches, at):
+            texts = [t for x in held for t in x.column(at).to_pylist()]
+            rows = code.texts(texts)
+            for x in held:
+                got = [next(rows) for _ in range(x.num_rows)]
+                out = [x.column(i) for i in range(at)]
+                out += [[n for n, _, _ in got], [hashlib.sha256(i.encode()).hexdigest() for _, i, _ in got], [hashlib.sha256(y).hexdigest() for _, _, y in got]]
                 if with_ids:
-                    out["ids"] = [np.array(x.split(), np.int32) for _, x, _ in rows]
-                yield out
-
-        return work
-
-    return map_batches(df.select(*[F.col(k) for k in keys], F.col(text).alias("__text")), make, schema)
+                    out.append([np.array(i.split(), np.int32) for _, i, _ in got])
+                yield pa.RecordBatch.from_arrays([column(v, f.type) for v, f in zip(out, arrow)], schema=arrow)
+
+    ship(df.sparkSession)
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    return df.select(*[F.col(k) for k in keys], F.col(text).alias("__text")).mapInArrow(run, schema)
+
+
+def gathered(batches, at: int, limit: int = 24 << 20) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of about limit text bytes, in rows of at most 1000."""
+    held, size = [], 0
+    for batch in batches:
+        for a in range(0, batch.num_rows, 1000):
+            part = batch.slice(a, 1000)
+            held.append(part)
+            size += part.column(at).nbytes
+            if size >= limit:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
 
 def decode_frame(df: DataFrame, ranks_path: str | None = None, ids: str = "ids", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -84,10 +84,10 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 class Words:
     """The words of consecutive rows: start, end, row and hash of each, words per row."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE, prefixes: tuple[int, ...] = ()):
         n, rows = len(data), len(offsets) - 1
         self.rows = rows
-        space = SPACE[data]
+        space = separators[data]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         solid = ~space
@@ -103,8 +103,18 @@ class Words:
         up, down = powers(n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(CODES[data] * up[:n], out=total[1:])
-        h = (total[self.end] - total[self.start]) * down[self.start]
-        self.hash = mix(h ^ ((self.end - self.start).astype(np.uint64) << np.uint64(40)))
+
+        def hashed(end):
+            h = (total[end] - total[self.start]) * down[self.start]
+            return mix(h ^ ((end - self.start).astype(np.uint64) << np.uint64(40)))
+
+        self.hash = hashed(self.end)
+        #: Hashes of the first k bytes of each word of more than k bytes, with the words' positions.
+        self.prefix = []
+        for k in prefixes:
+            long = np.flatnonzero(self.end - self.start > k)
+            h = hashed(np.minimum(self.start + k, self.end))[long]
+            self.prefix.append((long, mix(h + np.uint64(k))))
 
     def shingles(self, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
         """Row and hash of every window of width words; a shorter row is one window of all its words."""

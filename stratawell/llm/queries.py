@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from stratawell.llm import avi, bpe
+from stratawell.llm import avi, bpe, minhash, mixing, ngram_lm, quality_cnn, toxicity
 
 QUERIES = {
+    "op2_counterfactual": toxicity.op2_counterfactual,
+    "op3_minhash": minhash.op3_minhash,
+    "op5_golden_mix": mixing.op5_golden_mix,
+    "op6_bloom_lm": ngram_lm.op6_bloom_lm,
+    "op8_byte_cnn": quality_cnn.op8_byte_cnn,
     "op9_avi_shots": avi.op9_avi_shots,
     "op10_bpe": bpe.op10_bpe,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op3_minhash": minhash.OP3_SQL,
+    "op5_golden_mix": mixing.OP5_SQL,
+}

@@ -33,7 +33,7 @@ from stratawell.session import ship
 
 LONG_WORD = 192
 #: Chunks a worker remembers before it forgets those not met lately; a memory bound, results don't depend on it.
-REMEMBER = 900_000
+REMEMBER = 1_300_000
 #: New chunks per DuckDB query; a memory bound.
 QUERY_CHUNKS = 120_000
 #: White space as the split pattern means it (Unicode White_Space).
@@ -83,6 +83,7 @@ class Codec:
 
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
+        self.plain = self.find(" ab é日.") == [" ab", " é日", "."]
         self.byte_id = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         pairs = [(a, b, r) for t, r in ranks.items() for k in range(1, len(t)) if (a := ranks.get(t[:k])) is not None and (b := ranks.get(t[k:])) is not None]
         l, r, m = map(np.array, zip(*pairs))
@@ -95,7 +96,6 @@ class Codec:
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM vocab_rows")
         self.ids: dict[str, str] = {}
         self.back: dict[str, bytes] = {}
-        self.recent: set[str] = set()
 
     def encode_words(self, words: list[bytes]) -> list[tuple[str, int]]:
         """Ids, joined by spaces, and their number for each word of the split pattern."""
@@ -165,11 +165,21 @@ class Codec:
             out[i] = bytes.fromhex(h)
         return out
 
+    def split(self, chunk: str) -> list[str]:
+        """The matches of the split pattern; for a space and letters, and one mark after them, without the pattern."""
+        word, last = chunk[1:-1], chunk[-1]
+        if chunk[0] == " " and (not word or word.isalpha()) and self.plain:
+            if last.isalpha():
+                return [chunk]
+            if word and last in ".,":
+                return [chunk[:-1], last]
+        return self.find(chunk)
+
     def learn(self, chunks: list[str]) -> None:
         """Adds new chunks to what is known."""
         for a in range(0, len(chunks), QUERY_CHUNKS):
             part = chunks[a : a + QUERY_CHUNKS]
-            pieces = [self.find(c) for c in part]
+            pieces = [self.split(c) for c in part]
             words = [w for w in dict.fromkeys(p for ps in pieces for p in ps) if w not in self.ids]
             encoded = [x for x, _ in self.encode_words([w.encode() for w in words])]
             self.ids.update(zip(words, encoded))
@@ -181,25 +191,17 @@ class Codec:
 
     def texts(self, texts: list[str | None]) -> Iterator[tuple[int, str, bytes]]:
         """Number of tokens, ids joined by spaces and decoded bytes of each text; new chunks take one query for all texts."""
-        cut = CHUNK.findall
-        new: set[str] = set()
-        for a, b in runs(texts):
-            met: set[str] = set()
-            for t in texts[a:b]:
-                if t:
-                    met.update(cut(t))
-            new |= met.difference(self.ids)
-            if len(self.recent) < REMEMBER // 3:
-                self.recent |= met
-        if len(self.ids) + len(new) > REMEMBER:  # what recent texts hold stays
-            keep = self.recent & self.ids.keys()
-            self.ids, self.back, self.recent = {c: self.ids[c] for c in keep}, {c: self.back[c] for c in keep}, set()
-            new = set().union(*[set(cut(t)) - self.ids.keys() for t in texts if t])
+        cut = [CHUNK.findall(t) if t else () for t in texts]
+        met: set[str] = set().union(*cut)
+        new = met.difference(self.ids)
+        if len(self.ids) + len(new) > REMEMBER:  # what these texts hold stays
+            keep = met.difference(new)
+            self.ids, self.back = {c: self.ids[c] for c in keep}, {c: self.back[c] for c in keep}
+        del met
         if new:
             self.learn(sorted(new))
         ids, back = self.ids.__getitem__, self.back.__getitem__
-        for t in texts:
-            cs = cut(t) if t else []
+        for cs in cut:
             line = " ".join(map(ids, cs))
             yield (line.count(" ") + 1 if cs else 0), line, b"".join(map(back, cs))
 
@@ -214,18 +216,6 @@ def codec(key: int, table: dict[bytes, int], pattern: str) -> Codec:
     return _codecs[key]
 
 
-def runs(texts, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about limit characters."""
-    a = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= limit:
-            yield a, i + 1
-            a, size = i + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
-
-
 def encode_frame(df: DataFrame, ranks_path: str | None = None, pattern: str | None = None, text: str = "text", keys: tuple[str, ...] = ("doc_id",), with_ids: bool = True) -> DataFrame:
     """Keys, ids (unless with_ids is false), n_tokens and digests of ids and decoded bytes, a row per row of df.
 
@@ -258,7 +248,7 @@ def encode_frame(df: DataFrame, ranks_path: str | None = None, pattern: str | No
     return df.select(*[F.col(k) for k in keys], F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
-def gathered(batches, at: int, limit: int = 24 << 20) -> Iterator[list[pa.RecordBatch]]:
+def gathered(batches, at: int, limit: int = 14 << 20) -> Iterator[list[pa.RecordBatch]]:
     """Batches in lists of about limit text bytes, in rows of at most 1000."""
     held, size = [], 0
     for batch in batches:

@@ -154,6 +154,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
 
 
+def one_per_group(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose id is the smallest of its group, repeated rows once; rows without an id all stay."""
+    docs = docs.filter("doc_id IS NOT NULL"), docs.filter("doc_id IS NULL")
+    kept = stash(near_duplicates(docs[0]).filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    # Only texts of repeated ids are shuffled.
+    single = docs[0].join(kept.filter("n = 1").select("doc_id"), "doc_id", "left_semi")
+    several = docs[0].join(kept.filter("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates()
+    return single.unionByName(several).unionByName(docs[1])
+
+
 def op3_minhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

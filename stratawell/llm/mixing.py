@@ -128,6 +128,25 @@ def sized(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     return stash(word_counts(keyed, ["rid", "doc_id", "source", *extra]).withColumn("sk", source_key()), "sizes")
 
 
+def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """docs as the mix takes them: a row per document and pass, the text cut to the words taken where that is not all.
+
+    A cut text is its words joined by single spaces, n_chars its length.
+    """
+    columns = docs.columns
+    docs = stash(docs.withColumn("__rid", F.monotonically_increasing_id()), "docs")
+    sizes = stash(word_counts(docs.withColumnRenamed("__rid", "rid"), ["rid", "doc_id", "source"]).withColumn("sk", source_key()), "sizes")
+    spans = mix(sizes, stash(targets(sizes), "targets"), block).groupBy("rid", "pass").agg(F.min("from_word").alias("__from"), F.max("to_word").alias("__to"))
+    spans = spans.join(sizes.select("rid", F.col("size").alias("__size")), "rid").withColumnRenamed("rid", "__rid").drop("pass")
+    whole = (F.col("__from") == 0) & (F.col("__to") == F.col("__size"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.array_join(F.slice(words, (F.col("__from") + 1).cast("int"), (F.col("__to") - F.col("__from")).cast("int")), " ")
+    out = docs.join(spans, "__rid").withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
+    return out.select(*columns)
+
+
 def op5_golden_mix(spark, sf_dir: str) -> DataFrame:
     sizes = sized(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
     goal = stash(targets(sizes), "targets")

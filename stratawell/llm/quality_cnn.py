@@ -144,18 +144,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int
     return fit_rows(list(zip((bytes(x) for x in got["x"].to_pylist()), got["label"].to_pylist())))
 
 
-def score_frame(docs: DataFrame, net: Net, keep: str = "doc_id") -> DataFrame:
+def score_frame(docs: DataFrame, net: Net, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep and score of each row of docs; the network (20 KB) goes with the tasks."""
+    sent, types = docs.sparkSession.sparkContext.broadcast(net), dict(docs.dtypes)
 
     def make():
+        fitted = sent.value
+
         def work(batch):
-            data, offsets = utf8(batch.column(1))
+            data, offsets = utf8(batch.column(len(keep)))
             for a, b in slices(offsets, 1 << 19):
-                yield {keep: batch.column(0).slice(a, b - a), "score": net.scores(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])}
+                score = fitted.scores(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                yield {k: batch.column(i).slice(a, b - a) for i, k in enumerate(keep)} | {"__score": score}
 
         return work
 
-    return map_batches(docs.select(keep, "text"), make, f"{keep} {dict(docs.dtypes)[keep]}, score double")
+    scored = map_batches(docs.select(*keep, F.col("text").alias("__text")), make, ", ".join(f"`{k}` {types[k]}" for k in keep) + ", __score double")
+    return scored.withColumnRenamed("__score", "score")
 
 
 def op8_byte_cnn(spark, sf_dir: str) -> DataFrame:

@@ -174,21 +174,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
     return fit_rows(rows, pairs, strength)
 
 
-def score_frame(docs: DataFrame, model: Model, keep: str = "doc_id") -> DataFrame:
+def score_frame(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep and score of each row of docs; the weights (8 MB) are broadcast."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, types = docs.sparkSession.sparkContext.broadcast(model), dict(docs.dtypes)
 
     def make():
-        m = sent.value
+        fitted = sent.value
 
         def work(batch):
-            data, offsets = utf8(batch.column(1))
+            data, offsets = utf8(batch.column(len(keep)))
             for a, b in slices(offsets):
-                yield {keep: batch.column(0).slice(a, b - a), "score": m.scores(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])}
+                score = fitted.scores(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                yield {k: batch.column(i).slice(a, b - a) for i, k in enumerate(keep)} | {"__score": score}
 
         return work
 
-    return map_batches(docs.select(keep, "text"), make, f"{keep} {dict(docs.dtypes)[keep]}, score double")
+    scored = map_batches(docs.select(*keep, F.col("text").alias("__text")), make, ", ".join(f"`{k}` {types[k]}" for k in keep) + ", __score double")
+    return scored.withColumnRenamed("__score", "score")
 
 
 def op2_counterfactual(spark, sf_dir: str) -> DataFrame:

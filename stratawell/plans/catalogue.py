@@ -1,4 +1,6 @@
 """All registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from stratawell.plans import interval_queries, model_queries, relational_queries, statistics_queries  # noqa: F401
+from stratawell.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,11 +17,12 @@ def to_arrow_schema(ddl_schema) -> pa.Schema:
     return convert(ddl_schema)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]], schema: str, keeps_codec: bool = False) -> DataFrame:
     """Runs make() once per task, then the function it returns on each batch.
 
     The function yields dicts of equal-length columns, which become batches of
-    the given schema.
+    the given schema.  Workers serve many stages: unless keeps_codec, what the
+    tokenizer remembers in this one is released first.
     """
     from pyspark.sql.types import StructType
 
@@ -29,6 +31,8 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
+        if "stratawell.llm.bpe" in sys.modules and not keeps_codec:
+            sys.modules["stratawell.llm.bpe"].release()
         work = make()
         for batch in batches:
             if batch.num_rows:

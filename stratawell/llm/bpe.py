@@ -6,7 +6,9 @@ Each task keeps the chunks it has met; for the new ones of a batch one DuckDB
 query per task and batch starts from token-position rows (a row per byte),
 joins neighbours with the merge table, contracts each word's leftmost pair of
 minimum rank, and repeats until no pair is left.  An ordered aggregation over
-the ids joined with the vocabulary gives the decoded bytes.
+the ids joined with the vocabulary decodes each new word; the decoded bytes have
+to be the word's own, so a text's decoded bytes are its decoded words joined,
+and only one copy of a word is held.
 
 Words of more than LONG_WORD bytes would take as many rounds as merges over as
 many rows; for those the same contraction runs on a heap.  Nothing is cut.
@@ -33,9 +35,9 @@ from stratawell.session import ship
 
 LONG_WORD = 192
 #: Chunks a worker remembers before it forgets those not met lately; a memory bound, results don't depend on it.
-REMEMBER = 1_300_000
+REMEMBER = 700_000
 #: New chunks per DuckDB query; a memory bound.
-QUERY_CHUNKS = 120_000
+QUERY_CHUNKS = 25_000
 #: White space as the split pattern means it (Unicode White_Space).
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
@@ -89,13 +91,13 @@ class Codec:
         l, r, m = map(np.array, zip(*pairs))
         self.db = duckdb.connect(":memory:")
         self.db.execute("SET threads = 1")
-        self.db.execute("SET memory_limit = '500MB'")
+        self.db.execute("SET memory_limit = '200MB'")
         self.db.register("merge_rows", pa.table({"l": pa.array(l, pa.int32()), "r": pa.array(r, pa.int32()), "merged": pa.array(m, pa.int64())}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
         self.db.register("vocab_rows", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in ranks])}))
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM vocab_rows")
         self.ids: dict[str, str] = {}
-        self.back: dict[str, bytes] = {}
+        self.hot: set[str] = set()
 
     def encode_words(self, words: list[bytes]) -> list[tuple[str, int]]:
         """Ids, joined by spaces, and their number for each word of the split pattern."""
@@ -182,33 +184,50 @@ class Codec:
             pieces = [self.split(c) for c in part]
             words = [w for w in dict.fromkeys(p for ps in pieces for p in ps) if w not in self.ids]
             encoded = [x for x, _ in self.encode_words([w.encode() for w in words])]
-            self.ids.update(zip(words, encoded))
-            self.back.update(zip(words, self.decode_rows(encoded)))
-            ids, back = self.ids, self.back
+            ids = self.ids
+            ids.update(zip(words, encoded))
+            for w, back in zip(words, self.decode_rows(encoded)):
+                if back != w.encode():
+                    raise ValueError(f"{w!r} does not come back from its ids")
             for c, ps in zip(part, pieces):
                 if len(ps) > 1:
-                    ids[c], back[c] = " ".join([ids[p] for p in ps]), b"".join([back[p] for p in ps])
+                    ids[c] = " ".join([ids[p] for p in ps])
 
     def texts(self, texts: list[str | None]) -> Iterator[tuple[int, str, bytes]]:
         """Number of tokens, ids joined by spaces and decoded bytes of each text; new chunks take one query for all texts."""
         cut = [CHUNK.findall(t) if t else () for t in texts]
         met: set[str] = set().union(*cut)
         new = met.difference(self.ids)
-        if len(self.ids) + len(new) > REMEMBER:  # what these texts hold stays
-            keep = met.difference(new)
-            self.ids, self.back = {c: self.ids[c] for c in keep}, {c: self.back[c] for c in keep}
+        met -= new
+        if len(self.hot) < REMEMBER // 2:
+            self.hot |= met
+        if len(self.ids) + len(new) > REMEMBER:  # what was met at least twice stays
+            keep = self.hot | met
+            self.ids, self.hot = {c: self.ids[c] for c in keep}, met
         del met
         if new:
             self.learn(sorted(new))
-        ids, back = self.ids.__getitem__, self.back.__getitem__
+        ids = self.ids.__getitem__
         for cs in cut:
             line = " ".join(map(ids, cs))
-            yield (line.count(" ") + 1 if cs else 0), line, b"".join(map(back, cs))
+            yield (line.count(" ") + 1 if cs else 0), line, "".join(cs).encode()
 
 
 _codecs: dict[int, Codec] = {}
 
 
+def release() -> None:
+    """Gives a worker's memory back when other work follows."""
+    if _codecs:
+        _codecs.clear()
+        import ctypes
+        import gc
+
+        gc.collect()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+
 def codec(key: int, table: dict[bytes, int], pattern: str) -> Codec:
     if key not in _codecs:
         _codecs.clear()
@@ -248,7 +267,7 @@ def encode_frame(df: DataFrame, ranks_path: str | None = None, pattern: str | No
     return df.select(*[F.col(k) for k in keys], F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
-def gathered(batches, at: int, limit: int = 14 << 20) -> Iterator[list[pa.RecordBatch]]:
+def gathered(batches, at: int, limit: int = 8 << 20) -> Iterator[list[pa.RecordBatch]]:
     """Batches in lists of about limit text bytes, in rows of at most 1000."""
     held, size = [], 0
     for batch in batches:
@@ -280,7 +299,7 @@ def decode_frame(df: DataFrame, ranks_path: str | None = None, ids: str = "ids",
 
         return work
 
-    return map_batches(df.select(*[F.col(k) for k in keys], F.col(ids).alias("__ids")), make, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", text string")
+    return map_batches(df.select(*[F.col(k) for k in keys], F.col(ids).alias("__ids")), make, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", text string", keeps_codec=True)
 
 
 def op10_bpe(spark, sf_dir: str) -> DataFrame:

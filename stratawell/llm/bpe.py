@@ -35,7 +35,7 @@ from stratawell.session import ship
 
 LONG_WORD = 192
 #: Chunks a worker remembers before it forgets those not met lately; a memory bound, results don't depend on it.
-REMEMBER = 700_000
+REMEMBER = 800_000
 #: New chunks per DuckDB query; a memory bound.
 QUERY_CHUNKS = 25_000
 #: White space as the split pattern means it (Unicode White_Space).
@@ -61,7 +61,8 @@ WITH RECURSIVE step(wid, pos, tok, live) AS (
     WHERE b.pair IS NULL OR p.prev IS NULL OR p.prev <> b.pair & 4294967295
   )
 )
-SELECT wid, string_agg(CAST(tok AS VARCHAR), ' ' ORDER BY pos) AS ids, count(*) AS n FROM step WHERE NOT live GROUP BY wid ORDER BY wid
+SELECT s.wid, string_agg(v.text, ' ' ORDER BY s.pos) AS ids, string_agg(v.hex, '' ORDER BY s.pos) AS hex
+FROM step s JOIN vocab v ON v.id = s.tok WHERE NOT s.live GROUP BY s.wid
 """
 
 DECODE_SQL = """
@@ -79,11 +80,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """Encoder and decoder of one rank table; one per Python worker."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int | None = None):
         import duckdb
         import regex
 
-        self.ranks = ranks
+        self.ranks, self.remember = ranks, remember or REMEMBER
         self.find = regex.compile(pattern).findall
         self.plain = self.find(" ab é日.") == [" ab", " é日", "."]
         self.byte_id = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
@@ -91,22 +92,22 @@ class Codec:
         l, r, m = map(np.array, zip(*pairs))
         self.db = duckdb.connect(":memory:")
         self.db.execute("SET threads = 1")
-        self.db.execute("SET memory_limit = '200MB'")
+        self.db.execute("SET memory_limit = '120MB'")
         self.db.register("merge_rows", pa.table({"l": pa.array(l, pa.int32()), "r": pa.array(r, pa.int32()), "merged": pa.array(m, pa.int64())}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
-        self.db.register("vocab_rows", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in ranks])}))
+        self.db.register("vocab_rows", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in ranks]), "text": pa.array(list(map(str, ranks.values())))}))
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM vocab_rows")
         self.ids: dict[str, str] = {}
         self.hot: set[str] = set()
 
-    def encode_words(self, words: list[bytes]) -> list[tuple[str, int]]:
-        """Ids, joined by spaces, and their number for each word of the split pattern."""
-        out: list[tuple[str, int]] = [("", 0)] * len(words)
+    def encode_words(self, words: list[bytes]) -> list[tuple[str, str]]:
+        """Ids, joined by spaces, and the decoded bytes in hex, for each word of the split pattern."""
+        out: list[tuple[str, str]] = [("", "")] * len(words)
         short = []
         for i, w in enumerate(words):
             if len(w) > LONG_WORD:
-                ids = self.contract_long(w)
-                out[i] = (" ".join(map(str, ids)), len(ids))
+                ids = " ".join(map(str, self.contract_long(w)))
+                out[i] = (ids, self.decode_rows([ids])[0].hex())
             else:
                 short.append(i)
         if short:
@@ -115,10 +116,9 @@ class Codec:
             wid = np.repeat(np.array(short, np.int32), size)
             pos = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
             self.db.register("start_rows", pa.table({"wid": wid, "pos": pos.astype(np.int64), "tok": self.byte_id[data]}))
-            got = self.db.execute(ENCODE_SQL).fetchnumpy()
+            for i, ids, back in self.db.execute(ENCODE_SQL).fetchall():
+                out[i] = (ids, back)
             self.db.unregister("start_rows")
-            for i, ids, n in zip(got["wid"].tolist(), got["ids"], got["n"].tolist()):
-                out[i] = (ids, n)
         return out
 
     def contract_long(self, word: bytes) -> list[int]:
@@ -183,12 +183,11 @@ class Codec:
             part = chunks[a : a + QUERY_CHUNKS]
             pieces = [self.split(c) for c in part]
             words = [w for w in dict.fromkeys(p for ps in pieces for p in ps) if w not in self.ids]
-            encoded = [x for x, _ in self.encode_words([w.encode() for w in words])]
-            ids = self.ids
-            ids.update(zip(words, encoded))
-            for w, back in zip(words, self.decode_rows(encoded)):
-                if back != w.encode():
+            raw, ids = [w.encode() for w in words], self.ids
+            for w, b, (x, back) in zip(words, raw, self.encode_words(raw)):
+                if back != b.hex():
                     raise ValueError(f"{w!r} does not come back from its ids")
+                ids[w] = x
             for c, ps in zip(part, pieces):
                 if len(ps) > 1:
                     ids[c] = " ".join([ids[p] for p in ps])
@@ -199,9 +198,9 @@ class Codec:
         met: set[str] = set().union(*cut)
         new = met.difference(self.ids)
         met -= new
-        if len(self.hot) < REMEMBER // 2:
+        if len(self.hot) < self.remember // 2:
             self.hot |= met
-        if len(self.ids) + len(new) > REMEMBER:  # what was met at least twice stays
+        if len(self.ids) + len(new) > self.remember:  # what was met at least twice stays
             keep = self.hot | met
             self.ids, self.hot = {c: self.ids[c] for c in keep}, met
         del met
@@ -228,29 +227,30 @@ def release() -> None:
             libc.malloc_trim(0)
 
 
-def codec(key: int, table: dict[bytes, int], pattern: str) -> Codec:
+def codec(key: int, table: dict[bytes, int], pattern: str, remember: int | None = None) -> Codec:
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(table, pattern)
+        _codecs[key] = Codec(table, pattern, remember)
     return _codecs[key]
 
 
-def encode_frame(df: DataFrame, ranks_path: str | None = None, pattern: str | None = None, text: str = "text", keys: tuple[str, ...] = ("doc_id",), with_ids: bool = True) -> DataFrame:
+def encode_frame(df: DataFrame, ranks_path: str | None = None, pattern: str | None = None, text: str = "text", keys: tuple[str, ...] = ("doc_id",), with_ids: bool = True, remember: int | None = None) -> DataFrame:
     """Keys, ids (unless with_ids is false), n_tokens and digests of ids and decoded bytes, a row per row of df.
 
-    The rank table (a fixed vocabulary of about 1 MB) is broadcast.
+    The rank table (a fixed vocabulary of about 1 MB) is broadcast.  remember bounds what a worker
+    holds, in place of REMEMBER.
     """
     import public_tokenizers
 
     path, pattern = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
     ranks = read_ranks(path)
-    sent, key = df.sparkSession.sparkContext.broadcast(ranks), hash((path, pattern, len(ranks)))
+    sent, key = df.sparkSession.sparkContext.broadcast(ranks), hash((path, pattern, len(ranks), remember))
     types = dict(df.dtypes)
     head = ", ".join(f"`{k}` {types[k]}" for k in keys)
     schema = f"{head}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches):
-        code, at = codec(key, sent.value, pattern), len(keys)
+        code, at = codec(key, sent.value, pattern, remember), len(keys)
         for held in gathered(batches, at):
             texts = [t for x in held for t in x.column(at).to_pylist()]
             rows = code.texts(texts)
@@ -267,7 +267,7 @@ def encode_frame(df: DataFrame, ranks_path: str | None = None, pattern: str | No
     return df.select(*[F.col(k) for k in keys], F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
-def gathered(batches, at: int, limit: int = 8 << 20) -> Iterator[list[pa.RecordBatch]]:
+def gathered(batches, at: int, limit: int = 6 << 20) -> Iterator[list[pa.RecordBatch]]:
     """Batches in lists of about limit text bytes, in rows of at most 1000."""
     held, size = [], 0
     for batch in batches:

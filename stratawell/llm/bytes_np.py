@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = (1 << 20) - 2
 
 _rng = np.random.default_rng(20240607)
 CODES = _rng.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
@@ -33,7 +33,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n; kept between calls up to 4 MiB entries."""
+    """base**i and base**-i modulo 2**64 for i < n; kept between calls up to 2**20 entries."""
     if len(_powers[0]) < n:
         size = 1 << (n - 1).bit_length()
         out = []
@@ -41,7 +41,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             step = np.full(size, b, np.uint64)
             step[0] = 1
             out.append(np.multiply.accumulate(step))
-        if size > 1 << 22:
+        if size > 1 << 20:
             return out[0][:n], out[1][:n]
         _powers[:] = out
     return _powers[0][:n], _powers[1][:n]

@@ -15,7 +15,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def local_session(cores: int = 8, partitions: int = 8, name: str = "stratawell") -> SparkSession:

@@ -30,7 +30,7 @@ from stratawell.llm.bytes_np import Words, distinct_pairs, slices, utf8
 BITS = 20
 DIM = 1 << BITS
 PREFIXES = (4, 6)
-SAMPLE, LAMBDA, L1, L2, STEPS = 6000, 5.0, 0.02, 0.2, 150
+SAMPLE, LAMBDA, L1, L2, STEPS = 5000, 5.0, 0.02, 0.2, 150
 THRESHOLD = 0.3
 
 GROUPS = (
@@ -92,19 +92,22 @@ class Model:
 
 
 class Sparse:
-    """Rows of feature lists, for products with a weight vector."""
+    """Rows of feature lists (all ones, or signed), for products with a weight vector."""
 
     def __init__(self, rows: list[np.ndarray], signs: list[np.ndarray] | None = None):
         self.n = len(rows)
-        self.row = np.repeat(np.arange(self.n), [len(x) for x in rows])
-        self.code = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        self.sign = np.concatenate(signs) if signs else np.ones(len(self.code))
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(x) for x in rows])
+        self.code = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
+        self.sign = np.concatenate(signs).astype(np.float32) if signs else None
+
+    def _signed(self, x: np.ndarray) -> np.ndarray:
+        return x if self.sign is None else x * self.sign
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.code] * self.sign, minlength=self.n)
+        return np.bincount(self.row, self._signed(w[self.code]), minlength=self.n)
 
     def back(self, d: np.ndarray, dim: int) -> np.ndarray:
-        return np.bincount(self.code, d[self.row] * self.sign, minlength=dim)
+        return np.bincount(self.code, self._signed(d[self.row]), minlength=dim)
 
 
 def fit_rows(rows: list[tuple[np.ndarray, int]], pairs: list[tuple[np.ndarray, np.ndarray]], strength: float = LAMBDA) -> Model:
@@ -123,13 +126,15 @@ def fit_rows(rows: list[tuple[np.ndarray, int]], pairs: list[tuple[np.ndarray, n
     full = Sparse([f for f, _ in rows])
     on, off = np.bincount(full.code, (y * weight)[full.row], minlength=DIM), np.bincount(full.code, ((1 - y) * weight)[full.row], minlength=DIM)
     used = np.flatnonzero(np.bincount(full.code, minlength=DIM) >= 2)
-    number = np.full(DIM, len(used), np.int64)
+    del full
+    number = np.full(DIM, len(used), np.int32)
     number[used] = np.arange(len(used))
     n_on, n_off = (y * weight).sum(), ((1 - y) * weight).sum()
     # Only signs of toxicity count: with weights below 0 a long text would drown the few words that make it toxic.
     scale = np.append(np.log((on[used] + 0.5) / (n_on + 1)) - np.log((off[used] + 0.5) / (n_off + 1)), 0.0)
     scale = np.maximum(scale, 0)
     x = Sparse([number[f] for f, _ in rows])
+    del rows
     swap = Sparse([np.concatenate([number[b], number[a]]) for a, b in pairs], [np.concatenate([np.ones(len(b)), -np.ones(len(a))]) for a, b in pairs])
     dim = len(used) + 1
     w, bias, total = np.zeros(dim), float(np.log(n_on / n_off)), weight.sum()
@@ -169,8 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
 
     chosen = labelled.sample(docs, labels, label, modulus, excluded, SAMPLE)
     got = map_batches(chosen.select("doc_id", "label", "text"), make, "doc_id bigint, label int, plain array<int>, swapped array<int>").toArrow().sort_by("doc_id")
-    rows = [(x.values.to_numpy().astype(np.int64), y) for x, y in zip(got["plain"], got["label"].to_pylist())]
-    pairs = [(p, x.values.to_numpy().astype(np.int64)) for (p, _), x in zip(rows, got["swapped"]) if x.is_valid]
+    rows = [(x.values.to_numpy(), y) for x, y in zip(got["plain"], got["label"].to_pylist())]
+    pairs = [(p, x.values.to_numpy()) for (p, _), x in zip(rows, got["swapped"]) if x.is_valid]
     return fit_rows(rows, pairs, strength)
 
 

@@ -158,7 +158,8 @@ def unit_fits(df: DataFrame, unit: str, features: list[str], response: str, free
                 rows += [row | {"feature": f, "coefficient": float(c), "n_folds": int((by_fold[:, i] != 0).sum()), "robust": bool(strong[i])} for i, (f, c) in enumerate(zip(features, w))]
             except Exception as e:
                 rows.append(row | {"status": f"{type(e).__name__}: {e}"[:200]})
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in UNIT_FIT.split(", ")])
+        out = pd.DataFrame(rows, columns=[c.split()[0] for c in UNIT_FIT.split(", ")])
+        return pd.DataFrame({c: pd.Series([None if pd.isna(v) else v for v in out[c]], dtype=object) for c in out})
 
     return df.groupBy(unit).applyInPandas(fit, UNIT_FIT)
 

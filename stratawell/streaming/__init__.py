@@ -1,0 +1 @@
+"""No streaming operators: the analyses this library covers have no streams."""

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from stratawell.session import ship
+
 
 def remainder(modulus: int, id_col: str = "doc_id"):
     """crc32 of the id's text modulo modulus; -1 for rows without an id."""
@@ -22,3 +28,20 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, exclude
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     # At most limit rows of 12 bytes: the broadcast is bounded.
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+
+
+def fit_in_task(rows: DataFrame, train: Callable[[pa.Table | None], object]):
+    """train(all rows as one table) in one executor task; only the model comes to the driver.
+
+    rows has to be a bounded sample.  Without rows train gets None.
+    """
+    ship(rows.sparkSession)
+
+    def run(batches):
+        got = [b for b in batches if b.num_rows]
+        if got:
+            model = pickle.dumps(train(pa.Table.from_batches(got)))
+            yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
+
+    out = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(out[0].model) if out else train(None)

@@ -2,12 +2,15 @@
 
 A text's bytes are cut into chunks of CHUNK bytes that overlap by OVERLAP and
 cover all of it.  Byte embeddings, learned filters over 8 bytes at every fourth
-byte, ReLU and a maximum over each chunk give chunk vectors; their maximum and
-their mean over the document meet in one logistic unit.
+byte, ReLU and a maximum over each chunk give chunk vectors.  One channel more
+tells how far a chunk repeats itself: the largest share, over LAGS and quarters
+of the chunk, of bytes that equal the byte a lag before.  The maximum and the
+mean of the chunk vectors over the document meet in one logistic unit.
 
-Fitting (Adam, fixed number of steps, fixed seed) runs on the driver on at most
+Fitting (Adam, fixed number of steps, fixed seed) runs in one task on at most
 SAMPLE labelled documents with at most SAMPLE_CHUNKS evenly spread chunks each
-(8 KB a document); scoring reads every byte of every text.
+(8 KB a document); some texts of label 1 are cut short in a step, so that short
+texts are not taken for bad ones.  Scoring reads every byte of every text.
 
 Nulls and empty texts are one chunk of padding and get its score.  Equal texts
 have equal scores.  Without labelled rows of both kinds the score is the share
@@ -26,8 +29,22 @@ from stratawell.llm.bytes_np import slices, utf8
 
 CHUNK, OVERLAP, STEP, FILTERS, WIDTH = 512, 64, 4, 32, 8
 STRIDE = CHUNK - OVERLAP
-SAMPLE, SAMPLE_CHUNKS, STEPS, DOCS = 4000, 16, 350, 64
+SAMPLE, SAMPLE_CHUNKS, STEPS, DOCS = 4000, 16, 500, 64
+CROPS = 0.12
 PAD = 256
+LAGS, QUARTER, ECHO = range(2, 21), 128, 4.0
+VECTOR = FILTERS + 1
+
+
+def echo(x: np.ndarray) -> np.ndarray:
+    """Per chunk the largest share of bytes equal to the byte a lag before, over lags and quarters, times ECHO."""
+    part = x[:, : CHUNK - CHUNK % QUARTER].reshape(-1, QUARTER)
+    size = np.maximum((part != PAD).sum(axis=1), 48)
+    best = np.zeros(len(part), np.int64)
+    for lag in LAGS:
+        same = (part[:, lag:] == part[:, :-lag]) & (part[:, lag:] != PAD)
+        np.maximum(best, np.count_nonzero(same, axis=1), out=best)
+    return (best / size).reshape(len(x), -1).max(axis=1).astype(np.float32) * ECHO
 
 
 def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +64,7 @@ class Net:
         r = np.random.default_rng(seed)
         self.p = {
             "emb": r.normal(0, 0.5, (257, WIDTH)), "w": r.normal(0, 0.25, (STEP * WIDTH, 2 * FILTERS)), "b": np.zeros(FILTERS),
-            "top": r.normal(0, 0.1, FILTERS), "mean": r.normal(0, 0.1, FILTERS), "bias": np.zeros(1),
+            "top": r.normal(0, 0.1, VECTOR), "mean": r.normal(0, 0.1, VECTOR), "bias": np.zeros(1),
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         self.p["emb"][PAD] = 0
@@ -61,7 +78,12 @@ class Net:
         return e, y[:, :-1, :FILTERS] + y[:, 1:, FILTERS:]
 
     def chunk_vectors(self, x: np.ndarray, step: int = 256) -> np.ndarray:
-        return np.concatenate([np.maximum(self.convolve(x[a : a + step])[1].max(axis=1) + self.p["b"], 0) for a in range(0, len(x), step)])
+        out = np.empty((len(x), VECTOR), self.p["b"].dtype)
+        for a in range(0, len(x), step):
+            part = x[a : a + step]
+            out[a : a + step, :FILTERS] = np.maximum(self.convolve(part)[1].max(axis=1) + self.p["b"], 0)
+            out[a : a + step, FILTERS] = echo(part)
+        return out
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Probability of label 1 of each row; rows with the same bytes get the same."""
@@ -80,12 +102,13 @@ class Net:
         e, r = self.convolve(x)
         at = r.argmax(axis=1)
         v = np.maximum(np.take_along_axis(r, at[:, None], 1)[:, 0] + p["b"], 0)
+        v = np.concatenate([v, echo(x)[:, None]], axis=1)
         top, mean = np.maximum.reduceat(v, first), np.add.reduceat(v, first) / count[:, None]
         z = top @ p["top"] + mean @ p["mean"] + p["bias"][0]
         d = ((1 / (1 + np.exp(-z)) - y) / len(y)).astype(np.float32)
         g = {"top": top.T @ d, "mean": mean.T @ d, "bias": d.sum(keepdims=True)}
         dv = d[doc][:, None] * (p["mean"] / count[doc][:, None] + p["top"] * (v == top[doc]))
-        dv = np.where(v > 0, dv, 0).astype(np.float32)
+        dv = np.where(v > 0, dv, 0)[:, :FILTERS].astype(np.float32)
         g["b"] = dv.sum(axis=0)
         n = np.arange(len(x))[:, None]
         left, right = e[n, at], e[n, at + 1]
@@ -98,6 +121,19 @@ class Net:
         return g
 
 
+def cropped(x: np.ndarray, r: np.random.Generator) -> np.ndarray:
+    """A short piece of a document's first chunk, from a word's start to a word's end where it has some."""
+    n = int((x[0] != PAD).sum())
+    cuts = np.flatnonzero(x[0, :n] == 32)
+    a = int(r.choice(cuts)) + 1 if len(cuts) and r.random() < 0.5 else 0
+    z = min(n, a + int(r.integers(15, 160)))
+    ends = cuts[(cuts > a + 4) & (cuts <= z)]
+    out = np.full((1, CHUNK), PAD, np.int16)
+    z = int(ends[-1]) if len(ends) else z
+    out[0, : z - a] = x[0, a:z]
+    return out
+
+
 def fit_rows(rows: list[tuple[bytes, int]], seed: int = 1) -> Net:
     """A network of (bytes of at most SAMPLE_CHUNKS chunks, label) rows."""
     net, y = Net(seed), np.array([label for _, label in rows], np.float32)
@@ -112,8 +148,8 @@ def fit_rows(rows: list[tuple[bytes, int]], seed: int = 1) -> Net:
         if len(order) < DOCS:
             order += r.permutation(len(xs)).tolist()
         take, order = order[:DOCS], order[DOCS:]
-        x = np.concatenate([xs[i] for i in take])
-        g = net.gradients(x, np.array([len(xs[i]) for i in take]), y[take])
+        parts = [cropped(xs[i], r) if y[i] == 1 and r.random() < CROPS else xs[i] for i in take]
+        g = net.gradients(np.concatenate(parts), np.array([len(x) for x in parts]), y[take])
         rate = 0.01 * min(1, t / 20) * (1 - 0.9 * t / STEPS)
         for k, v in net.p.items():
             q = g[k] + 1e-4 * v
@@ -140,8 +176,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int
         return work
 
     chosen = labelled.sample(docs, labels, label, modulus, excluded, SAMPLE)
-    got = map_batches(chosen.select("doc_id", "label", "text"), make, "doc_id bigint, label int, x binary").toArrow().sort_by("doc_id")
-    return fit_rows(list(zip((bytes(x) for x in got["x"].to_pylist()), got["label"].to_pylist())))
+    rows = map_batches(chosen.select("doc_id", "label", "text"), make, "doc_id bigint, label int, x binary")
+
+    def train(table):
+        if table is None:
+            return fit_rows([])
+        table = table.sort_by("doc_id")
+        return fit_rows(list(zip(table["x"].to_pylist(), table["label"].to_pylist())))
+
+    return labelled.fit_in_task(rows, train)
 
 
 def score_frame(docs: DataFrame, net: Net, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

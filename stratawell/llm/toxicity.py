@@ -7,8 +7,8 @@ text and its counterfactual, in which each identity term gives way to another
 term of its group.  Neutral sentences that name each identity term join the
 sample with label 0.  So neutral mentions of a group do not raise a score.
 
-Fitting takes at most SAMPLE labelled documents and all their words; scoring reads
-every word of every text.
+Fitting runs in one task on at most SAMPLE labelled documents and all their words;
+scoring reads every word of every text.
 
 Nulls, empty texts and texts without words have the intercept's score.  Equal
 texts have equal scores.  Without labelled rows of both kinds the score is the
@@ -79,6 +79,16 @@ class Model:
     def __init__(self, weights: np.ndarray | None, bias: float):
         self.weights, self.bias = weights, bias
 
+    def __getstate__(self):
+        w = self.weights
+        used = None if w is None else np.flatnonzero(w)
+        return {"used": used, "values": None if w is None else w[used], "bias": self.bias}
+
+    def __setstate__(self, state):
+        self.weights, self.bias = None if state["used"] is None else np.zeros(DIM), state["bias"]
+        if state["used"] is not None:
+            self.weights[state["used"]] = state["values"]
+
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         rows = len(offsets) - 1
         z = np.full(rows, self.bias)
@@ -173,10 +183,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
         return work
 
     chosen = labelled.sample(docs, labels, label, modulus, excluded, SAMPLE)
-    got = map_batches(chosen.select("doc_id", "label", "text"), make, "doc_id bigint, label int, plain array<int>, swapped array<int>").toArrow().sort_by("doc_id")
-    rows = [(x.values.to_numpy(), y) for x, y in zip(got["plain"], got["label"].to_pylist())]
-    pairs = [(p, x.values.to_numpy()) for (p, _), x in zip(rows, got["swapped"]) if x.is_valid]
-    return fit_rows(rows, pairs, strength)
+    rows = map_batches(chosen.select("doc_id", "label", "text"), make, "doc_id bigint, label int, plain array<int>, swapped array<int>")
+
+    def train(table):
+        if table is None:
+            return fit_rows([], [], strength)
+        table = table.sort_by("doc_id")
+        said = [x.values.to_numpy() for x in table["plain"]]
+        pairs = [(p, x.values.to_numpy()) for p, x in zip(said, table["swapped"]) if x.is_valid]
+        return fit_rows(list(zip(said, table["label"].to_pylist())), pairs, strength)
+
+    return labelled.fit_in_task(rows, train)
 
 
 def score_frame(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

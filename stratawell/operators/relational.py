@@ -63,14 +63,17 @@ def distinct_first(df: DataFrame, keys: list[str], columns: list[str], order: li
 def row_ids(df: DataFrame, order: list[Column], name: str = "row_id") -> DataFrame:
     """Numbers from 1 in a stable order, without a single-task sort.
 
-    Range partitions are numbered inside and shifted by the sizes before them.
+    Range partitions are numbered inside and shifted by the sizes before them; they are written once,
+    so both steps see the same ranges.
     """
+    from stratawell.session import stash
+
     parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ranged = df.repartitionByRange(int(parts), *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
+    ranged = stash(df.repartitionByRange(int(parts), *order).withColumn("__p", F.spark_partition_id()), "ranged")
     sizes = ranged.groupBy("__p").agg(F.count("*").alias("__c"))
     shift = sizes.select("__p", (F.sum("__c").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("__c")).alias("__s"))
     inside = ranged.withColumn("__i", F.row_number().over(W.partitionBy("__p").orderBy(*order)))
-    return inside.join(F.broadcast(shift), "__p").withColumn(name, F.col("__s") + F.col("__i")).drop("__p", "__s", "__i")
+    return inside.join(shift, "__p").withColumn(name, F.col("__s") + F.col("__i")).drop("__p", "__s", "__i")
 
 
 def occurs_once(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,13 +10,15 @@ similarity of at least 75 %, tested in integers on the full sets.
 2. Classes.  Rows with equal shingle sets form a class; only its smallest id
    goes on, so a group of copies of any size costs one row.
 3. Candidates.  A bucket (equal band values) gives links to a centre only, never
-   all pairs: its smallest id, and then, for members that the first round left
-   unlinked to them, two further centres chosen by the bucket's hash.
+   all pairs: first its smallest id; then, in buckets that still hold several
+   parts, up to CENTRES members outside the largest part, to members of other
+   parts that the triangle inequality allows to link.
 4. Links are confirmed on full sets; components follow.
 
 A pair at 75 % shares no band with probability (1 - 0.75**4)**32 < 6e-6.
-The stars leave out a pair only if both ends are linked with others, or in all
-shared buckets fail to be chosen as a centre.
+The stars miss a link between two parts only if in every bucket that its ends
+share neither end is a centre, that is, only in buckets with more than CENTRES
+members outside the largest part.
 
 Nulls, empty texts and texts without words have an empty set and link with
 nothing.  Repeated rows and repeated ids: rows with equal sets are one class; an id with
@@ -28,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from stratawell.llm.arrow_map import map_batches
 from stratawell.llm.bytes_np import Words, distinct_pairs, mix, slices, utf8
@@ -38,6 +40,7 @@ from stratawell.session import stash
 BANDS, ROWS, WIDTH = 32, 4, 5
 BINS = BANDS * ROWS
 PERCENT = 75
+CENTRES = 32
 
 _seq = np.random.default_rng(7).integers(0, BINS, (BINS, 64 * BINS))  # bin sequences of the empty bins
 
@@ -114,7 +117,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach PERCENT."""
+    """The pairs (a, b) that their sizes allow to link, with the verdict on full sets and the Jaccard distance."""
     sized = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n_shingles").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb")), "b")
     pairs = stash(sized.filter(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)"), "pairs")
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
@@ -122,7 +125,32 @@ def confirm(pairs: DataFrame, docs: DataFrame, sizes: DataFrame) -> DataFrame:
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     shared = both.select("a", "b", (F.size("sa") + F.size("sb")).cast("long").alias("total"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("both"))
-    return shared.filter(f"100 * both >= {PERCENT} * (total - both)").select("a", "b")
+    return shared.select("a", "b", F.expr(f"100 * both >= {PERCENT} * (total - both)").alias("linked"), F.expr("1 - both / (total - both)").alias("distance"))
+
+
+def rest_of_buckets(members: DataFrame, tested: DataFrame, parts: DataFrame, texts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Links (a, b) across the parts that the first stars left within a bucket.
+
+    Centres are a bucket's members outside its largest part, the first CENTRES of them in an order that
+    differs from bucket to bucket.  A pair is left out where distances to the bucket's first centre
+    differ by more than a link allows (Jaccard distance is a metric).
+    """
+    known = tested.select(F.col("a").alias("lo"), F.col("b").alias("id"), "distance")
+    part = parts.select(F.col("node").alias("id"), "component")
+    named = members.join(part, "id", "left").select("key", "id", "lo", F.coalesce("component", "id").alias("part"))
+    named = named.join(known, ["lo", "id"], "left").select("key", "id", "part", F.when(F.col("id") == F.col("lo"), F.lit(0.0)).otherwise(F.col("distance")).alias("d"))
+    named = stash(named, "named")
+    counts = named.groupBy("key", "part").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "part")).alias("top")).filter("parts > 1")
+    largest = stash(largest.select("key", F.col("top.part").alias("top")), "open")
+    own = W.partitionBy("key").orderBy(F.col("id").bitwiseXOR(F.col("key")), "id")
+    centres = named.join(largest, "key").filter("part <> top").withColumn("place", F.row_number().over(own)).filter(F.col("place") <= CENTRES)
+    centres = stash(centres.select("key", F.col("id").alias("centre"), F.col("part").alias("cpart"), F.col("d").alias("cd")), "centres")
+    near = F.coalesce(F.abs(F.col("d") - F.col("cd")) <= 1 - PERCENT / 100 + 1e-9, F.lit(True))
+    pairs = named.join(centres, (named["key"] == centres["key"]) & (F.col("part") != F.col("cpart")) & near)
+    pairs = pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    return confirm(pairs, texts, sizes).filter("linked").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -137,15 +165,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     sizes = classes.select(F.col("rep").alias("id"), "n_shingles")
     # A class stands for its texts: one row per id of a representative, whose text has the class's set.
     texts = base.join(sizes.select("id"), "id", "left_semi")
-    first = stash(confirm(members.filter("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct(), texts, sizes), "first")
-    near = stash(first.groupBy("b").agg(F.min("a").alias("hub")).select(F.col("b").alias("id"), "hub"), "near")
-    # Further centres of buckets that the first round left in more than one part.
-    named = members.join(near, "id", "left").select("key", "id", F.coalesce("hub", "id").alias("hub"))
-    open_ = named.groupBy("key").agg(F.min("hub").alias("h1"), F.max("hub").alias("h2"), F.count("*").alias("n"), F.min(F.col("id").bitwiseXOR(F.col("key"))).alias("c1"), F.max(F.col("id").bitwiseXOR(F.col("key"))).alias("c2"))
-    open_ = stash(open_.filter("h1 <> h2 AND n > 2").select("key", F.explode(F.array((F.col("c1").bitwiseXOR(F.col("key"))), (F.col("c2").bitwiseXOR(F.col("key"))))).alias("centre")), "open")
-    pairs = named.join(open_, "key").join(near.select(F.col("id").alias("centre"), F.col("hub").alias("chub")), "centre", "left").filter("id <> centre AND hub <> coalesce(chub, centre)")
-    pairs = pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    second = confirm(pairs, texts, sizes)
+    tested = confirm(members.filter("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct(), texts, sizes)
+    tested = stash(tested.groupBy("a", "b").agg(F.bool_or("linked").alias("linked"), F.min("distance").alias("distance")), "tested")
+    first = tested.filter("linked").select("a", "b")
+    second = stash(rest_of_buckets(members, tested, components(first), texts, sizes), "second")
     found = components(first.unionByName(second))
     of_class = classes.select("n_shingles", "fp1", "fp2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     of_class = stash(of_class.select("n_shingles", "fp1", "fp2", F.coalesce("component", "rep").alias("component_id")), "of_class")

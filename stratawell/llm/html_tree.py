@@ -63,7 +63,7 @@ WORDS = [
 BINS = (4, 25, 80, 200)
 N_BITS = len(WORDS) + 1
 SECTIONS = [TAG_ID[t] for t in "nav header footer aside form article main button ul ol table figure".split()]
-N_FEATURES = len(TAGS) * 2 + N_BITS * 2 + len(SECTIONS) + (len(BINS) + 1) + 4 + 3 + 2
+N_FEATURES = len(TAGS) * 2 + N_BITS * 2 + len(SECTIONS) + 8 + (len(BINS) + 1) + 4 + 3 + 2
 KINDS = 3  # child is a text run, a block that holds runs only, any other
 
 
@@ -248,6 +248,10 @@ class Forest:
             put(np.zeros(n, np.int64), 1, (self.bits >> b) & 1 == 1)
         for b in range(N_BITS + len(SECTIONS)):
             put(np.zeros(n, np.int64), 1, (self.above >> b) & 1 == 1)
+        # A header or form of the page and one of an article are told apart.
+        within = lambda *tags: sum(((self.above >> (N_BITS + SECTIONS.index(TAG_ID[t]))) & 1) for t in tags) > 0
+        for t in ("header", "form", "footer", "aside"):
+            put((within("article", "main")).astype(np.int64), 2, within(t) | (self.tag == TAG_ID[t]))
         put(np.searchsorted(BINS, self.chars, "right"), len(BINS) + 1)
         share = self.linked / np.maximum(self.chars, 1)
         put(np.searchsorted([0.01, 0.35, 0.75], share, "right"), 4)
@@ -331,7 +335,15 @@ def training_pages(n: int = 1000, seed: int = 11) -> list[tuple[str, list[tuple[
             return f'<div class="{r.choice(["share", "social", "follow-us", "tags", "byline", "meta", "author-box"])}">{say(words(1, 6), False)}</div>'
 
         def head():
-            body = r.choice([f"<div class=\"{r.choice(['logo', 'site-title', 'brand'])}\">{say(words(1, 3), False)}</div>", f"<p>{say(words(2, 8), False)}</p>", f"<h1>{say(words(1, 3), False)}</h1>", say(words(1, 6), False)])
+            kind = r.randrange(5)
+            if kind == 0:
+                body = f'<div class="{r.choice(["logo", "site-title", "brand"])}">{say(words(1, 3), False)}</div>'
+            elif kind == 1:
+                body = f"<p>{say(words(2, 8), False)}</p>"
+            elif kind < 4:
+                body = f"<h1>{say(words(1, 3), False)}</h1>" + (f"<p>{say(noise_text(1, 1), False)}</p>" if kind == 3 else "")
+            else:
+                body = say(words(1, 6), False)
             return r.choice(["<header{}>{}</header>", "<header{}>{}</header>", '<div class="header">{1}</div>', '<div id="masthead">{1}</div>']).format(attr("site-header", "header", "top"), body + (nav() if r.random() < 0.4 else ""))
 
         def foot():
@@ -379,8 +391,8 @@ def training_pages(n: int = 1000, seed: int = 11) -> list[tuple[str, list[tuple[
                 body += share()
             for _ in range(r.choice([1, 2, 4, 8, 12])):
                 body += paragraph()
-                if r.random() < 0.08:
-                    body += r.choice([advert, advert, side, notice, form])()
+                if r.random() < 0.12:
+                    body += r.choice([advert, advert, side, notice, form, form])()
             if r.random() < 0.15:
                 body += share()
             if r.random() < 0.15:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from stratawell.operators.ordered import ranged, running, with_totals
+
 
 def confusion(df: DataFrame, keys: list[str], truth: str, predicted: str) -> DataFrame:
     """tp, fp, fn, tn, accuracy, balanced accuracy, precision, recall, f1, kappa and mcc per key; truth and predicted are 0/1."""
@@ -24,18 +26,17 @@ def confusion(df: DataFrame, keys: list[str], truth: str, predicted: str) -> Dat
 
 def auroc(df: DataFrame, keys: list[str], truth: str, score: str) -> DataFrame:
     """Area under the ROC curve per key by average ranks; NULL if one class is missing."""
-    tie = df.groupBy(*keys, score).agg(F.count("*").alias("__n"), F.sum(F.col(truth).cast("long")).alias("__p"))
-    run = W.partitionBy(*keys).orderBy(score).rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = tie.withColumn("__r", F.sum("__n").over(run) - (F.col("__n") - 1) / 2)
-    s = ranked.groupBy(*keys).agg(F.sum(F.col("__p") * F.col("__r")).alias("u"), F.sum("__p").alias("n1"), F.sum(F.col("__n") - F.col("__p")).alias("n0"))
+    tie = df.groupBy(*keys, score).agg(F.count("*").alias("__n"), F.sum(F.col(truth).cast("long")).alias("__pos"))
+    ranked = running(ranged(tie, keys, [score]), keys, [score], "__r", F.col("__n")).withColumn("__r", F.col("__r") - (F.col("__n") - 1) / 2)
+    s = ranked.groupBy(*keys).agg(F.sum(F.col("__pos") * F.col("__r")).alias("u"), F.sum("__pos").alias("n1"), F.sum(F.col("__n") - F.col("__pos")).alias("n0"))
     return s.select(*keys, F.try_divide(F.col("u") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("n1").cast("double") * F.col("n0")).alias("auroc"), "n1", "n0")
 
 
 def pr_points(df: DataFrame, keys: list[str], truth: str, score: str) -> DataFrame:
     """Recall and precision at each distinct score, from the highest on."""
-    tie = df.groupBy(*keys, score).agg(F.count("*").alias("__n"), F.sum(F.col(truth).cast("long")).alias("__p"))
-    run = W.partitionBy(*keys).orderBy(F.col(score).desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    points = tie.withColumns({"tp": F.sum("__p").over(run), "called": F.sum("__n").over(run), "__all": F.sum("__p").over(W.partitionBy(*keys))})
+    tie = df.groupBy(*keys, score).agg(F.count("*").alias("__n"), F.sum(F.col(truth).cast("long")).alias("__pos"))
+    points = running(ranged(tie, keys, [score]), keys, [score], "tp", F.col("__pos"), back=True)
+    points = with_totals(running(points, keys, [score], "called", F.col("__n"), back=True), keys, __all=F.sum("__pos"))
     return points.select(*keys, F.col(score).alias("threshold"), "tp", "called", F.try_divide("tp", "__all").alias("recall"), F.try_divide("tp", "called").alias("precision"))
 
 

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from stratawell.operators.ordered import attach, with_totals
 from stratawell.operators.stats import f_tail
 
 
@@ -54,7 +55,8 @@ def group_folds(df: DataFrame, group: str, k: int, seed: int) -> DataFrame:
 
 def class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     """Rows over rows of the class."""
-    return df.withColumn(name, F.count("*").over(W.partitionBy()) / F.count("*").over(W.partitionBy(label)))
+    n = with_totals(df.groupBy(label).agg(F.count("*").alias("__n")), [], __all=F.sum("__n"))
+    return attach(df, n.select(label, (F.col("__all") / F.col("__n")).alias(name)), [label])
 
 
 def one_se(grid: DataFrame, keys: list[str], strength: str, metric: str, sd: str, folds: int) -> DataFrame:

@@ -6,9 +6,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stratawell.functions.safe_math import pairs, partial, safe_corr
+from stratawell.operators.ordered import average_ranks, ranged, running, with_totals
 
 
 def correlations(long: DataFrame, keys: list[str], y: str, minimum: int, feature: str = "feature", value: str = "value") -> DataFrame:
@@ -38,25 +39,22 @@ def partial_correlations(long: DataFrame, keys: list[str], y: str, control: str,
     return three.select(*keys, feature, F.when(F.col(feature) == control, F.col("xy")).otherwise(partial(F.col("xy"), F.col("xz"), F.col("yz"))).alias("r"))
 
 
-def average_rank(value: str, keys: list[str]) -> Column:
-    """Ranks with ties averaged."""
-    return F.rank().over(W.partitionBy(*keys).orderBy(value)) + (F.count("*").over(W.partitionBy(*keys, value)) - 1) / 2
-
-
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation per key over complete pairs."""
-    whole = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = whole.select(*keys, average_rank(x, keys).alias("a"), average_rank(y, keys).alias("b"))
+    whole = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
+    ranked = average_ranks(average_ranks(whole, keys, x, "a"), keys, y, "b")
     return ranked.groupBy(*keys).agg(safe_corr(F.col("a"), F.col("b")).alias("r"), F.count("*").alias("n"))
 
 
 def adjusted_p(df: DataFrame, keys: list[str], p: str, tie: list[str], name: str = "adjusted") -> DataFrame:
     """Benjamini-Hochberg p-values within keys; missing p-values stay missing and do not count."""
-    up = W.partitionBy(*keys, "__some").orderBy(F.col(p), *tie)
-    down = W.partitionBy(*keys, "__some").orderBy(F.col(p).desc(), *[F.col(t).desc() for t in tie]).rowsBetween(W.unboundedPreceding, W.currentRow)
-    df = df.withColumn("__some", F.col(p).isNotNull())
-    df = df.withColumn("__q", F.col(p) * F.count("*").over(W.partitionBy(*keys, "__some")) / F.row_number().over(up))
-    return df.withColumn(name, F.when(F.col("__some"), F.least(F.lit(1.0), F.min("__q").over(down)))).drop("__some", "__q")
+    some, none = df.filter(F.col(p).isNotNull()), df.filter(F.col(p).isNull())
+    placed = running(ranged(some, keys, [p, *tie]), keys, [p, *tie], "__rank", F.lit(1))
+    placed = with_totals(placed, keys, __n=F.count("*"))
+    placed = placed.withColumn("__q", F.col(p) * F.col("__n") / F.col("__rank"))
+    out = running(placed, keys, [p, *tie], name, F.col("__q"), least=True, back=True)
+    out = out.withColumn(name, F.least(F.lit(1.0), name))
+    return out.select(*df.columns, name).unionByName(none.withColumn(name, F.lit(None).cast("double")))
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:

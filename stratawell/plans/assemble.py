@@ -12,6 +12,7 @@ from stratawell.config import Settings
 from stratawell.functions.safe_math import padded_dispersion
 from stratawell.functions.text import piece, strip_version
 from stratawell.operators import events as ev, modelling as md, ranges, relational as rel, reshape, stats
+from stratawell.operators.ordered import with_totals
 
 ASSAYS, EXPERIMENTS = 3, 8
 
@@ -42,11 +43,10 @@ def incomplete(files: DataFrame, id_col: str, assays: int = ASSAYS, experiments:
 
 def renormalised(abundance: DataFrame, transcripts: DataFrame) -> DataFrame:
     """Transcripts per million from expected_count and effective_length, over the annotated transcripts of a sample."""
-    from pyspark.sql import Window as W
-
     a = rel.is_in(abundance, "transcript_id", transcripts)
     a = a.withColumn("rate", F.when(F.col("effective_length") > 0, F.col("expected_count") / F.col("effective_length")).otherwise(0.0))
-    return a.withColumn("tpm", F.coalesce(F.try_divide(F.col("rate") * 1e6, F.sum("rate").over(W.partitionBy("sample_id"))), F.lit(0.0))).drop("rate")
+    a = with_totals(a, ["sample_id"], __all=F.sum("rate"))
+    return a.withColumn("tpm", F.coalesce(F.try_divide(F.col("rate") * 1e6, "__all"), F.lit(0.0))).drop("rate", "__all")
 
 
 def analysed_events(ids: DataFrame, allowed: DataFrame | None, settings: Settings, width: int = 10_000, sex: tuple[str, ...] = ("chrX", "chrY")) -> DataFrame:
@@ -60,12 +60,11 @@ def analysed_events(ids: DataFrame, allowed: DataFrame | None, settings: Setting
 
 def variability(psi: DataFrame, events: DataFrame) -> DataFrame:
     """event_id with its padded dispersion over all samples and Low or High against its type's median."""
-    from pyspark.sql import Window as W
-
     n = psi.select("sample_id").distinct().agg(F.count("*").alias("n_samples"))
     d = psi.crossJoin(F.broadcast(n)).groupBy("event_id").agg(padded_dispersion(F.col("psi"), F.first("n_samples")).alias("dispersion"))  # one row broadcast
     d = d.join(events.select("event_id", "event_type"), "event_id")
-    return d.withColumn("variability", F.when(F.col("dispersion") < F.median("dispersion").over(W.partitionBy("event_type")), "Low").otherwise("High"))
+    d = with_totals(d, ["event_type"], __middle=F.median("dispersion"))
+    return d.withColumn("variability", F.when(F.col("dispersion") < F.col("__middle"), "Low").otherwise("High")).drop("__middle")
 
 
 def point_means(points: DataFrame, regions: DataFrame, keys: list[str], width: int = 1000) -> DataFrame:

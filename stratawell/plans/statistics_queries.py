@@ -6,6 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from stratawell.functions.safe_math import padded_dispersion, round_even, safe_corr
 from stratawell.operators import relational as rel, reshape, stats
+from stratawell.operators.ordered import with_totals
 from stratawell.plans.registry import query, r
 
 FEATURES = ["l_quantity", "l_discount", "l_tax"]
@@ -72,8 +73,8 @@ def low_high_difference_top(t):
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(1e6 * l_quantity / sum(l_quantity) OVER (PARTITION BY l_suppkey), 6) AS per_million FROM lineitem")
 def share_per_million(t):
-    total = F.sum("l_quantity").over(W.partitionBy("l_suppkey"))
-    return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r(F.try_divide(F.lit(1e6) * F.col("l_quantity"), total)).alias("per_million"))
+    l = with_totals(t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"), ["l_suppkey"], total=F.sum("l_quantity"))
+    return l.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r(F.try_divide(F.lit(1e6) * F.col("l_quantity"), F.col("total"))).alias("per_million"))
 
 
 @query("SELECT p_brand, round(sum(l_quantity), 4) AS quantity, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY p_brand")
@@ -98,8 +99,8 @@ def adjusted_dispersion(t):
 @query(f"WITH {MONTHS_SQL}, k AS (SELECT d.*, c_mktsegment, median(sd) OVER (PARTITION BY c_mktsegment) AS middle FROM d JOIN customer ON c_custkey = o_custkey) SELECT o_custkey, c_mktsegment, CASE WHEN sd < middle THEN 'Low' ELSE 'High' END AS variability FROM k")
 def variability_class(t):
     d = dispersions(t).join(t("customer"), F.col("c_custkey") == F.col("o_custkey"))
-    middle = F.median("sd").over(W.partitionBy("c_mktsegment"))
-    return d.select("o_custkey", "c_mktsegment", F.when(F.col("sd") < middle, "Low").otherwise("High").alias("variability"))
+    d = with_totals(d.select("o_custkey", "c_mktsegment", "sd"), ["c_mktsegment"], middle=F.median("sd"))
+    return d.select("o_custkey", "c_mktsegment", F.when(F.col("sd") < F.col("middle"), "Low").otherwise("High").alias("variability"))
 
 
 @query("SELECT event_type, user_id, round(avg(value), 6) AS mean, count(*) AS n FROM (SELECT *, CASE WHEN event_id % 10 = 0 THEN -1 ELSE value END AS v FROM events) WHERE v <> -1 GROUP BY ALL")

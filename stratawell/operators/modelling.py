@@ -39,10 +39,12 @@ def dichotomised(df: DataFrame, column: str, low: float, high: float, names: tup
 
 def imputed_scaled(long: DataFrame, train: Column, feature: str = "feature", value: str = "value") -> DataFrame:
     """long with imputed (training mean for missing) and scaled (training mean and sample sd after imputation)."""
-    mean = long.groupBy(feature).agg(F.avg(F.when(train, F.col(value))).alias("__mean"))
-    filled = long.join(mean, feature).withColumn("imputed", F.coalesce(F.col(value), F.col("__mean")))
-    sd = filled.groupBy(feature).agg(F.stddev_samp(F.when(train, F.col("imputed"))).alias("__sd"))
-    return filled.join(sd, feature).withColumn("scaled", F.try_divide(F.col("imputed") - F.col("__mean"), "__sd")).drop("__mean", "__sd")
+    v = F.when(train, F.col(value))
+    # Filling in the mean leaves it as it is and adds nothing to the squared deviations: one pass gives both.
+    seen = long.groupBy(feature).agg(F.avg(v).alias("__mean"), (F.var_pop(v) * F.count(v)).alias("__dev"), F.count(F.when(train, 1)).alias("__n"))
+    seen = seen.select(feature, "__mean", F.sqrt(F.try_divide("__dev", F.col("__n") - 1)).alias("__sd"))
+    out = long.join(seen, feature).withColumn("imputed", F.coalesce(F.col(value), F.col("__mean")))
+    return out.withColumn("scaled", F.try_divide(F.col("imputed") - F.col("__mean"), "__sd")).drop("__mean", "__sd")
 
 
 def group_folds(df: DataFrame, group: str, k: int, seed: int) -> DataFrame:

@@ -158,6 +158,29 @@ def test_relational_rules(spark):
     assert sorted(r.other for r in p.collect()) == list(range(50))
 
 
+def test_running_sums_and_ranks_of_hot_and_missing_keys(spark):
+    import pandas as pd
+
+    from stratawell.operators import ordered
+
+    r = random.Random(8)
+    rows = [(r.choice(["hot", "hot", "hot", "b", None]), r.randint(0, 40), i, r.random()) for i in range(400)]
+    df = make(spark, rows, "k string, v int, i int, x double")
+    pdf = pd.DataFrame(rows, columns=["k", "v", "i", "x"])
+    g = pdf.sort_values(["v", "i"]).groupby("k", dropna=False)
+    placed = ordered.ranged(df, ["k"], ["v", "i"])
+    up = {x.i: x.s for x in ordered.running(placed, ["k"], ["v", "i"], "s", F.col("x")).collect()}
+    want = dict(zip(pdf.loc[g.x.cumsum().index, "i"], g.x.cumsum()))
+    assert all(abs(up[i] - want[i]) < 1e-9 for i in want) and len(up) == 400
+    low = {x.i: x.s for x in ordered.running(placed, ["k"], ["v", "i"], "s", F.col("x"), least=True, back=True).collect()}
+    back = pdf.sort_values(["v", "i"], ascending=False).groupby("k", dropna=False).x.cummin()
+    assert low == dict(zip(pdf.loc[back.index, "i"], back))
+    rank = {x.i: x.rank for x in ordered.average_ranks(df, ["k"], "v", "rank").collect()}
+    assert rank == dict(zip(pdf.i, pdf.groupby("k", dropna=False).v.rank()))
+    total = {x.i: x.t for x in ordered.with_totals(df, ["k"], t=F.count("*")).collect()}
+    assert total == dict(zip(pdf.i, pdf.groupby("k", dropna=False).i.transform("size")))
+
+
 def test_reshape_round_trip(spark):
     w = make(spark, [(1, 2.0, None), (2, 3.0, 4.0)], "id int, `a;x` double, `b.y` double")
     long = reshape.to_long(w, ["id"], ["a;x", "b.y"])

@@ -11,8 +11,8 @@ similarity of at least 75 %, tested in integers on the full sets.
    goes on, so a group of copies of any size costs one row.
 3. Candidates.  A bucket (equal band values) gives links to a centre only, never
    all pairs: first its smallest id; then, in buckets that still hold several
-   parts, up to CENTRES members outside the largest part, to members of other
-   parts that the triangle inequality allows to link.
+   parts, up to CENTRES members outside the largest part, to the hubs of other
+   parts and to those of their members that the triangle inequality leaves.
 4. Links are confirmed on full sets; components follow.
 
 A pair at 75 % shares no band with probability (1 - 0.75**4)**32 < 6e-6.
@@ -116,41 +116,57 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return map_batches(docs, make, "id bigint, s array<bigint>")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that their sizes allow to link, with the verdict on full sets and the Jaccard distance."""
+def with_sizes(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs (a, b) with na, nb and floor, the least Jaccard distance that the sizes allow."""
     sized = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n_shingles").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb")), "b")
-    pairs = stash(sized.filter(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)"), "pairs")
+    return sized.withColumn("floor", 1 - F.least("na", "nb") / F.greatest("na", "nb"))
+
+
+def confirm(sized: DataFrame, docs: DataFrame) -> DataFrame:
+    """Verdict on full sets (linked, distance) of the pairs that their sizes allow to link."""
+    pairs = stash(sized.filter(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b"), "pairs")
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     sets = stash(full_sets(docs.join(ends, "id", "left_semi")), "sets")
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     shared = both.select("a", "b", (F.size("sa") + F.size("sb")).cast("long").alias("total"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("both"))
-    return shared.select("a", "b", F.expr(f"100 * both >= {PERCENT} * (total - both)").alias("linked"), F.expr("1 - both / (total - both)").alias("distance"))
+    verdict = shared.select("a", "b", F.expr(f"100 * both >= {PERCENT} * (total - both)").alias("linked"), F.expr("1 - both / (total - both)").alias("distance"))
+    return verdict.groupBy("a", "b").agg(F.bool_or("linked").alias("linked"), F.min("distance").alias("distance"))
+
+
+def ordered(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
 def rest_of_buckets(members: DataFrame, tested: DataFrame, parts: DataFrame, texts: DataFrame, sizes: DataFrame) -> DataFrame:
     """Links (a, b) across the parts that the first stars left within a bucket.
 
     Centres are a bucket's members outside its largest part, the first CENTRES of them in an order that
-    differs from bucket to bucket.  A pair is left out where distances to the bucket's first centre
-    differ by more than a link allows (Jaccard distance is a metric).
+    differs from bucket to bucket.  A centre meets the hubs (smallest ids) of the bucket's other parts;
+    if it links with none, it meets the members of those parts that may link all the same: Jaccard
+    distance is a metric, so one whose distance to the hub is by more than a link's smaller than the
+    centre's cannot.
     """
-    known = tested.select(F.col("a").alias("lo"), F.col("b").alias("id"), "distance")
-    part = parts.select(F.col("node").alias("id"), "component")
-    named = members.join(part, "id", "left").select("key", "id", "lo", F.coalesce("component", "id").alias("part"))
-    named = named.join(known, ["lo", "id"], "left").select("key", "id", "part", F.when(F.col("id") == F.col("lo"), F.lit(0.0)).otherwise(F.col("distance")).alias("d"))
+    most = 1 - PERCENT / 100 + 1e-9
+    named = members.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
+    known = tested.select(F.col("a").alias("part"), F.col("b").alias("id"), "distance")
+    named = named.join(known, ["part", "id"], "left").select("key", "id", "part", F.when(F.col("id") == F.col("part"), F.lit(0.0)).otherwise(F.col("distance")).alias("to_hub"))
     named = stash(named, "named")
-    counts = named.groupBy("key", "part").agg(F.count("*").alias("n"))
-    largest = counts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "part")).alias("top")).filter("parts > 1")
-    largest = stash(largest.select("key", F.col("top.part").alias("top")), "open")
+    counts = stash(named.groupBy("key", "part").agg(F.count("*").alias("n")), "counts")
+    largest = counts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "part")).alias("top")).filter("parts > 1").select("key", F.col("top.part").alias("top"))
     own = W.partitionBy("key").orderBy(F.col("id").bitwiseXOR(F.col("key")), "id")
-    centres = named.join(largest, "key").filter("part <> top").withColumn("place", F.row_number().over(own)).filter(F.col("place") <= CENTRES)
-    centres = stash(centres.select("key", F.col("id").alias("centre"), F.col("part").alias("cpart"), F.col("d").alias("cd")), "centres")
-    near = F.coalesce(F.abs(F.col("d") - F.col("cd")) <= 1 - PERCENT / 100 + 1e-9, F.lit(True))
-    pairs = named.join(centres, (named["key"] == centres["key"]) & (F.col("part") != F.col("cpart")) & near)
-    pairs = pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    pairs = pairs.join(tested, ["a", "b"], "left_anti")
-    return confirm(pairs, texts, sizes).filter("linked").select("a", "b")
+    centres = named.join(stash(largest, "open"), "key").filter("part <> top").withColumn("place", F.row_number().over(own)).filter(F.col("place") <= CENTRES)
+    centres = stash(centres.select("key", F.col("id").alias("centre"), F.col("part").alias("own")), "centres")
+    meets = stash(centres.join(counts.select("key", F.col("part").alias("hub")), "key").filter("own <> hub"), "meets")
+    hubs = stash(with_sizes(meets.select(*ordered("centre", "hub")).distinct(), sizes), "hubs")
+    first = stash(confirm(hubs, texts), "first")
+    seen = stash(hubs.join(first, ["a", "b"], "left").select("a", "b", F.coalesce("linked", F.lit(False)).alias("linked"), F.greatest(F.col("floor"), F.coalesce("distance", F.lit(0.0))).alias("away")), "seen")
+    apart = meets.withColumns({"a": F.least("centre", "hub"), "b": F.greatest("centre", "hub")}).join(seen.filter("NOT linked"), ["a", "b"])
+    apart = stash(apart.select("key", "centre", F.col("hub").alias("part"), "away"), "apart")
+    may = (named["key"] == apart["key"]) & (named["part"] == apart["part"]) & (F.col("id") != apart["part"]) & (F.coalesce(F.col("away") - F.col("to_hub"), F.lit(0.0)) <= most)
+    pairs = named.join(apart, may).select(*ordered("id", "centre")).distinct()
+    second = confirm(with_sizes(pairs.join(tested, ["a", "b"], "left_anti"), sizes), texts)
+    return first.unionByName(second).filter("linked").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -165,8 +181,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     sizes = classes.select(F.col("rep").alias("id"), "n_shingles")
     # A class stands for its texts: one row per id of a representative, whose text has the class's set.
     texts = base.join(sizes.select("id"), "id", "left_semi")
-    tested = confirm(members.filter("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct(), texts, sizes)
-    tested = stash(tested.groupBy("a", "b").agg(F.bool_or("linked").alias("linked"), F.min("distance").alias("distance")), "tested")
+    stars = members.filter("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct()
+    tested = stash(confirm(with_sizes(stars, sizes), texts), "tested")
     first = tested.filter("linked").select("a", "b")
     second = stash(rest_of_buckets(members, tested, components(first), texts, sizes), "second")
     found = components(first.unionByName(second))

@@ -137,7 +137,7 @@ def unit_fits(df: DataFrame, unit: str, features: list[str], response: str, free
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         name, rows = str(pdf[unit].iloc[0]), []
-        use = pdf.dropna(subset=[response, *features, *([free] if free else [])]).sort_values(key)
+        use = pdf.dropna(subset=[response, *features, *([free] if free else [])]).sort_values([key, response, *features])
         x = use[features].to_numpy(float)
         r = np.random.default_rng([seed, abs(hash_text(name)) % 2**32])
         z = use[free].to_numpy(float)[:, None] if free else None

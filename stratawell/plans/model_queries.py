@@ -43,9 +43,9 @@ def with_holes(t):
     return md.imputed_scaled(x, F.col("l_returnflag") != "R")
 
 
-@query(f"WITH {HOLES_SQL} SELECT l_orderkey, l_linenumber, l_suppkey, feature, round(imputed, 6) AS imputed FROM i WHERE l_orderkey % 7 = 0")
+@query(f"WITH {HOLES_SQL} SELECT l_orderkey, l_linenumber, l_suppkey, feature, round(imputed, 6) AS imputed FROM i")
 def impute_mean_train(t):
-    return with_holes(t).filter("l_orderkey % 7 = 0").select("l_orderkey", "l_linenumber", "l_suppkey", "feature", r(F.col("imputed")).alias("imputed"))
+    return with_holes(t).select("l_orderkey", "l_linenumber", "l_suppkey", "feature", r(F.col("imputed")).alias("imputed"))
 
 
 @query(f"WITH {HOLES_SQL} SELECT l_orderkey, l_linenumber, l_suppkey, i.feature, round((imputed - mean) / sd, 6) AS scaled FROM i JOIN s ON s.feature = i.feature")
@@ -171,13 +171,13 @@ def sample_sizes(t):
 
 
 def unit_rows(t):
-    """Orders lines as small units: one per brand."""
-    l = t("lineitem").join(t("part").filter("p_size <= 5"), F.col("p_partkey") == F.col("l_partkey"))
-    return l.select("p_brand", *FEATURES, (F.col("l_extendedprice") / 10 + 500 * F.col("l_quantity")).alias("response"), "p_retailprice", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("key"))
+    """Order lines as units of a few hundred rows: one per supplier."""
+    l = t("lineitem").join(t("part"), F.col("p_partkey") == F.col("l_partkey"))
+    return l.select(F.col("l_suppkey").alias("unit"), *FEATURES, (F.col("l_extendedprice") / 10 + 500 * F.col("l_quantity")).alias("response"), "p_retailprice", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").alias("key"))
 
 
 def fits(t):
-    return md.unit_fits(unit_rows(t), "p_brand", FEATURES, "response", "p_retailprice", "key", [10.0 ** (k / 2) for k in range(9)], 5, 1234)
+    return md.unit_fits(unit_rows(t), "unit", FEATURES, "response", "p_retailprice", "key", [10.0 ** (k / 2) for k in range(9)], 5, 1234)
 
 
 @query(None)
@@ -210,7 +210,7 @@ def labelled_numbers(t):
 def logistic_l1(t):
     df = labelled_numbers(t)
     model = md.logistic_l1(df, ["size", "marks", "spaces"], "label", "weight", 0.01).stages[-1]
-    rows = list(zip(["size", "marks", "spaces"], map(float, model.coefficients)))
+    rows = list(zip(["size", "marks", "spaces"], map(float, model.coefficients.toArray())))
     return df.sparkSession.createDataFrame(rows, "feature string, coefficient double")
 
 

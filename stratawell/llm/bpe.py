@@ -33,7 +33,9 @@ from pyspark.sql.types import StructType
 from stratawell.llm.arrow_map import column, map_batches, to_arrow_schema
 from stratawell.session import ship
 
-LONG_WORD = 192
+LONG_WORD = 64
+#: Sum of squared word lengths of a DuckDB query; a memory bound.
+QUERY_WORK = 6_000_000
 #: Chunks a worker remembers before it forgets those not met lately; a memory bound, results don't depend on it.
 REMEMBER = 800_000
 #: New chunks per DuckDB query; a memory bound.
@@ -103,14 +105,16 @@ class Codec:
     def encode_words(self, words: list[bytes]) -> list[tuple[str, str]]:
         """Ids, joined by spaces, and the decoded bytes in hex, for each word of the split pattern."""
         out: list[tuple[str, str]] = [("", "")] * len(words)
-        short = []
-        for i, w in enumerate(words):
-            if len(w) > LONG_WORD:
-                ids = " ".join(map(str, self.contract_long(w)))
-                out[i] = (ids, self.decode_rows([ids])[0].hex())
-            else:
-                short.append(i)
-        if short:
+        short = [i for i, w in enumerate(words) if len(w) <= LONG_WORD]
+        long = [i for i, w in enumerate(words) if len(w) > LONG_WORD]
+        if long:
+            ids = [" ".join(map(str, self.contract_long(words[i]))) for i in long]
+            for i, x, back in zip(long, ids, self.decode_rows(ids)):
+                out[i] = (x, back.hex())
+        # A word takes rows in proportion to its length squared over all rounds; queries are cut by their sum.
+        work = np.cumsum([len(words[i]) ** 2 for i in short])
+        for part in np.split(np.array(short, np.int64), np.flatnonzero(np.diff(work // QUERY_WORK)) + 1) if short else []:
+            short = part.tolist()
             size = np.array([len(words[i]) for i in short])
             data = np.frombuffer(b"".join([words[i] for i in short]), np.uint8)
             wid = np.repeat(np.array(short, np.int32), size)

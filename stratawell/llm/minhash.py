@@ -11,13 +11,13 @@ similarity of at least 75 %, tested in integers on the full sets.
    goes on, so a group of copies of any size costs one row.
 3. Candidates.  A bucket (equal band values) gives links to a centre only, never
    all pairs: first its smallest id; then, in buckets that still hold several
-   parts, up to CENTRES members outside the largest part, to the hubs of other
+   parts, up to NEAREST + OTHERS members outside the largest part, to the hubs of other
    parts and to those of their members that the triangle inequality leaves.
 4. Links are confirmed on full sets; components follow.
 
 A pair at 75 % shares no band with probability (1 - 0.75**4)**32 < 6e-6.
 The stars miss a link between two parts only if in every bucket that its ends
-share neither end is a centre, that is, only in buckets with more than CENTRES
+share neither end is a centre, that is, only in buckets with more than NEAREST
 members outside the largest part.
 
 Nulls, empty texts and texts without words have an empty set and link with
@@ -40,7 +40,7 @@ from stratawell.session import stash
 BANDS, ROWS, WIDTH = 32, 4, 5
 BINS = BANDS * ROWS
 PERCENT = 75
-CENTRES = 32
+NEAREST, OTHERS = 6, 4
 
 _seq = np.random.default_rng(7).integers(0, BINS, (BINS, 64 * BINS))  # bin sequences of the empty bins
 
@@ -141,21 +141,24 @@ def ordered(x: str, y: str) -> list:
 def rest_of_buckets(members: DataFrame, tested: DataFrame, parts: DataFrame, texts: DataFrame, sizes: DataFrame) -> DataFrame:
     """Links (a, b) across the parts that the first stars left within a bucket.
 
-    Centres are a bucket's members outside its largest part, the first CENTRES of them in an order that
-    differs from bucket to bucket.  A centre meets the hubs (smallest ids) of the bucket's other parts;
+    Centres are members of a bucket outside its largest part: the NEAREST to its smallest id, and OTHERS
+    in an order that differs from bucket to bucket.  A centre meets the hubs (smallest ids) of the bucket's other parts;
     if it links with none, it meets the members of those parts that may link all the same: Jaccard
     distance is a metric, so one whose distance to the hub is by more than a link's smaller than the
     centre's cannot.
     """
     most = 1 - PERCENT / 100 + 1e-9
-    named = members.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
+    named = members.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", "lo", F.coalesce("component", "id").alias("part"))
+    to_lo = tested.select(F.col("a").alias("lo"), F.col("b").alias("id"), F.col("distance").alias("to_lo"))
+    named = named.join(to_lo, ["lo", "id"], "left").drop("lo")
     known = tested.select(F.col("a").alias("part"), F.col("b").alias("id"), "distance")
-    named = named.join(known, ["part", "id"], "left").select("key", "id", "part", F.when(F.col("id") == F.col("part"), F.lit(0.0)).otherwise(F.col("distance")).alias("to_hub"))
+    named = named.join(known, ["part", "id"], "left").select("key", "id", "part", "to_lo", F.when(F.col("id") == F.col("part"), F.lit(0.0)).otherwise(F.col("distance")).alias("to_hub"))
     named = stash(named, "named")
     counts = stash(named.groupBy("key", "part").agg(F.count("*").alias("n")), "counts")
     largest = counts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "part")).alias("top")).filter("parts > 1").select("key", F.col("top.part").alias("top"))
-    own = W.partitionBy("key").orderBy(F.col("id").bitwiseXOR(F.col("key")), "id")
-    centres = named.join(stash(largest, "open"), "key").filter("part <> top").withColumn("place", F.row_number().over(own)).filter(F.col("place") <= CENTRES)
+    near, any_ = (W.partitionBy("key").orderBy(*o, F.col("id").bitwiseXOR(F.col("key")), "id") for o in ([F.col("to_lo").asc_nulls_last()], []))
+    centres = named.join(stash(largest, "open"), "key").filter("part <> top").withColumns({"near": F.row_number().over(near), "any": F.row_number().over(any_)})
+    centres = centres.filter((F.col("near") <= NEAREST) | (F.col("any") <= OTHERS))
     centres = stash(centres.select("key", F.col("id").alias("centre"), F.col("part").alias("own")), "centres")
     meets = stash(centres.join(counts.select("key", F.col("part").alias("hub")), "key").filter("own <> hub"), "meets")
     hubs = stash(with_sizes(meets.select(*ordered("centre", "hub")).distinct(), sizes), "hubs")

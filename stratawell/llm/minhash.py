@@ -122,11 +122,9 @@ def with_sizes(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     return sized.withColumn("floor", 1 - F.least("na", "nb") / F.greatest("na", "nb"))
 
 
-def confirm(sized: DataFrame, docs: DataFrame) -> DataFrame:
+def confirm(sized: DataFrame, sets: DataFrame) -> DataFrame:
     """Verdict on full sets (linked, distance) of the pairs that their sizes allow to link."""
-    pairs = stash(sized.filter(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b"), "pairs")
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = stash(full_sets(docs.join(ends, "id", "left_semi")), "sets")
+    pairs = sized.filter(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b")
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     shared = both.select("a", "b", (F.size("sa") + F.size("sb")).cast("long").alias("total"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("both"))
@@ -138,7 +136,7 @@ def ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def rest_of_buckets(members: DataFrame, tested: DataFrame, parts: DataFrame, texts: DataFrame, sizes: DataFrame) -> DataFrame:
+def rest_of_buckets(members: DataFrame, tested: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
     """Links (a, b) across the parts that the first stars left within a bucket.
 
     Centres are members of a bucket outside its largest part: the NEAREST to its smallest id, and OTHERS
@@ -148,7 +146,9 @@ def rest_of_buckets(members: DataFrame, tested: DataFrame, parts: DataFrame, tex
     centre's cannot.
     """
     most = 1 - PERCENT / 100 + 1e-9
-    named = members.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", "lo", F.coalesce("component", "id").alias("part"))
+    # A part is what the first stars link to one smallest id.
+    parts = tested.filter("linked").groupBy("b").agg(F.min("a").alias("hub")).select(F.col("b").alias("id"), "hub")
+    named = members.join(parts, "id", "left").select("key", "id", "lo", F.coalesce("hub", "id").alias("part"))
     to_lo = tested.select(F.col("a").alias("lo"), F.col("b").alias("id"), F.col("distance").alias("to_lo"))
     named = named.join(to_lo, ["lo", "id"], "left").drop("lo")
     known = tested.select(F.col("a").alias("part"), F.col("b").alias("id"), "distance")
@@ -162,13 +162,13 @@ def rest_of_buckets(members: DataFrame, tested: DataFrame, parts: DataFrame, tex
     centres = stash(centres.select("key", F.col("id").alias("centre"), F.col("part").alias("own")), "centres")
     meets = stash(centres.join(counts.select("key", F.col("part").alias("hub")), "key").filter("own <> hub"), "meets")
     hubs = stash(with_sizes(meets.select(*ordered("centre", "hub")).distinct(), sizes), "hubs")
-    first = stash(confirm(hubs, texts), "first")
+    first = stash(confirm(hubs, sets), "first")
     seen = stash(hubs.join(first, ["a", "b"], "left").select("a", "b", F.coalesce("linked", F.lit(False)).alias("linked"), F.greatest(F.col("floor"), F.coalesce("distance", F.lit(0.0))).alias("away")), "seen")
     apart = meets.withColumns({"a": F.least("centre", "hub"), "b": F.greatest("centre", "hub")}).join(seen.filter("NOT linked"), ["a", "b"])
     apart = stash(apart.select("key", "centre", F.col("hub").alias("part"), "away"), "apart")
     may = (named["key"] == apart["key"]) & (named["part"] == apart["part"]) & (F.col("id") != apart["part"]) & (F.coalesce(F.col("away") - F.col("to_hub"), F.lit(0.0)) <= most)
     pairs = named.join(apart, may).select(*ordered("id", "centre")).distinct()
-    second = confirm(with_sizes(pairs.join(tested, ["a", "b"], "left_anti"), sizes), texts)
+    second = confirm(with_sizes(pairs.join(tested, ["a", "b"], "left_anti"), sizes), sets)
     return first.unionByName(second).filter("linked").select("a", "b")
 
 
@@ -182,12 +182,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     buckets = stash(flat.groupBy("key").agg(F.min("id").alias("lo"), F.count("*").alias("n")).filter("n > 1").select("key", "lo"), "buckets")
     members = stash(flat.join(buckets, "key").select("key", "id", "lo"), "members")
     sizes = classes.select(F.col("rep").alias("id"), "n_shingles")
-    # A class stands for its texts: one row per id of a representative, whose text has the class's set.
-    texts = base.join(sizes.select("id"), "id", "left_semi")
+    # Ids in buckets are of representatives, whose text has the class's set.
+    sets = stash(full_sets(base.join(members.select("id").distinct(), "id", "left_semi")), "sets")
     stars = members.filter("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct()
-    tested = stash(confirm(with_sizes(stars, sizes), texts), "tested")
+    tested = stash(confirm(with_sizes(stars, sizes), sets), "tested")
     first = tested.filter("linked").select("a", "b")
-    second = stash(rest_of_buckets(members, tested, components(first), texts, sizes), "second")
+    second = stash(rest_of_buckets(members, tested, sets, sizes), "second")
     found = components(first.unionByName(second))
     of_class = classes.select("n_shingles", "fp1", "fp2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     of_class = stash(of_class.select("n_shingles", "fp1", "fp2", F.coalesce("component", "rep").alias("component_id")), "of_class")

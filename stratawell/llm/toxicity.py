@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from stratawell.llm import labelled
 from stratawell.llm.arrow_map import map_batches
-from stratawell.llm.bytes_np import Words, distinct_pairs, slices, utf8
+from stratawell.llm.bytes_np import Words, slices, utf8
 
 BITS = 20
 DIM = 1 << BITS

@@ -40,7 +40,7 @@ from stratawell.session import stash
 BANDS, ROWS, WIDTH = 32, 4, 5
 BINS = BANDS * ROWS
 PERCENT = 75
-NEAREST, OTHERS = 6, 4
+NEAREST, OTHERS = 4, 2
 
 _seq = np.random.default_rng(7).integers(0, BINS, (BINS, 64 * BINS))  # bin sequences of the empty bins
 

@@ -1,4 +1,4 @@
-"""MinHash near-duplicates: one-permutation hashing, optimal densification, bands, star-shaped candidates.
+"""MinHash near-duplicates: one-permutation hashing, optimal densification, bands, stars and then all pairs left open.
 
 Links join documents whose sets of distinct 5-word shingles have a Jaccard
 similarity of at least 75 %, tested in integers on the full sets.
@@ -9,14 +9,16 @@ similarity of at least 75 %, tested in integers on the full sets.
    densification), so small sets are sketched as well as large ones.
 2. Classes.  Rows with equal shingle sets form a class; only its smallest id
    goes on, so a group of copies of any size costs one row.
-3. Candidates.  A bucket (equal band values) gives links to a centre only, never
-   all pairs: its smallest id, and then, for members that the first round left
-   unlinked to them, two further centres chosen by the bucket's hash.
-4. Links are confirmed on full sets; components follow.
+3. Stars.  A bucket (equal band values) first links its members to its smallest
+   id; where that leaves several parts, to the member with the fullest buckets
+   in all, which is the text most others come from.
+4. The rest.  In a bucket still of several parts every other pair of members
+   from two parts is compared, in tiles of salted blocks; nothing is capped.
+5. Links are confirmed on full sets; components follow.
 
-A pair at 75 % shares no band with probability (1 - 0.75**4)**32 < 6e-6.
-The stars leave out a pair only if both ends are linked with others, or in all
-shared buckets fail to be chosen as a centre.
+A pair at 75 % shares no band with probability (1 - 0.75**4)**32 < 6e-6; that
+apart, two documents of a bucket are in one component or have been compared
+(or are too different in size).
 
 Nulls, empty texts and texts without words have an empty set and link with
 nothing.  Repeated rows and repeated ids: rows with equal sets are one class; an id with
@@ -30,14 +32,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stratawell.llm.arrow_map import map_batches
+from stratawell.llm.arrow_map import map_batches, to_arrow_schema
 from stratawell.llm.bytes_np import Words, distinct_pairs, mix, slices, utf8
 from stratawell.llm.graph import components
-from stratawell.session import stash
+from stratawell.session import ship, stash
 
 BANDS, ROWS, WIDTH = 32, 4, 5
 BINS = BANDS * ROWS
 PERCENT = 75
+#: Members and shingles of a block of an open bucket, on average; a memory bound, results don't depend on it.
+BLOCK, BLOCK_SHINGLES = 320, 1_000_000
 
 _seq = np.random.default_rng(7).integers(0, BINS, (BINS, 64 * BINS))  # bin sequences of the empty bins
 
@@ -113,40 +117,113 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return map_batches(docs, make, "id bigint, s array<bigint>")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, sizes: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets reach PERCENT."""
     sized = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n_shingles").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb")), "b")
     pairs = stash(sized.filter(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)"), "pairs")
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = stash(full_sets(docs.join(ends, "id", "left_semi")), "sets")
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     shared = both.select("a", "b", (F.size("sa") + F.size("sb")).cast("long").alias("total"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("both"))
     return shared.filter(f"100 * both >= {PERCENT} * (total - both)").select("a", "b")
 
 
+def shared_counts(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, step: int = 4096) -> np.ndarray:
+    """Size of the intersection of each set of x with each of y; sets of nx (ny) distinct values follow each other."""
+    common = np.intersect1d(x, y)
+    out = np.zeros((len(nx), len(ny)), np.int64)
+    sides = []
+    for flat, n in ((x, nx), (y, ny)):
+        at = np.minimum(np.searchsorted(common, flat), max(len(common) - 1, 0))
+        on = np.flatnonzero(common[at] == flat) if len(common) else np.zeros(0, np.int64)
+        on = on[np.argsort(at[on], kind="stable")]
+        sides.append((at[on], np.repeat(np.arange(len(n)), n)[on], len(n)))
+    for c in range(0, len(common), step):
+        field = []
+        for col, row, rows in sides:
+            a, b = np.searchsorted(col, (c, c + step))
+            one = np.zeros((rows, min(step, len(common) - c)), np.float32)
+            one[row[a:b], col[a:b] - c] = 1
+            field.append(one)
+        out += np.rint(field[0] @ field[1].T).astype(np.int64)
+    return out
+
+
+def tile_links(label: np.ndarray, n: np.ndarray, flat: np.ndarray, is_x: np.ndarray, is_y: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of labels that join all sets of x and y, with different labels, that reach PERCENT; a spanning forest of them."""
+    if len(np.unique(label)) < 2:
+        return []
+    row = np.repeat(np.arange(len(n)), n)
+    x, y = np.flatnonzero(is_x), np.flatnonzero(is_y)
+    both = shared_counts(flat[is_x[row]], n[x], flat[is_y[row]], n[y])
+    near = 100 * both >= PERCENT * (n[x][:, None] + n[y] - both)
+    near &= label[x][:, None] != label[y]
+    part, out = label.copy(), []
+    for i in np.flatnonzero(near.any(axis=1)):
+        for other in np.unique(part[y[near[i]]]):
+            own = part[x[i]]
+            if own != other:
+                out.append((int(own), int(other)))
+                part[part == other] = own
+    return out
+
+
+def rest_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between the parts of members(key, id, part, n_shingles) that pairs of a bucket make.
+
+    A bucket's members fall into k blocks by a hash; each pair of blocks is a task of its own.
+    """
+    from pyspark.sql.types import StructType
+
+    ship(members.sparkSession)
+    ddl = "a bigint, b bigint"
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+    split = members.groupBy("key").agg(F.min("part").alias("p1"), F.max("part").alias("p2"), F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("k"))
+    split = stash(split.filter("p1 <> p2").select("key", "k"), "split")
+    blocks = members.join(split, "key").join(sets, "id").withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("k")).cast("int"))
+    tiles = blocks.select("key", "part", "s", "block", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    tiles = tiles.select("key", "part", "s", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    def tile(table: pa.Table) -> pa.Table:
+        s = table["s"].combine_chunks()
+        block, i, j = table["block"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py()
+        n = np.diff(s.offsets.to_numpy()).astype(np.int64)
+        got = tile_links(table["part"].to_numpy(), n, s.flatten().to_numpy(), block == i, block == j)
+        return pa.Table.from_arrays([pa.array([p[k] for p in got], pa.int64()) for k in (0, 1)], schema=schema)
+
+    return tiles.groupBy("key", "i", "j").applyInArrow(tile, ddl)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id and kept for each row of docs."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     rows = stash(sketches(docs, id_col, text), "sketches")
     some = rows.filter("n_shingles > 0 AND id IS NOT NULL")
     classes = stash(some.groupBy("n_shingles", "fp1", "fp2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes")
-    flat = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
-    buckets = stash(flat.groupBy("key").agg(F.min("id").alias("lo"), F.count("*").alias("n")).filter("n > 1").select("key", "lo"), "buckets")
-    members = stash(flat.join(buckets, "key").select("key", "id", "lo"), "members")
+    flat = classes.select(F.col("rep").alias("id"), "n_shingles", F.explode("bands").alias("key"))
+    buckets = stash(flat.groupBy("key").agg(F.min("id").alias("lo"), F.count("*").alias("n")).filter("n > 1"), "buckets")
+    members = stash(flat.join(buckets, "key").select("key", "id", "lo", "n", "n_shingles"), "members")
     sizes = classes.select(F.col("rep").alias("id"), "n_shingles")
     # A class stands for its texts: one row per id of a representative, whose text has the class's set.
-    texts = base.join(sizes.select("id"), "id", "left_semi")
-    first = stash(confirm(members.filter("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct(), texts, sizes), "first")
+    weights = stash(members.groupBy("id").agg(F.sum("n").alias("weight")), "weights")
+    sets = stash(full_sets(base.join(weights.select("id"), "id", "left_semi")), "sets")
+    first = stash(confirm(members.filter("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct(), sets, sizes), "first")
     near = stash(first.groupBy("b").agg(F.min("a").alias("hub")).select(F.col("b").alias("id"), "hub"), "near")
-    # Further centres of buckets that the first round left in more than one part.
-    named = members.join(near, "id", "left").select("key", "id", F.coalesce("hub", "id").alias("hub"))
-    open_ = named.groupBy("key").agg(F.min("hub").alias("h1"), F.max("hub").alias("h2"), F.count("*").alias("n"), F.min(F.col("id").bitwiseXOR(F.col("key"))).alias("c1"), F.max(F.col("id").bitwiseXOR(F.col("key"))).alias("c2"))
-    open_ = stash(open_.filter("h1 <> h2 AND n > 2").select("key", F.explode(F.array((F.col("c1").bitwiseXOR(F.col("key"))), (F.col("c2").bitwiseXOR(F.col("key"))))).alias("centre")), "open")
-    pairs = named.join(open_, "key").join(near.select(F.col("id").alias("centre"), F.col("hub").alias("chub")), "centre", "left").filter("id <> centre AND hub <> coalesce(chub, centre)")
+    # A further centre of buckets that the first round left in more than one part.
+    named = stash(members.filter("n > 2").join(near, "id", "left").join(weights, "id").select("key", "id", "lo", "weight", "n_shingles", F.coalesce("hub", "id").alias("hub")), "named")
+    centre = F.max(F.when(F.col("id") != F.col("lo"), F.struct("weight", "id")))["id"]
+    open_ = stash(named.groupBy("key").agg(F.min("hub").alias("h1"), F.max("hub").alias("h2"), centre.alias("centre")).filter("h1 <> h2").select("key", "centre"), "open")
+    left = stash(named.join(open_, "key").select("key", "id", "lo", "hub", "centre", "n_shingles"), "left")
+    pairs = left.join(near.select(F.col("id").alias("centre"), F.col("hub").alias("chub")), "centre", "left").filter("id <> centre AND id <> lo AND hub <> coalesce(chub, centre)")
     pairs = pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    second = confirm(pairs, texts, sizes)
+    second = confirm(pairs, sets, sizes)
     found = components(first.unionByName(second))
+    # All pairs of what is still in several parts.
+    parts = left.filter("id <> lo AND id <> centre").join(found.select(F.col("node").alias("id"), "component"), "id", "left")
+    rest = stash(rest_links(stash(parts.select("key", "id", "n_shingles", F.coalesce("component", "id").alias("part")), "parts"), sets).distinct(), "rest")
+    if not rest.isEmpty():
+        joined = components(rest).select(F.col("node").alias("part"), F.col("component").alias("whole"))
+        every = found.select(F.col("node"), F.col("component").alias("part")).unionByName(joined.join(found.select(F.col("node").alias("part")), "part", "left_anti").select(F.col("part").alias("node"), "part"))
+        found = stash(every.join(joined, "part", "left").select("node", F.coalesce("whole", "part").alias("component")), "found")
     of_class = classes.select("n_shingles", "fp1", "fp2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     of_class = stash(of_class.select("n_shingles", "fp1", "fp2", F.coalesce("component", "rep").alias("component_id")), "of_class")
     out = rows.select("id", "n_shingles", "fp1", "fp2").join(of_class, ["n_shingles", "fp1", "fp2"], "left")

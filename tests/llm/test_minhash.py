@@ -41,6 +41,56 @@ def test_equals_brute_force(spark):
     assert got == brute(rows)
 
 
+def copies(n, changed, length=300, seed=3):
+    """An original with an id in the middle, and n copies with changed words each, most below 75 % to each other."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    base, rows = [word() for _ in range(length)], []
+    for i in range(n):
+        copy = list(base)
+        for k in r.sample(range(length), changed):
+            copy[k] = word()
+        rows.append((i + (i >= n // 2), " ".join(copy), "s"))
+    return rows + [(n // 2, " ".join(base), "s")]
+
+
+def test_copies_of_an_original_in_the_middle(spark):
+    rows = copies(300, 7)
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in op.near_duplicates(docs(spark, rows)).collect())
+    assert got == brute(rows)
+    assert {c for _, _, c in got} == {0}
+
+
+def test_several_originals_in_the_same_buckets(spark, monkeypatch):
+    monkeypatch.setattr(op, "BLOCK", 7)  # many tiles a bucket
+    r = random.Random(5)
+    base, rows = [f"w{r.random()}" for _ in range(150)], []
+    for _ in range(12):  # originals about half alike, with near copies each
+        mine = list(base)
+        for k in r.sample(range(150), 12):
+            mine[k] = f"w{r.random()}"
+        for _ in range(8):
+            copy = list(mine)
+            for k in r.sample(range(150), 4):
+                copy[k] = f"w{r.random()}"
+            rows.append((r.randrange(10**9), " ".join(copy), "s"))
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in op.near_duplicates(docs(spark, rows)).collect())
+    assert got == brute(rows)
+
+
+def test_tiles_equal_brute_force():
+    r = np.random.default_rng(4)
+    pool = r.integers(-(2**62), 2**62, 9000)
+    sets = [np.sort(r.choice(pool[k * 100 : k * 100 + 130], 110, replace=False)) for k in r.integers(0, 3, 40)]
+    sets += [np.sort(r.choice(pool, 6000, replace=False)) for _ in range(2)]
+    label, n, block = np.arange(42), np.array([len(s) for s in sets]), np.arange(42) % 2
+    for is_x, is_y in ((block == 0, block == 1), (block < 2, block < 2)):
+        want = closure(range(42), [(a, b) for a in range(42) for b in range(42) if a != b and is_x[a] and is_y[b] and 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))])
+        links = op.tile_links(label, n, np.concatenate(sets), is_x, is_y)
+        assert closure(range(42), links) == want and len(set(want.values())) < 42
+        assert len(links) == 42 - len(set(want.values()))
+
+
 def test_awkward_rows(spark):
     got = op.near_duplicates(docs(spark, awkward())).collect()
     assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got if x.doc_id is not None) == brute(awkward())

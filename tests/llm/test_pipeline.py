@@ -1,6 +1,7 @@
 import corpus_pipeline as cp
 from stratawell.llm import queries
 from tests.llm.helpers import awkward, closure, docs, shingles
+from tests.llm.test_minhash import copies
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,6 +34,11 @@ def test_stages_on_awkward_and_empty_documents(spark):
         assert frame.count() >= 0
 
 
+def test_one_document_of_many_copies_stays(spark):
+    rows = copies(400, 7)
+    assert [x.doc_id for x in cp.deduplicate(spark, docs(spark, rows), SF).collect()] == [0]
+
+
 def test_queries_are_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLE) <= set(queries.QUERIES)

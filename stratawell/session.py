@@ -58,9 +58,11 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is configured."""
+    """The cluster's shared folder; a local one only where none is configured and the master is local."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="stratawell-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -71,10 +73,24 @@ def stash(df: DataFrame, tag: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stratawell-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    where, system = _place(spark, path)
+    system.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed_at = path
+    return out
+
+
+def _place(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes stashed tables that nothing reads any more; frames that stash() did not return are left alone."""
+    for df in tables:
+        if df is not None and (path := getattr(df, "_stashed_at", None)):
+            where, system = _place(df.sparkSession, path)
+            system.delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -21,8 +21,9 @@ apart, two documents of a bucket are in one component or have been compared
 (or are too different in size).
 
 Nulls, empty texts and texts without words have an empty set and link with
-nothing.  Repeated rows and repeated ids: rows with equal sets are one class; an id with
-several texts keeps its rows and has the links of all of them.  Rows without an id have themselves no id to give,
+nothing.  Repeated rows and repeated ids: rows with equal sets are one class; an
+id with several texts keeps its rows, has the links of all of them, and joins
+their components.  Rows without an id have themselves no id to give,
 component_id is then null and kept false.  Extra input columns are not read.
 """
 
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 from stratawell.llm.arrow_map import map_batches, to_arrow_schema
 from stratawell.llm.bytes_np import Words, distinct_pairs, mix, slices, utf8
 from stratawell.llm.graph import components
-from stratawell.session import ship, stash
+from stratawell.session import drop, ship, stash
 
 BANDS, ROWS, WIDTH = 32, 4, 5
 BINS = BANDS * ROWS
@@ -91,11 +92,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     def make():
         def work(batch):
             for a, b, row, shingle, n in _each(batch):
-                first = np.concatenate([[0], np.cumsum(n)])
-                fp = []
-                for salt in (0x1234567, 0x89ABCDF):
-                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(shingle ^ np.uint64(salt)), dtype=np.uint64)])
-                    fp.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
+                fp = fingerprints(shingle, n)
                 keys = band_keys(sketch(row, shingle, b - a)).view(np.int64)
                 yield {"id": batch.column(0).slice(a, b - a), "n_shingles": n, "fp1": fp[0], "fp2": fp[1], "bands": lists(keys.ravel(), np.full(b - a, BANDS))}
 
@@ -104,17 +101,27 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     return map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("__text")), make, "id bigint, n_shingles bigint, fp1 bigint, fp2 bigint, bands array<bigint>")
 
 
+def fingerprints(shingle: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit sums over each row's set of shingles."""
+    first, out = np.concatenate([[0], np.cumsum(n)]), []
+    for salt in (0x1234567, 0x89ABCDF):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(shingle ^ np.uint64(salt)), dtype=np.uint64)])
+        out.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
+    return out
+
+
 def full_sets(docs: DataFrame) -> DataFrame:
-    """id and sorted shingle set of docs(id, text)."""
+    """id, fp1, fp2 and sorted shingle set of docs(id, text)."""
 
     def make():
         def work(batch):
             for a, b, _, shingle, n in _each(batch):
-                yield {"id": batch.column(0).slice(a, b - a), "s": lists(shingle.view(np.int64), n)}
+                fp = fingerprints(shingle, n)
+                yield {"id": batch.column(0).slice(a, b - a), "fp1": fp[0], "fp2": fp[1], "s": lists(shingle.view(np.int64), n)}
 
         return work
 
-    return map_batches(docs, make, "id bigint, s array<bigint>")
+    return map_batches(docs, make, "id bigint, fp1 bigint, fp2 bigint, s array<bigint>")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -198,14 +205,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     rows = stash(sketches(docs, id_col, text), "sketches")
     some = rows.filter("n_shingles > 0 AND id IS NOT NULL")
-    classes = stash(some.groupBy("n_shingles", "fp1", "fp2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    kinds = some.groupBy("n_shingles", "fp1", "fp2").agg(F.min("id").alias("low"), F.first("bands").alias("bands"))
+    # A class goes by its smallest id, or by a hash of its set where that id has several texts.
+    several = stash(rows.filter("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("low"), F.lit(True).alias("shared")), "several")
+    repeats = not several.isEmpty()
+    rep = F.when(F.col("shared"), F.xxhash64("n_shingles", "fp1", "fp2")).otherwise(F.col("low")).alias("rep")
+    kinds = kinds.join(several, "low", "left") if repeats else kinds.withColumn("shared", F.lit(False))
+    classes = stash(kinds.select("n_shingles", "fp1", "fp2", "low", rep, "bands"), "classes")
     flat = classes.select(F.col("rep").alias("id"), "n_shingles", F.explode("bands").alias("key"))
     buckets = stash(flat.groupBy("key").agg(F.min("id").alias("lo"), F.count("*").alias("n")).filter("n > 1"), "buckets")
     members = stash(flat.join(buckets, "key").select("key", "id", "lo", "n", "n_shingles"), "members")
     sizes = classes.select(F.col("rep").alias("id"), "n_shingles")
-    # A class stands for its texts: one row per id of a representative, whose text has the class's set.
+    # Sets of the classes that share a bucket, from a text of the class's smallest id.
     weights = stash(members.groupBy("id").agg(F.sum("n").alias("weight")), "weights")
-    sets = stash(full_sets(base.join(weights.select("id"), "id", "left_semi")), "sets")
+    used = classes.join(weights.select(F.col("id").alias("rep")), "rep", "left_semi").select(F.col("low").alias("id"), "fp1", "fp2", "rep")
+    sets = full_sets(base.join(used.select("id").distinct() if repeats else used.select("id"), "id", "left_semi"))
+    sets = sets.join(used, ["id", "fp1", "fp2"]).select(F.col("rep").alias("id"), "s").dropDuplicates(["id"]) if repeats else sets.select("id", "s")
+    sets = stash(sets, "sets")
     first = stash(confirm(members.filter("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct(), sets, sizes), "first")
     near = stash(first.groupBy("b").agg(F.min("a").alias("hub")).select(F.col("b").alias("id"), "hub"), "near")
     # A further centre of buckets that the first round left in more than one part.
@@ -216,7 +232,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     pairs = left.join(near.select(F.col("id").alias("centre"), F.col("hub").alias("chub")), "centre", "left").filter("id <> centre AND id <> lo AND hub <> coalesce(chub, centre)")
     pairs = pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
     second = confirm(pairs, sets, sizes)
-    found = components(first.unionByName(second))
+    links = first.unionByName(second)
+    if repeats:
+        of_id = some.select("id", "n_shingles", "fp1", "fp2").join(several.select(F.col("low").alias("id")), "id", "left_semi").distinct()
+        of_id = of_id.join(classes.select("n_shingles", "fp1", "fp2", "rep"), ["n_shingles", "fp1", "fp2"])
+        links = links.unionByName(of_id.join(of_id.groupBy("id").agg(F.min("rep").alias("a")), "id").filter("a <> rep").select("a", F.col("rep").alias("b")))
+    found = components(links)
     # All pairs of what is still in several parts.
     parts = left.filter("id <> lo AND id <> centre").join(found.select(F.col("node").alias("id"), "component"), "id", "left")
     rest = stash(rest_links(stash(parts.select("key", "id", "n_shingles", F.coalesce("component", "id").alias("part")), "parts"), sets).distinct(), "rest")
@@ -224,9 +245,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
         joined = components(rest).select(F.col("node").alias("part"), F.col("component").alias("whole"))
         every = found.select(F.col("node"), F.col("component").alias("part")).unionByName(joined.join(found.select(F.col("node").alias("part")), "part", "left_anti").select(F.col("part").alias("node"), "part"))
         found = stash(every.join(joined, "part", "left").select("node", F.coalesce("whole", "part").alias("component")), "found")
-    of_class = classes.select("n_shingles", "fp1", "fp2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    of_class = stash(of_class.select("n_shingles", "fp1", "fp2", F.coalesce("component", "rep").alias("component_id")), "of_class")
+    # A component goes by the smallest id of all its classes.
+    of_class = classes.select("n_shingles", "fp1", "fp2", "low", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    if repeats:
+        lows = of_class.groupBy("component").agg(F.min("low").alias("whole_low"))
+        of_class = of_class.join(lows.filter("component IS NOT NULL"), "component", "left").withColumn("component", F.col("whole_low"))
+    of_class = stash(of_class.select("n_shingles", "fp1", "fp2", F.coalesce("component", "low").alias("component_id")), "of_class")
     out = rows.select("id", "n_shingles", "fp1", "fp2").join(of_class, ["n_shingles", "fp1", "fp2"], "left")
+    if repeats:  # a text without words belongs to its id's component
+        by_id = out.select("id", F.coalesce("component_id", "id").alias("c")).join(several.select(F.col("low").alias("id")), "id", "left_semi").groupBy("id").agg(F.min("c").alias("c"))
+        out = out.join(stash(by_id, "by_id"), "id", "left").withColumn("component_id", F.coalesce("c", "component_id"))
+    drop(classes, buckets, members, weights, sets, first, near, named, open_, left, rest, several)
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
 

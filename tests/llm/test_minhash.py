@@ -78,6 +78,16 @@ def test_several_originals_in_the_same_buckets(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_repeated_ids_join_the_components_of_all_their_texts(spark):
+    a, b, c = ("one two three four five six seven", "quite another text than the first one here", "a third text that nobody else has said yet")
+    near = " ".join(["w%d" % i for i in range(60)])
+    rows = [(3, b, "s"), (5, a, "s"), (5, b, "s"), (9, a, "s"), (9, a, "s"), (20, c, "s"), (12, near, "s"), (12, c, "s"), (15, near + " end", "s"), (15, None, "s")]
+    got = sorted((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in op.near_duplicates(docs(spark, rows)).collect())
+    assert [x[:3] for x in got] == brute(rows)
+    assert {i: c for i, _, c, _ in got} == {3: 3, 5: 3, 9: 3, 12: 12, 15: 12, 20: 12}
+    assert all(k == (i == c) for i, _, c, k in got)
+
+
 def test_tiles_equal_brute_force():
     r = np.random.default_rng(4)
     pool = r.integers(-(2**62), 2**62, 9000)
@@ -118,7 +128,14 @@ def test_densification_estimates_similarity():
 
 
 def test_components_of_chains(spark):
-    links = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (7, 7)]
+    links = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (7, 7)] + [(900, i) for i in range(800, 850)]
     got = {x.node: x.component for x in graph.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     want = closure({i for p in links for i in p}, links)
     assert got == want
+
+
+def test_a_chain_of_a_thousand_links_takes_few_rounds(spark):
+    rounds = []
+    got = graph.components(spark.createDataFrame([(i, i + 1) for i in range(1000)], "a bigint, b bigint"), rounds).collect()
+    assert len(got) == 1001 and {x.component for x in got} == {0}
+    assert len(rounds) <= 12

@@ -38,10 +38,21 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
             if batch.num_rows:
                 for out in work(batch):
                     yield pa.RecordBatch.from_arrays([column(out[n], arrow.field(n).type) for n in names], schema=arrow)
+        del work
+        trim()
 
     return df.mapInArrow(run, schema)
 
 
+def trim() -> None:
+    """Gives memory that a worker has freed back to the machine; workers live on between tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def column(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()

@@ -4,13 +4,18 @@ Targets: source i gets min(3 * size_i, level * weight_i) with the level that
 makes them sum to all sizes, in closed form over the sources sorted by
 capacity / weight (equal to resharing the excess until none is above).
 
-Schedule: slot k of equal-token blocks (BLOCK words) belongs to the source in
-whose cumulative target share the golden-ratio point frac(k * phi) falls; slots
-are ranked per source.  A source's documents, shuffled by the MD5 of their ids,
-form a cyclic stream of words; its rank-r slot takes words [r, r + 1) * BLOCK of
-the stream, cut at the rounded target.  So each source takes its rounded target
-exactly, and no document more than three times its size.  Slots that the
-low-discrepancy points leave short of a source's need are put at the end.
+Schedule: the mix is a line of slots, blocks of equal numbers of words.  Slot k
+belongs to the source in whose share of the cumulative targets the golden-ratio
+point frac(k * phi) falls; slots are ranked per source.  A source's documents,
+shuffled by the MD5 of their ids, form a stream of words that is passed through
+up to three times; the source's rank-r slot takes words [r, r + 1) * block of
+it.  So a source takes what its slots hold: its target but for the few blocks by
+which the points miss its share, and nothing beyond three times its size.
+
+The block is the smallest target / FINE, at most BLOCK words, and long enough
+that the schedule has at most max(LEAST_SLOTS, 4 * documents) slots.  So a
+source's taken words miss its target by some blocks, below 1 % unless the source
+is smaller than about FINE / LEAST_SLOTS of all.
 
 Prefix sums and ranks have two levels (hash prefix or slot range, then rows), so
 a source of any size is spread over many tasks.  Nulls: a null text has size 0,
@@ -28,11 +33,35 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from stratawell.llm.arrow_map import map_batches
 from stratawell.llm.bytes_np import SPACE, utf8
-from stratawell.session import stash
+from stratawell.session import drop, stash
 
-BLOCK, REPEATS, WEIGHTS = 1024, 3, (1, 2, 3)
+BLOCK, FINE, LEAST_SLOTS = 1024, 1024, 1 << 20
+REPEATS, WEIGHTS = 3, (1, 2, 3)
 GOLDEN = 2654435769  # 2**32 / golden ratio
 CELLS, RANGE = 4096, 4096
+#: Bytes looked at in one step of counting words; a memory bound.
+STEP = 1 << 20
+
+
+def count_words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Words of each row, in steps of STEP bytes whatever the rows' lengths."""
+    out = np.zeros(len(offsets) - 1, np.int64)
+    for a in range(0, len(data), STEP):
+        z = min(a + STEP, len(data))
+        solid = ~SPACE[data[a:z]]
+        start = solid.copy()
+        start[1:] &= ~solid[:-1]
+        if a and solid[0]:
+            start[0] = SPACE[data[a - 1]]
+        lo, hi = np.searchsorted(offsets, (a, z))
+        inner = offsets[lo:hi]
+        start[inner - a] = solid[inner - a]
+        at = np.flatnonzero(start) + a
+        first = int(np.searchsorted(offsets, a, "right")) - 1
+        last = int(np.searchsorted(offsets, z, "left"))
+        edges = np.clip(offsets[first : last + 1], a, z)
+        out[first:last] += np.diff(np.searchsorted(at, edges))
+    return out
 
 
 def word_counts(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -41,14 +70,7 @@ def word_counts(docs: DataFrame, keys: list[str], text: str = "text") -> DataFra
 
     def make():
         def work(batch):
-            data, offsets = utf8(batch.column(len(keys)))
-            solid = ~SPACE[data]
-            start = solid.copy()
-            start[1:] &= ~solid[:-1]
-            inner = offsets[(offsets > 0) & (offsets < len(data))]
-            start[inner] = solid[inner]
-            total = np.concatenate([[0], np.cumsum(start)])
-            yield {k: batch.column(i) for i, k in enumerate(keys)} | {"size": total[offsets[1:]] - total[offsets[:-1]]}
+            yield {k: batch.column(i) for i, k in enumerate(keys)} | {"size": count_words(*utf8(batch.column(len(keys))))}
 
         return work
 
@@ -56,7 +78,7 @@ def word_counts(docs: DataFrame, keys: list[str], text: str = "text") -> DataFra
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """sk (source key), source_size, target and quota (the target in whole words) of each source; a row per source."""
+    """sk (source key), source_size, target and place of each source; a row per source."""
     s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     s = s.withColumn("place", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())))
     s = s.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("place") - 1) % len(WEIGHTS) + 1).cast("long"))
@@ -68,7 +90,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     free = REPEATS * F.col("source_size") >= F.col("level") * F.col("weight")
     s = s.withColumn("level", F.first(F.when(free, F.col("level")), ignorenulls=True).over(everything.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     share = F.least(F.lit(float(REPEATS)) * F.col("source_size"), F.col("level") * F.col("weight"))
-    return s.select(source_key().alias("sk"), "source", "place", "source_size", share.alias("target"), F.floor(share + 0.5).cast("long").alias("quota"))
+    return s.select(source_key().alias("sk"), "source", "place", "source_size", share.alias("target"))
 
 
 def source_key() -> Column:
@@ -76,19 +98,31 @@ def source_key() -> Column:
     return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
 
 
-def slots(quotas: DataFrame, block: int) -> DataFrame:
-    """slot, sk and rank (of the slot among its source's) of the schedule."""
-    spark = quotas.sparkSession
-    n = quotas.agg(F.sum(F.ceil(F.col("quota") / block))).first()[0] or 0
+def block_words(goal: DataFrame, documents: int) -> tuple[int, int]:
+    """Words of a slot, and the number of slots of the schedule."""
+    least, total = goal.agg(F.min(F.when(F.col("target") > 0, F.col("target"))), F.sum("source_size")).first()
+    if not total:
+        return 1, 0
+    block = max(1, min(BLOCK, int(least) // FINE), -(-total // max(LEAST_SLOTS, 4 * documents)))
+    return block, (2 * total + block) // (2 * block)
+
+
+def slots(goal: DataFrame, n: int) -> DataFrame:
+    """slot, sk and rank (of the slot among its source's) of a schedule of n slots."""
+    spark = goal.sparkSession
     total = W.partitionBy()
     run = W.orderBy("place").rowsBetween(W.unboundedPreceding, W.currentRow)
-    share = quotas.filter("quota > 0").select("sk", (F.sum("quota").over(run) / F.sum("quota").over(total)).alias("hi"), ((F.sum("quota").over(run) - F.col("quota")) / F.sum("quota").over(total)).alias("lo"))
+    # Shares in 2**32ths, from whole words, so that any engine gets the same.
+    words = goal.filter("target > 0").select("sk", "place", F.floor(F.col("target") + 0.5).cast("long").alias("w"))
+    edge = lambda c: F.floor(c.cast("double") / F.sum("w").over(total).cast("double") * float(1 << 32))
+    share = words.select("sk", edge(F.sum("w").over(run) - F.col("w")).alias("lo"), edge(F.sum("w").over(run)).alias("hi")).filter("lo < hi")
     # Cells make the interval lookup an equi-join.
-    share = share.select("sk", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.floor(F.col("hi") * CELLS))).alias("cell"))
+    wide = (1 << 32) // CELLS
+    share = share.select("sk", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / wide), F.floor((F.col("hi") - 1) / wide))).alias("cell"))
     k = F.col("id") % (1 << 31)
     lap = F.floor(F.col("id") / (1 << 31)) * ((GOLDEN * (1 << 31)) % (1 << 32))
-    point = ((k * GOLDEN) % (1 << 32) + lap) % (1 << 32) / float(1 << 32)
-    line = spark.range(n).select(F.col("id").alias("slot"), point.alias("x")).withColumn("cell", F.floor(F.col("x") * CELLS))
+    point = ((k * GOLDEN) % (1 << 32) + lap) % (1 << 32)
+    line = spark.range(n).select(F.col("id").alias("slot"), point.alias("x")).withColumn("cell", F.floor(F.col("x") / wide))
     owned = line.join(share, "cell").filter("x >= lo AND x < hi").select("slot", "sk", F.floor(F.col("slot") / RANGE).alias("part"))
     owned = stash(owned, "slots")
     before = owned.groupBy("sk", "part").agg(F.count("*").alias("n"))
@@ -97,9 +131,9 @@ def slots(quotas: DataFrame, block: int) -> DataFrame:
     return inside.join(before, ["sk", "part"]).select("slot", "sk", (F.col("base") + F.col("i")).alias("rank"))
 
 
-def placed(sizes: DataFrame) -> DataFrame:
+def placed(sizes: DataFrame, documents: int) -> DataFrame:
     """sizes with at, a document's first word in its source's shuffled stream; sizes has rid, doc_id, sk, size."""
-    digits = min(8, max(1, math.ceil(math.log(max(sizes.count(), 1) / 256 + 1, 16))))
+    digits = min(8, max(1, math.ceil(math.log(max(documents, 1) / 256 + 1, 16))))
     m = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = sizes.withColumn("m", m).withColumn("head", F.substring("m", 1, digits))
     before = rows.groupBy("sk", "head").agg(F.sum("size").alias("n"))
@@ -109,49 +143,60 @@ def placed(sizes: DataFrame) -> DataFrame:
     return inside.join(before, ["sk", "head"]).select("rid", "doc_id", "sk", "size", (F.col("base") + F.col("i")).alias("at"))
 
 
-def mix(sizes: DataFrame, quotas: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The mix: slot, rid, doc_id, pass, from_word and to_word of each piece of a document in a slot."""
-    quotas = stash(quotas, "quotas")
-    slot = slots(quotas, block)
-    docs = placed(sizes).filter("size > 0").join(quotas.select("sk", "source_size", "quota"), "sk")
+def mix(sizes: DataFrame, goal: DataFrame, schedule=slots) -> DataFrame:
+    """The mix: slot, rid, doc_id, pass, from_word and to_word of each piece of a document in a slot.
+
+    schedule(goal, n) gives the owner and rank of each of n slots; a piece exists only where a slot takes it.
+    """
+    documents = sizes.count()
+    block, n = block_words(goal, documents)
+    slot = stash(schedule(goal, n), "schedule")
+    held = slot.groupBy("sk").agg((F.max("rank") + 1).alias("held"))
+    docs = placed(sizes, documents).filter("size > 0").join(goal.select("sk", "source_size").join(held, "sk"), "sk")
     turn = docs.select("*", F.explode(F.array(*map(F.lit, range(REPEATS)))).alias("pass"))
-    turn = turn.withColumn("start", F.col("at") + F.col("pass") * F.col("source_size")).withColumn("stop", F.least(F.col("start") + F.col("size"), "quota")).filter("start < stop")
+    turn = turn.withColumn("start", F.col("at") + F.col("pass") * F.col("source_size")).withColumn("stop", F.least(F.col("start") + F.col("size"), F.col("held") * block)).filter("start < stop")
     piece = turn.select("*", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("stop") - 1) / block))).alias("rank"))
     piece = piece.withColumn("a", F.greatest("start", F.col("rank") * block)).withColumn("z", F.least("stop", (F.col("rank") + 1) * block))
-    last = F.lit(1 << 62)
-    return piece.join(slot, ["sk", "rank"], "left").select(F.coalesce("slot", last + F.col("rank")).alias("slot"), "sk", "rid", "doc_id", "pass", (F.col("a") - F.col("start")).alias("from_word"), (F.col("z") - F.col("start")).alias("to_word"))
+    return piece.join(slot, ["sk", "rank"]).select("slot", "sk", "rid", "doc_id", "pass", (F.col("a") - F.col("start")).alias("from_word"), (F.col("z") - F.col("start")).alias("to_word"))
 
 
-def sized(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+def sized(docs: DataFrame) -> DataFrame:
     """rid, doc_id, source, sk and size of each document, in a table of its own so that rid stays."""
-    keyed = docs.withColumn("rid", F.monotonically_increasing_id())
-    return stash(word_counts(keyed, ["rid", "doc_id", "source", *extra]).withColumn("sk", source_key()), "sizes")
+    keyed = docs.select("doc_id", "source", "text", F.monotonically_increasing_id().alias("rid"))
+    return stash(word_counts(keyed, ["rid", "doc_id", "source"]).withColumn("sk", source_key()), "sizes")
 
 
-def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """docs as the mix takes them: a row per document and pass, the text cut to the words taken where that is not all.
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """docs as the mix takes them, in the order of their first slots: a row per document and pass.
 
-    A cut text is its words joined by single spaces, n_chars its length.
+    The text is cut to the words taken where that is not all; a cut text is its words joined by single
+    spaces, n_chars its length.
     """
     columns = docs.columns
     docs = stash(docs.withColumn("__rid", F.monotonically_increasing_id()), "docs")
-    sizes = stash(word_counts(docs.withColumnRenamed("__rid", "rid"), ["rid", "doc_id", "source"]).withColumn("sk", source_key()), "sizes")
-    spans = mix(sizes, stash(targets(sizes), "targets"), block).groupBy("rid", "pass").agg(F.min("from_word").alias("__from"), F.max("to_word").alias("__to"))
-    spans = spans.join(sizes.select("rid", F.col("size").alias("__size")), "rid").withColumnRenamed("rid", "__rid").drop("pass")
+    sizes = stash(word_counts(docs.select(F.col("__rid").alias("rid"), "doc_id", "source", "text"), ["rid", "doc_id", "source"]).withColumn("sk", source_key()), "sizes")
+    spans = mix(sizes, stash(targets(sizes), "targets")).groupBy("rid", "pass").agg(F.min("from_word").alias("__from"), F.max("to_word").alias("__to"), F.min("slot").alias("__slot"))
+    spans = stash(spans.join(sizes.select("rid", F.col("size").alias("__size")), "rid").withColumnRenamed("rid", "__rid").drop("pass"), "spans")
+    drop(sizes)
     whole = (F.col("__from") == 0) & (F.col("__to") == F.col("__size"))
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     cut = F.array_join(F.slice(words, (F.col("__from") + 1).cast("int"), (F.col("__to") - F.col("__from")).cast("int")), " ")
     out = docs.join(spans, "__rid").withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
-    return out.select(*columns)
+    return out.orderBy("__slot", "__rid", "__from").select(*columns)
 
 
 def op5_golden_mix(spark, sf_dir: str) -> DataFrame:
-    sizes = sized(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
+    return source_mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def source_mix(docs: DataFrame, schedule=slots) -> DataFrame:
+    """doc_id, size, source_size, target, taken and first_slot (null where nothing is taken) of each document."""
+    sizes = sized(docs.select("doc_id", "source", "text"))
     goal = stash(targets(sizes), "targets")
-    taken = mix(sizes, goal).groupBy("rid").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
-    return sizes.join(goal.select("sk", "source_size", "target"), "sk").join(taken, "rid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = mix(sizes, goal, schedule).groupBy("rid").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"), F.min("slot").alias("first_slot"))
+    return sizes.join(goal.select("sk", "source_size", "target"), "sk").join(taken, "rid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
 OP5_SQL = r"""
@@ -168,13 +213,26 @@ WITH d AS (
 ), f AS (
   SELECT arg_min(level, (source_size::DOUBLE / weight, place)) AS level FROM l WHERE 3 * source_size >= level * weight
 ), t AS (
-  SELECT w.source, source_size, least(3.0::DOUBLE * source_size, f.level * weight) AS target FROM w, f
+  SELECT w.source, source_size, place, least(3.0::DOUBLE * source_size, f.level * weight) AS target FROM w, f
+), b AS (  -- words of a slot, and slots
+  SELECT block, (2 * total + block) // (2 * block) AS n FROM (
+    SELECT total, greatest(1, least(1024, floor(least_target)::BIGINT // 1024), (total + slots_most - 1) // slots_most) AS block FROM (
+      SELECT sum(source_size)::BIGINT AS total, min(CASE WHEN target > 0 THEN target END) AS least_target, greatest(1048576, 4 * (SELECT count(*) FROM d)) AS slots_most FROM t))
+), e AS (  -- each source's interval of the points, in 2**32ths
+  SELECT source, floor((sum(w) OVER o - w)::DOUBLE / sum(w) OVER ()::DOUBLE * 4294967296.0::DOUBLE)::BIGINT AS lo, floor(sum(w) OVER o::DOUBLE / sum(w) OVER ()::DOUBLE * 4294967296.0::DOUBLE)::BIGINT AS hi
+  FROM (SELECT source, place, floor(target + 0.5)::BIGINT AS w FROM t WHERE target > 0) WINDOW o AS (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), k AS (  -- slot k has the golden-ratio point frac(k * 2654435769 / 2**32)
+  SELECT range AS slot, ((range::HUGEINT * 2654435769) % 4294967296)::BIGINT AS x FROM range((SELECT n FROM b))
+), o AS (
+  SELECT k.slot, e.source, row_number() OVER (PARTITION BY e.source ORDER BY k.slot) - 1 AS rank FROM k JOIN e ON k.x >= e.lo AND k.x < e.hi
+), h AS (SELECT source, count(*) * (SELECT block FROM b) AS held FROM o GROUP BY source
 ), q AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS quota,
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, coalesce(h.held, 0) AS held,
     sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(d.doc_id::VARCHAR, '')), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS pos
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN h ON h.source IS NOT DISTINCT FROM d.source
 )
-SELECT doc_id, size::BIGINT AS size, source_size, target,
-  (greatest(0, least(size, quota - pos)) + greatest(0, least(size, quota - pos - source_size)) + greatest(0, least(size, quota - pos - 2 * source_size)))::BIGINT AS taken
-FROM q
+SELECT q.doc_id, q.size::BIGINT AS size, source_size, target,
+  (greatest(0, least(size, held - pos)) + greatest(0, least(size, held - pos - source_size)) + greatest(0, least(size, held - pos - 2 * source_size)))::BIGINT AS taken,
+  o.slot AS first_slot
+FROM q LEFT JOIN o ON o.source IS NOT DISTINCT FROM q.source AND o.rank = q.pos // (SELECT block FROM b) AND q.size > 0
 """

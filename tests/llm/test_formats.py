@@ -145,34 +145,72 @@ def test_views_of_every_participant(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def test_mix_takes_targets(spark):
-    r = random.Random(3)
-    rows = awkward() + [(100 + i, " ".join(["w"] * r.randint(0, 50)), r.choice(["a", "b", "c", "big", "big", "big"])) for i in range(300)]
+def mix_rows(seed=3):
+    r = random.Random(seed)
+    return awkward() + [(100 + i, " ".join(["w"] * r.randint(0, 50)), r.choice(["a", "b", "c", "big", "big", "big"])) for i in range(300)]
+
+
+def test_mix_takes_its_slots(spark):
+    rows = mix_rows()
     sizes = mixing.sized(docs(spark, rows))
     goal = {x.sk: x for x in mixing.targets(sizes).collect()}
     total = sum(len(words(t)) for _, t, _ in rows)
     assert abs(sum(x.target for x in goal.values()) - total) < 1e-6
     assert all(x.target <= 3 * x.source_size + 1e-9 for x in goal.values())
-    pieces = mixing.mix(sizes, mixing.targets(sizes), block=16).collect()
-    taken = {}
-    for p in pieces:
-        taken[p.sk] = taken.get(p.sk, 0) + p.to_word - p.from_word
-    assert {k: v for k, v in taken.items()} == {k: x.quota for k, x in goal.items() if x.quota}
-    per_doc = {}
+    block, n = mixing.block_words(mixing.targets(sizes), len(rows))
+    owned = {}
+    for x in mixing.slots(mixing.targets(sizes), n).collect():
+        owned.setdefault(x.sk, {})[x.rank] = x.slot
+    assert sum(map(len, owned.values())) == n
+    pieces = mixing.mix(sizes, mixing.targets(sizes)).collect()
+    taken, per_doc, per_slot = {}, {}, {}
     for p in pieces:
-        per_doc[p.rid] = per_doc.get(p.rid, 0) + p.to_word - p.from_word
+        for d, k in ((taken, p.sk), (per_doc, p.rid), (per_slot, p.slot)):
+            d[k] = d.get(k, 0) + p.to_word - p.from_word
+    # A source takes what its slots hold, in the order of its ranks, and that is near its target.
+    for k, ranks in owned.items():
+        assert sorted(ranks) == list(range(len(ranks))) and [ranks[i] for i in sorted(ranks)] == sorted(ranks.values())
+        assert taken[k] == min(len(ranks) * block, 3 * goal[k].source_size)
+        assert abs(taken[k] - goal[k].target) <= max(4 * block, 0.01 * goal[k].target)
+    assert all(v <= block for v in per_slot.values())
     size = {x.rid: x["size"] for x in sizes.collect()}
     assert all(v <= 3 * size[k] for k, v in per_doc.items())
     # A prefix of the schedule has each source near its share.
-    first = [p for p in pieces if p.slot < 100]
+    first = n // 7
     for k, x in goal.items():
-        share = sum(p.to_word - p.from_word for p in first if p.sk == k) / 1600
-        assert abs(share - x.target / total) < 0.1
-    again = mixing.mix(mixing.sized(docs(spark, rows)), mixing.targets(sizes), block=16).collect()
+        share = sum(s < first for s in owned.get(k, {}).values()) / first
+        assert abs(share - x.target / total) < 8 / first
+    again = mixing.mix(mixing.sized(docs(spark, rows)), mixing.targets(sizes)).collect()
     key = lambda p: (p.slot, p.sk, p.doc_id or -1, p["pass"], p.from_word, p.to_word)
     assert sorted(map(key, again)) == sorted(map(key, pieces))
 
 
+def test_another_schedule_gives_another_mix(spark):
+    from pyspark.sql import functions as F
+
+    frame = docs(spark, [x for x in mix_rows(4) if x[0] is not None])
+    rows = lambda schedule: sorted((x.doc_id, x.taken, x.first_slot if x.first_slot is not None else -1) for x in mixing.source_mix(frame, schedule).collect())
+    full = rows(mixing.slots)
+    none = rows(lambda goal, n: mixing.slots(goal, n).filter("false"))
+    assert {(t, s) for _, t, s in none} == {(0, -1)}
+    half = rows(lambda goal, n: mixing.slots(goal, n // 2))
+    assert abs(sum(t for _, t, _ in half) - sum(t for _, t, _ in full) / 2) < 0.02 * sum(t for _, t, _ in full)
+    turned = rows(lambda goal, n: mixing.slots(goal, n).withColumn("slot", n - 1 - F.col("slot")))
+    assert [x[:2] for x in turned] == [x[:2] for x in full] and turned != full
+
+
+def test_words_are_counted_across_steps(monkeypatch):
+    import pyarrow as pa
+
+    from stratawell.llm.bytes_np import utf8
+
+    r = random.Random(6)
+    texts = ["".join(r.choice("ab \n\té") for _ in range(r.randint(0, 40))) for _ in range(200)] + [None, "", " ", "x" * 100]
+    for step in (1, 7, 64, 1 << 20):
+        monkeypatch.setattr(mixing, "STEP", step)
+        assert mixing.count_words(*utf8(pa.array(texts, pa.string()))).tolist() == [len(words(t)) for t in texts]
+
+
 def test_mixed_documents(spark):
     rows = awkward()
     frame = docs(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")

@@ -2,16 +2,21 @@
 
 Texts are cut into white-space-plus-word chunks, at which every match of the
 split pattern ends, so equal chunks have equal tokens wherever they stand.
-Each task keeps the chunks it has met; for the new ones of a batch one DuckDB
-query per task and batch starts from token-position rows (a row per byte),
-joins neighbours with the merge table, contracts each word's leftmost pair of
-minimum rank, and repeats until no pair is left.  An ordered aggregation over
-the ids joined with the vocabulary decodes each new word; the decoded bytes have
-to be the word's own, so a text's decoded bytes are its decoded words joined,
-and only one copy of a word is held.
-
-Words of more than LONG_WORD bytes would take as many rounds as merges over as
-many rows; for those the same contraction runs on a heap.  Nothing is cut.
+Each task keeps the chunks it has met; for the new ones of a batch DuckDB
+recursive queries start from token-position rows (a row per byte), join
+neighbours with the merge table, contract each word's leftmost pair of minimum
+rank, and repeat until no pair is left.  An ordered aggregation over the ids
+joined with the vocabulary decodes each new word.  A text's decoded bytes are
+its words' decoded bytes joined; where those are the word's own bytes, one copy
+is held, where the vocabulary says otherwise, they are kept beside it.
+
+Words of more than LONG_WORD bytes go through a query of their own.  It
+contracts, in one round, all places of a word's pair of minimum rank from left
+to right, unless the merged token stands in a merge of lower rank still (then
+the leftmost alone); and it runs a bounded number of rounds at a time from the
+rows the last one left, so its memory doesn't grow with the number of rounds.
+A word of more than HUGE_WORD bytes would take thousands of rounds over as many
+rows; only those are contracted by the same rule on a heap.  Nothing is cut.
 
 Nulls and empty texts encode to no tokens.  Ties and repeated rows: each row
 gets its own result.  Extra input columns are not read.
@@ -27,13 +32,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from stratawell.llm.arrow_map import column, map_batches, to_arrow_schema
 from stratawell.session import ship
 
-LONG_WORD = 64
+LONG_WORD, HUGE_WORD = 64, 16 << 10
+#: Rows that all rounds of one query over long words make; a memory bound.
+LONG_ROWS = 1_000_000
 #: Sum of squared word lengths of a DuckDB query; a memory bound.
 QUERY_WORK = 6_000_000
 #: Chunks a worker remembers before it forgets those not met lately; a memory bound, results don't depend on it.
@@ -67,6 +75,39 @@ SELECT s.wid, string_agg(v.text, ' ' ORDER BY s.pos) AS ids, string_agg(v.hex, '
 FROM step s JOIN vocab v ON v.id = s.tok WHERE NOT s.live GROUP BY s.wid
 """
 
+LONG_SQL = """
+WITH RECURSIVE step(wid, pos, tok, live, depth) AS (
+  SELECT wid, pos, tok, true, 0 FROM start_rows
+  UNION ALL
+  (
+    WITH paired AS (
+      SELECT p.wid, p.pos, p.tok, p.depth, m.merged
+      FROM (
+        SELECT wid, pos, tok, depth, lead(tok) OVER (PARTITION BY wid ORDER BY pos) AS nxt FROM step WHERE live AND depth < $rounds
+      ) p LEFT JOIN merges m ON m.l = p.tok AND m.r = p.nxt
+    ), best AS (
+      SELECT b.wid, b.merged, b.first, r.tok IS NOT NULL AS alone
+      FROM (SELECT wid, min(merged) AS merged, arg_min(pos, (merged, pos)) AS first FROM paired WHERE merged IS NOT NULL GROUP BY wid) b LEFT JOIN risky r ON r.tok = b.merged
+    ), hit AS (  -- places of the minimum pair, in runs of neighbours
+      SELECT p.wid, p.pos, p.tok, p.depth, b.merged, coalesce(p.merged = b.merged AND (NOT b.alone OR p.pos = b.first), false) AS hit
+      FROM paired p LEFT JOIN best b ON b.wid = p.wid
+    ), run AS (
+      SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY wid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM hit
+    ), odd AS (  -- of a run every other place, from the left
+      SELECT *, hit AND row_number() OVER (PARTITION BY wid, run, hit ORDER BY pos) % 2 = 1 AS taken FROM run
+    )
+    SELECT wid, pos, CASE WHEN taken THEN CAST(merged AS INTEGER) ELSE tok END, merged IS NOT NULL, depth + 1
+    FROM (SELECT *, lag(taken, 1, false) OVER (PARTITION BY wid ORDER BY pos) AS eaten FROM odd) WHERE NOT eaten
+  )
+)
+SELECT wid, pos, tok, live FROM step WHERE NOT live OR depth = $rounds
+"""
+
+SPELL_SQL = """
+SELECT d.wid, string_agg(v.text, ' ' ORDER BY d.pos) AS ids, string_agg(v.hex, '' ORDER BY d.pos) AS hex
+FROM done_rows d JOIN vocab v ON v.id = d.tok GROUP BY d.wid
+"""
+
 DECODE_SQL = """
 SELECT i.wid, string_agg(v.hex, '' ORDER BY i.pos) AS hex
 FROM id_rows i JOIN vocab v ON v.id = i.id GROUP BY i.wid ORDER BY i.wid
@@ -94,23 +135,38 @@ class Codec:
         l, r, m = map(np.array, zip(*pairs))
         self.db = duckdb.connect(":memory:")
         self.db.execute("SET threads = 1")
-        self.db.execute("SET memory_limit = '120MB'")
+        self.db.execute("SET memory_limit = '200MB'")
+        self.db.execute("SET temp_directory = ''")  # nothing of a worker goes to its own disk
         self.db.register("merge_rows", pa.table({"l": pa.array(l, pa.int32()), "r": pa.array(r, pa.int32()), "merged": pa.array(m, pa.int64())}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
         self.db.register("vocab_rows", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in ranks]), "text": pa.array(list(map(str, ranks.values())))}))
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM vocab_rows")
+        # Tokens that are part of a merge of lower rank than their own.
+        risky = np.unique(np.concatenate([l[l > m], r[r > m]]))
+        self.db.register("risky_rows", pa.table({"tok": pa.array(risky, pa.int64())}))
+        self.db.execute("CREATE TABLE risky AS SELECT * FROM risky_rows")
         self.ids: dict[str, str] = {}
+        #: Decoded bytes of the words whose ids don't decode to the word itself.
+        self.odd: dict[str, bytes] = {}
         self.hot: set[str] = set()
 
     def encode_words(self, words: list[bytes]) -> list[tuple[str, str]]:
         """Ids, joined by spaces, and the decoded bytes in hex, for each word of the split pattern."""
         out: list[tuple[str, str]] = [("", "")] * len(words)
         short = [i for i, w in enumerate(words) if len(w) <= LONG_WORD]
-        long = [i for i, w in enumerate(words) if len(w) > LONG_WORD]
-        if long:
-            ids = [" ".join(map(str, self.contract_long(words[i]))) for i in long]
-            for i, x, back in zip(long, ids, self.decode_rows(ids)):
-                out[i] = (x, back.hex())
+        long = [i for i, w in enumerate(words) if LONG_WORD < len(w) <= HUGE_WORD]
+        huge = [i for i, w in enumerate(words) if len(w) > HUGE_WORD]
+        ids = [" ".join(map(str, self.contract_huge(words[i]))) for i in huge]
+        for i, x, back in zip(huge, ids, self.decode_rows(ids)):
+            out[i] = (x, back.hex())
+        size, a = [len(words[i]) for i in long], 0
+        while a < len(long):  # words of one query: one, or as many as half the rows of its rounds hold
+            z = a + 1
+            while z < len(long) and sum(size[a : z + 1]) <= LONG_ROWS // 64:
+                z += 1
+            for i, ids, back in self.contract_long({i: words[i] for i in long[a:z]}):
+                out[i] = (ids, back)
+            a = z
         # A word takes rows in proportion to its length squared over all rounds; queries are cut by their sum.
         work = np.cumsum([len(words[i]) ** 2 for i in short])
         for part in np.split(np.array(short, np.int64), np.flatnonzero(np.diff(work // QUERY_WORK)) + 1) if short else []:
@@ -125,7 +181,26 @@ class Codec:
             self.db.unregister("start_rows")
         return out
 
-    def contract_long(self, word: bytes) -> list[int]:
+    def contract_long(self, words: dict[int, bytes]) -> list[tuple[int, str, str]]:
+        """Key, ids and decoded bytes in hex of each long word, some rounds a query."""
+        size = np.array([len(w) for w in words.values()])
+        data = np.frombuffer(b"".join(words.values()), np.uint8)
+        wid = np.repeat(np.array(list(words), np.int32), size)
+        pos = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
+        rows, done = pa.table({"wid": wid, "pos": pos, "tok": self.byte_id[data]}), []
+        while rows.num_rows:
+            self.db.register("start_rows", rows)
+            got = self.db.sql(LONG_SQL, params={"rounds": max(1, LONG_ROWS // rows.num_rows)}).to_arrow_table()
+            self.db.unregister("start_rows")
+            live = got["live"]
+            done.append(got.filter(pc.invert(live)).drop_columns(["live"]))
+            rows = got.filter(live).drop_columns(["live"])
+        self.db.register("done_rows", pa.concat_tables(done))
+        out = self.db.execute(SPELL_SQL).fetchall()
+        self.db.unregister("done_rows")
+        return out
+
+    def contract_huge(self, word: bytes) -> list[int]:
         """The same contraction (leftmost pair of minimum rank, to the end) with a heap over linked positions."""
         rank, n = self.ranks.get, len(word)
         end = list(range(1, n + 1))
@@ -187,14 +262,16 @@ class Codec:
             part = chunks[a : a + QUERY_CHUNKS]
             pieces = [self.split(c) for c in part]
             words = [w for w in dict.fromkeys(p for ps in pieces for p in ps) if w not in self.ids]
-            raw, ids = [w.encode() for w in words], self.ids
+            raw, ids, odd = [w.encode() for w in words], self.ids, self.odd
             for w, b, (x, back) in zip(words, raw, self.encode_words(raw)):
                 if back != b.hex():
-                    raise ValueError(f"{w!r} does not come back from its ids")
+                    odd[w] = bytes.fromhex(back)
                 ids[w] = x
             for c, ps in zip(part, pieces):
                 if len(ps) > 1:
                     ids[c] = " ".join([ids[p] for p in ps])
+                    if odd and not odd.keys().isdisjoint(ps):
+                        odd[c] = b"".join([odd.get(p, p.encode()) for p in ps])
 
     def texts(self, texts: list[str | None]) -> Iterator[tuple[int, str, bytes]]:
         """Number of tokens, ids joined by spaces and decoded bytes of each text; new chunks take one query for all texts."""
@@ -207,13 +284,15 @@ class Codec:
         if len(self.ids) + len(new) > self.remember:  # what was met at least twice stays
             keep = self.hot | met
             self.ids, self.hot = {c: self.ids[c] for c in keep}, met
+            self.odd = {c: b for c, b in self.odd.items() if c in keep}
         del met
         if new:
             self.learn(sorted(new))
         ids = self.ids.__getitem__
         for cs in cut:
             line = " ".join(map(ids, cs))
-            yield (line.count(" ") + 1 if cs else 0), line, "".join(cs).encode()
+            back = b"".join([self.odd.get(c, c.encode()) for c in cs]) if self.odd else "".join(cs).encode()
+            yield (line.count(" ") + 1 if cs else 0), line, back
 
 
 _codecs: dict[int, Codec] = {}

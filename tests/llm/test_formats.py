@@ -39,12 +39,39 @@ def test_bpe_round_trip_and_forgetting(spark, monkeypatch):
     assert bpe.encode_frame(frame.limit(0)).collect() == []
 
 
-def test_long_words_equal_the_query(monkeypatch):
+def test_long_words_equal_the_short_words_query(monkeypatch):
     c = bpe.Codec(RANKS, public_tokenizers.PATTERN)
     r = random.Random(5)
+    ws = [b"a" * 150, b"abcabcabd" * 15, bytes(r.randrange(256) for _ in range(180)), "übergrößen".encode() * 9]
+    long = c.encode_words(ws)
+    monkeypatch.setattr(bpe, "LONG_ROWS", 500)  # a few rounds a query
+    assert c.encode_words(ws) == long
+    monkeypatch.setattr(bpe, "HUGE_WORD", 100)
+    assert c.encode_words(ws) == long
     monkeypatch.setattr(bpe, "LONG_WORD", 1000)
-    for w in [b"a" * 150, b"abcabcabd" * 15, bytes(r.randrange(256) for _ in range(180)), "übergrößen".encode() * 9]:
-        assert " ".join(map(str, c.contract_long(w))) == c.encode_words([w])[0][0]
+    monkeypatch.setattr(bpe, "HUGE_WORD", 1000)
+    assert c.encode_words(ws) == long
+
+
+def test_words_of_ten_kilobytes_equal_tiktoken():
+    c = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    r = random.Random(6)
+    texts = ["a" * 10_000, "".join(r.choice("ACGT") for _ in range(10_000)), "".join(r.choice("etaoinshr") for _ in range(10_000)), "日本語の文章" * 600, "ab" * 100_000]
+    for t, (n, ids, back) in zip(texts, c.texts(texts)):
+        want = ENCODING.encode_ordinary(t)
+        assert (n, ids, back) == (len(want), " ".join(map(str, want)), t.encode())
+
+
+def test_decoded_bytes_come_from_the_vocabulary():
+    c = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    texts = ["so they say", "x, y", "say" * 40]
+    plain = list(c.texts(texts))
+    wrong = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    wrong.db.execute(f"UPDATE vocab SET hex = '{b'!?'.hex()}' WHERE id = {RANKS[b' say']}")
+    for _ in range(2):
+        got = list(wrong.texts(texts))
+        assert [x[:2] for x in got] == [x[:2] for x in plain]
+        assert [x[2] for x in got] == [b"so they!?", b"x, y", b"say" * 40]
 
 
 def test_avi_round_trip():

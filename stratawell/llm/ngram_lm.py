@@ -1,12 +1,17 @@
 """Bigram language model in a log-frequency Bloom filter.
 
-Counting: tasks count word and pair hashes of their share of the training
-texts in numpy and emit sorted runs cut by the hashes' high bits; one task per
-such segment merges its runs.  Exact word counts stay in a table; counts of
-words and pairs are quantised to LEVEL_BASE**k and stored as entries
-(n-gram, 1) .. (n-gram, level) in the segment's part of a Bloom filter.  The
-whole filter is at most MAX_FILTER_BYTES (then each segment leaves out its
-lowest count levels), and only it and at most HEAVY word counts are broadcast.
+Counting: tasks count word and pair hashes of their share of the training texts
+in numpy, Spark adds the counts up by hash.  Counts of words and pairs are
+quantised to LEVEL_BASE**k and stored as entries (n-gram, 1) .. (n-gram, level)
+in a Bloom filter of BITS_PER_ENTRY bits an entry, whatever their number.  All
+entries of an n-gram lie in one block of BLOCK_BYTES, chosen by its hash; blocks
+are built SEGMENT a task, so a task's share doesn't grow with the corpus.
+
+A filter of at most BROADCAST bytes is broadcast, with at most HEAVY exact word
+counts.  A larger one stays a table of blocks: each text's distinct n-grams are
+joined to their blocks, and the levels found come back to the text.  Both ways
+read the same bits and add the same numbers in the same order, so scores depend
+on the texts alone, not on the way or on the number of partitions.
 
 Scoring: a count is read back by probing level 1, 2, ... until a probe fails.
 With c quantised counts, N training tokens and V distinct ones,
@@ -28,15 +33,19 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from stratawell.llm.arrow_map import map_batches, to_arrow_schema
+from stratawell.llm.arrow_map import map_batches, to_arrow_schema, trim
 from stratawell.llm.bytes_np import Words, mix, slices, utf8
 from stratawell.session import ship, stash
 
 END, BEGIN = np.uint64(0x656E64206F662074), np.uint64(0x626567696E206F66)
 PAIR, LEVEL_STEP, PROBE_STEP = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
-LEVEL_BASE, PROBES, BITS_PER_ENTRY, MAX_FILTER_BYTES = 1.5, 3, 8, 64 << 20
+LEVEL_BASE, PROBES, BITS_PER_ENTRY = 1.5, 3, 8
+BLOCK_BYTES, SEGMENT = 256, 1024
+#: The largest filter that is broadcast.
+BROADCAST = 64 << 20
 HEAVY = 1 << 19
 FLUSH = 3_000_000
 A, B = 20.0, 1.0
@@ -61,11 +70,15 @@ LEVEL_VALUE = _level_values()
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, hash and predecessor of each token; a row's last token is END, its first one follows BEGIN."""
+    """Row, hash and predecessor of each token; a row's last token is END, its first one follows BEGIN.
+
+    Hashes of words are even, those of pairs odd.
+    """
     w = Words(data, offsets)
     n = len(w.hash) + w.rows
     h, row = np.full(n, END, np.uint64), np.repeat(np.arange(w.rows), w.per_row + 1)
     h[np.arange(len(w.hash)) + w.row] = w.hash
+    h &= ~np.uint64(1)
     before = np.empty(n, np.uint64)
     before[1:] = h[:-1]
     before[w.first[:-1] + np.arange(w.rows)] = BEGIN
@@ -73,7 +86,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def pair_hash(before: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return mix(before * PAIR + h)
+    return mix(before * PAIR + h) | np.uint64(1)
 
 
 def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -87,186 +100,193 @@ def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
     return h[first], np.add.reduceat(c, first) if len(h) else c
 
 
-def segment_bits(partitions: int) -> int:
-    return max(4, math.ceil(math.log2(max(partitions, 1))))
-
-
-RUN = "seg int, words binary, word_counts binary, pairs binary, pair_counts binary"
-MERGED = "seg int, words binary, word_counts binary, bloom binary, tokens bigint, types bigint"
-
-
-def count_runs(docs: DataFrame, bits: int) -> DataFrame:
-    """Sorted runs of word and pair counts by segment, from docs(text)."""
+def count_ngrams(docs: DataFrame) -> DataFrame:
+    """hash and count of the words and pairs of docs(text)."""
     from pyspark.sql.types import StructType
 
     ship(docs.sparkSession)
-    schema = to_arrow_schema(StructType.fromDDL(RUN))
-
-    def cut(h, c):
-        at = np.searchsorted(h, (np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)))
-        return np.split(h, at), np.split(c, at)
+    schema = to_arrow_schema(StructType.fromDDL("hash bigint, n bigint"))
 
     def run(batches):
-        held, size = [[], []], 0
+        held, size = [], 0
 
         def flush():
-            cols = []
-            for part in held:
-                h, c = cut(*_counted(part))
-                cols += [[x.tobytes() for x in h], [x.astype(np.uint32).tobytes() for x in c]]
-                part.clear()
-            keep = [s for s in range(1 << bits) if cols[0][s] or cols[2][s]]
-            return pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), *(pa.array([c[s] for s in keep], pa.binary()) for c in cols)], schema=schema)
+            h, c = _counted(held)
+            held.clear()
+            for a in range(0, len(h), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 18)], pa.int64()) for x in (h.view(np.int64), c)], schema=schema)
 
         for batch in batches:
             data, offsets = utf8(batch.column(0))
             for a, b in slices(offsets):
                 _, h, before = tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                for part, x in zip(held, (h, pair_hash(before, h))):
-                    got, n = np.unique(x, return_counts=True)
-                    part.append((got, n))
-                    size += len(got)
+                for x in (h, pair_hash(before, h)):
+                    held.append(np.unique(x, return_counts=True))
+                    size += len(held[-1][0])
                 if size >= FLUSH:
-                    held = [[_counted(held[0])], [_counted(held[1])]]
-                    if (size := len(held[0][0][0]) + len(held[1][0][0])) >= FLUSH // 2:
-                        yield flush()
+                    held = [_counted(held)]
+                    if (size := len(held[0][0])) >= FLUSH // 2:
+                        yield from flush()
                         size = 0
-        if size:
-            yield flush()
-
-    return docs.mapInArrow(run, RUN)
-
-
-def build_filter(entries: list[tuple[np.ndarray, np.ndarray]], max_bits: int) -> bytes:
-    """Bloom bits of (hash, level) arrays; the lowest levels are left out as far as max_bits asks."""
-    hashes, levels = np.concatenate([h for h, _ in entries]), np.concatenate([q for _, q in entries])
-    least = 1
-    while (need := int(levels[levels >= least].sum()) * BITS_PER_ENTRY) > 2 * max_bits:
-        least += 1
-    bits = min(max(64, 1 << max(0, need - 1).bit_length()), max_bits)
-    field = np.zeros(bits, bool)
-    on = levels >= least
-    hashes, levels, q = hashes[on], levels[on], 1
-    while len(hashes):
-        for p in range(PROBES):
-            field[probe(hashes, q, p, bits)] = True
-        q += 1
-        on = levels >= q
-        hashes, levels = hashes[on], levels[on]
-    return np.packbits(field, bitorder="little").tobytes()
+        yield from flush()
+        trim()
 
+    return docs.mapInArrow(run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("count"))
 
-def probe(h: np.ndarray, q: int, p: int, bits) -> np.ndarray:
+
+def probe(h: np.ndarray, q, p: int) -> np.ndarray:
+    """The bit, in its block, of entry (n-gram, q) for probe p."""
     with np.errstate(over="ignore"):
         x = mix(h + np.uint64(q) * LEVEL_STEP + np.uint64(p) * PROBE_STEP)
-    return x & (np.asarray(bits, np.uint64) - np.uint64(1))
+    return (x & np.uint64(BLOCK_BYTES * 8 - 1)).astype(np.int64)
 
 
-def merge_segments(runs: DataFrame, bits: int) -> DataFrame:
-    """Per segment: exact word counts, its part of the filter, tokens and distinct words."""
-    from pyspark.sql.types import StructType
+def set_bits(h: np.ndarray, level: np.ndarray, block: np.ndarray, blocks: int) -> np.ndarray:
+    """Bytes (blocks, BLOCK_BYTES) that hold the entries of n-grams in the blocks given."""
+    field, q = np.zeros(blocks * BLOCK_BYTES * 8, bool), 1
+    while len(h):
+        for p in range(PROBES):
+            field[block * (BLOCK_BYTES * 8) + probe(h, q, p)] = True
+        q += 1
+        on = level >= q
+        h, level, block = h[on], level[on], block[on]
+    return np.packbits(field, bitorder="little").reshape(blocks, BLOCK_BYTES)
 
-    schema, most = to_arrow_schema(StructType.fromDDL(MERGED)), MAX_FILTER_BYTES * 8 >> bits
 
-    def merge(table: pa.Table) -> pa.Table:
-        parts = []
-        for a, b in (("words", "word_counts"), ("pairs", "pair_counts")):
-            parts.append(_counted([(np.frombuffer(h.as_py(), np.uint64), np.frombuffer(c.as_py(), np.uint32).astype(np.int64)) for h, c in zip(table[a], table[b])]))
-        (h, c), (ph, pc) = parts
-        bloom = build_filter([(h, level_of(c)), (ph, level_of(pc))], most)
-        row = [table["seg"][0].as_py(), h.tobytes(), c.tobytes(), bloom, int(c.sum()), len(h)]
-        return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
+def read_levels(h: np.ndarray, block: np.ndarray, field: np.ndarray) -> np.ndarray:
+    """The level of each n-gram, read from its row of field: level 1, 2, ... until a probe fails."""
+    level, live, q = np.zeros(len(h), np.int64), np.arange(len(h)), 1
+    flat, at = field.reshape(-1), block * BLOCK_BYTES
+    while len(live) and q <= LEVELS:
+        for p in range(PROBES):
+            bit = probe(h[live], q, p)
+            live = live[(flat[at[live] + (bit >> 3)] >> (bit & 7).astype(np.uint8)) & 1 == 1]
+        level[live] = q
+        q += 1
+    return level
 
-    return runs.groupBy("seg").applyInArrow(merge, MERGED)
 
+def block_of(c, blocks: int):
+    """The block of a hash: of a numpy array, or of a column's name."""
+    if isinstance(c, str):
+        return F.shiftrightunsigned(F.col(c), 1) % F.lit(blocks)
+    return ((c >> np.uint64(1)) % np.uint64(blocks)).astype(np.int64)
 
-class Filter:
-    """All segments of the filter; counts() reads quantised counts back."""
 
-    def __init__(self, segments: dict[int, bytes], bits: int):
-        self.shift = np.uint64(64 - bits)
-        sizes = np.array([len(segments.get(s, b"")) for s in range(1 << bits)], np.int64)
-        self.at, self.bits = np.cumsum(sizes) - sizes, np.maximum(sizes * 8, 1).astype(np.uint64)
-        self.empty = sizes == 0
-        self.data = np.frombuffer(b"".join(segments.get(s, b"") for s in range(1 << bits)), np.uint8)
+def build_filter(counts: DataFrame, blocks: int) -> DataFrame:
+    """seg and field (bytes of its SEGMENT blocks) of the filter of counts(hash, count)."""
+    from pyspark.sql.types import StructType
+
+    ddl = "seg bigint, field binary"
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        seg = (h >> self.shift).astype(np.int64)
-        level, live = np.zeros(len(h), np.int64), np.flatnonzero(~self.empty[seg])
-        q = 1
-        while len(live) and q <= LEVELS:
-            for p in range(PROBES):
-                s = seg[live]
-                bit = probe(h[live], q, p, self.bits[s]).astype(np.int64)
-                live = live[(self.data[self.at[s] + (bit >> 3)] >> (bit & 7).astype(np.uint8)) & 1 == 1]
-            level[live] = q
-            q += 1
-        return LEVEL_VALUE[level]
+    def build(table: pa.Table) -> pa.Table:
+        seg, h = table["seg"][0].as_py(), table["hash"].to_numpy().view(np.uint64)
+        first = seg * SEGMENT
+        field = set_bits(h, level_of(table["count"].to_numpy()), block_of(h, blocks) - first, min(SEGMENT, blocks - first))
+        return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip([seg, field.tobytes()], schema)], schema=schema)
+
+    return counts.withColumn("seg", F.floor(block_of("hash", blocks) / SEGMENT)).groupBy("seg").applyInArrow(build, ddl)
 
 
 class Model:
-    """The broadcast part: filter, totals, and exact counts of the most frequent words."""
+    """Totals, exact counts of the most frequent words and the filter, as a table or as bytes that go with the tasks."""
 
-    def __init__(self, segments, bits, n_tokens, n_types, heavy, heavy_counts):
-        self.filter = Filter(segments, bits)
+    def __init__(self, table: DataFrame | None, blocks: int, n_tokens: int, n_types: int, heavy: np.ndarray, heavy_counts: np.ndarray):
+        self.table, self.blocks, self.field = table, blocks, None
         self.n_tokens, self.n_types, self.heavy, self.heavy_counts = n_tokens, n_types, heavy, heavy_counts
 
-    def score(self, row, h, before, rows) -> np.ndarray:
-        """log10 probability of each row."""
-        words, at = np.unique(h, return_inverse=True)
-        c = self.filter.counts(words)
-        c1 = c[at]
+    def __getstate__(self):
+        return self.__dict__ | {"table": None}
+
+    def gathered(self) -> bool:
+        """Brings the filter to the driver if it is at most BROADCAST bytes."""
+        if self.field is None and self.blocks * BLOCK_BYTES <= BROADCAST:
+            self.field = np.zeros((self.blocks, BLOCK_BYTES), np.uint8)
+            for r in self.table.toLocalIterator() if self.table is not None else ():
+                part = np.frombuffer(bytes(r.field), np.uint8).reshape(-1, BLOCK_BYTES)
+                self.field[r.seg * SEGMENT : r.seg * SEGMENT + len(part)] = part
+        return self.field is not None
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        return read_levels(h, block_of(h, self.blocks), self.field)
+
+    def log10(self, row, first, word, pair, word_levels, pair_levels, rows) -> np.ndarray:
+        """log10 probability of each row; word and pair number each token's n-grams, first marks a row's first token."""
+        c1 = LEVEL_VALUE[word_levels][word]
         p1 = (c1 + 1) / (self.n_tokens + self.n_types + 1)
-        first = np.ones(len(h), bool)
-        first[1:] = row[1:] != row[:-1]
-        ch = np.empty(len(h))
+        ch = np.empty(len(c1))
         ch[1:] = c1[:-1]
-        if first.any():
-            ch[first] = self.filter.counts(np.array([END]))[0]
-        pairs, back = np.unique(pair_hash(before, h), return_inverse=True)
-        c2 = np.minimum(np.minimum(self.filter.counts(pairs)[back], ch), c1)
+        ends = np.append(np.flatnonzero(first)[1:], len(first)) - 1
+        ch[first] = c1[ends]  # as often as BEGIN there is END, a row's last token
+        c2 = np.minimum(np.minimum(LEVEL_VALUE[pair_levels][pair], ch), c1)
         p = np.minimum((c2 + (A + B * ch) * p1) / ((1 + B) * ch + A), 1.0)
         return np.bincount(row, np.log10(p), minlength=rows)
 
 
-def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, bits_per_entry: int = BITS_PER_ENTRY) -> tuple[Model, DataFrame]:
     """The model of docs(text) and its table of exact word counts (hash, count)."""
-    spark = docs.sparkSession
-    bits = segment_bits(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    merged = stash(merge_segments(count_runs(docs, bits), bits), "segments")
-
-    def make():
-        def work(batch):
-            for h, c in zip(batch.column(0), batch.column(1)):
-                yield {"hash": np.frombuffer(h.as_py(), np.int64), "count": np.frombuffer(c.as_py(), np.int64)}
-
-        return work
-
-    counts = map_batches(merged.select("words", "word_counts"), make, "hash bigint, count bigint")
-    segments, n_tokens, n_types = {}, 0, 0
-    for r in merged.select("seg", "bloom", "tokens", "types").toLocalIterator():
-        segments[r.seg] = bytes(r.bloom)
-        n_tokens, n_types = n_tokens + r.tokens, n_types + r.types
-    by_size = counts.groupBy(F.floor(F.log2(F.col("count").cast("double")) * 4).alias("size")).agg(F.count("*").alias("n")).collect()
+    every = stash(count_ngrams(docs), "counts")
+    counts = every.filter("hash % 2 = 0")
+    level = 1 + F.floor(F.log(F.col("count").cast("double")) / math.log(LEVEL_BASE) + 1e-9)
+    word = F.col("hash") % 2 == 0
+    size = F.when(word, F.floor(F.log2(F.col("count").cast("double")) * 4))
+    by_size = every.groupBy(size.alias("size")).agg(F.count("*").alias("n"), F.sum("count").alias("tokens"), F.sum(level).alias("entries")).collect()
+    words = [r for r in by_size if r["size"] is not None]
+    n_tokens, n_types = sum(r["tokens"] for r in words), sum(r["n"] for r in words)
+    blocks = max(1, -(-sum(r["entries"] for r in by_size) * bits_per_entry // (BLOCK_BYTES * 8)))
+    table = stash(build_filter(every, blocks), "filter")
     least, room = 64 * 4, HEAVY
-    for size, n in sorted(((r["size"], r["n"]) for r in by_size), reverse=True):
+    for size, n in sorted(((r["size"], r["n"]) for r in words), reverse=True):
         if n > room:
             break
         least, room = size, room - n
     heavy = counts.filter(F.floor(F.log2(F.col("count").cast("double")) * 4) >= least).toArrow()
     h, c = heavy["hash"].to_numpy().view(np.uint64), heavy["count"].to_numpy()
     order = np.argsort(h)
-    return Model(segments, bits, n_tokens, n_types, h[order], c[order]), counts
+    return Model(table, blocks, n_tokens, n_types, h[order], c[order]), counts
 
 
 def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 7 == 2, F.lit(False))
 
 
-def score_frame(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+BASE = "rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, rare array<bigint>, times array<int>"
+GRAMS = "grams array<bigint>, word array<int>, pair array<int>"
+
+
+def _lists(ends: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
+
+
+def _base(m: Model, row, h, rows) -> dict:
+    """Known words and base sums of the frequent words, and the distinct words that the heavy table lacks, by row."""
+    words, at = np.unique(h, return_inverse=True)
+    spot = np.searchsorted(m.heavy, words)
+    inside = spot < len(m.heavy)
+    inside[inside] = m.heavy[spot[inside]] == words[inside]
+    c = np.zeros(len(words))
+    c[inside] = m.heavy_counts[spot[inside]]
+    rest = ~inside[at]
+    key, times = np.unique((row[rest].astype(np.uint64) << np.uint64(32)) | at[rest].astype(np.uint64), return_counts=True)
+    ends = np.concatenate([[0], np.cumsum(np.bincount((key >> np.uint64(32)).astype(np.int64), minlength=rows))])
+    rare = words[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)].view(np.int64)
+    return {
+        "n_tokens": np.bincount(row, minlength=rows), "known": np.bincount(row, inside[at], minlength=rows).astype(np.int64),
+        "base": np.bincount(row, np.log10(c + 1)[at], minlength=rows), "rare": _lists(ends, rare), "times": _lists(ends, times.astype(np.int32)),
+    }
+
+
+def _firsts(row: np.ndarray) -> np.ndarray:
+    first = np.ones(len(row), bool)
+    first[1:] = row[1:] != row[:-1]
+    return first
+
+
+def _scan(docs: DataFrame, model: Model, more: str, extra) -> DataFrame:
+    """BASE and what extra(model, row, h, before, rows) adds, a row per row of docs."""
     scan = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", held_out().alias("held_out"), F.col("text").alias("__text"))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         m = sent.value
@@ -275,28 +295,85 @@ def score_frame(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             data, offsets = utf8(batch.column(3))
             for a, b in slices(offsets):
                 row, h, before = tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                rows = b - a
-                score = m.score(row, h, before, rows)
-                # Distinct words of the slice, then the rest that the heavy table lacks, by row.
-                words, at = np.unique(h, return_inverse=True)
-                spot = np.searchsorted(m.heavy, words)
-                inside = spot < len(m.heavy)
-                inside[inside] = m.heavy[spot[inside]] == words[inside]
-                c = np.zeros(len(words))
-                c[inside] = m.heavy_counts[spot[inside]]
-                base = np.bincount(row, np.log10(c + 1)[at], minlength=rows)
-                known = np.bincount(row, inside[at], minlength=rows).astype(np.int64)
-                rest = ~inside[at]
-                key = (row[rest].astype(np.uint64) << np.uint64(32)) | at[rest].astype(np.uint64)
-                key, times = np.unique(key, return_counts=True)
-                per_row = np.bincount((key >> np.uint64(32)).astype(np.int64), minlength=rows)
-                ends = pa.array(np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32))
-                rare = words[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)].view(np.int64)
-                yield {"rid": batch.column(0).slice(a, rows), "doc_id": batch.column(1).slice(a, rows), "held_out": batch.column(2).slice(a, rows), "n_tokens": np.bincount(row, minlength=rows), "known": known, "base": base, "score": score, "rare": pa.ListArray.from_arrays(ends, pa.array(rare)), "times": pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32)))}
+                keys = {k: batch.column(i).slice(a, b - a) for i, k in enumerate(("rid", "doc_id", "held_out"))}
+                yield keys | _base(m, row, h, b - a) | extra(m, row, h, before, b - a)
+
+        return work
+
+    return stash(map_batches(scan, make, f"{BASE}, {more}"), "scored")
+
+
+def _direct(m: Model, row, h, before, rows) -> dict:
+    words, at = np.unique(h, return_inverse=True)
+    pairs, back = np.unique(pair_hash(before, h), return_inverse=True)
+    return {"score": m.log10(row, _firsts(row), at, back, m.levels(words), m.levels(pairs), rows)}
+
+
+def _grams(m: Model, row, h, before, rows) -> dict:
+    """Distinct n-grams of each row, words before pairs, and the place of each token's word and pair among them."""
+    grams, word, pair, size = [], [], [], np.bincount(row, minlength=rows)
+    both = pair_hash(before, h)
+    for a, z in zip(np.cumsum(size) - size, np.cumsum(size)):
+        w, at = np.unique(h[a:z], return_inverse=True)
+        p, back = np.unique(both[a:z], return_inverse=True)
+        grams.append(np.concatenate([w, p]).view(np.int64))
+        word.append(at.astype(np.int32))
+        pair.append((back + len(w)).astype(np.int32))
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return {"grams": _lists(np.concatenate([[0], np.cumsum([len(g) for g in grams])]), np.concatenate(grams)), "word": _lists(ends, np.concatenate(word)), "pair": _lists(ends, np.concatenate(pair))}
+
+
+def _routed(part: DataFrame, model: Model) -> DataFrame:
+    """rid and score: n-grams go to the blocks of the filter and their levels come back."""
+
+    def cut():
+        def work(batch):
+            for seg, field in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows = len(field.as_py()) // BLOCK_BYTES
+                data = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((np.arange(rows + 1) * BLOCK_BYTES).astype(np.int32).tobytes()), pa.py_buffer(field.as_py())])
+                yield {"block": seg * SEGMENT + np.arange(rows), "bits": data}
+
+        return work
+
+    def read():
+        def work(batch):
+            h = batch.column(2).to_numpy().view(np.uint64)
+            field = np.frombuffer(b"".join(x.as_py() for x in batch.column(3)), np.uint8)
+            level = read_levels(h, np.arange(len(h)), field)
+            yield {"rid": batch.column(0), "at": batch.column(1), "level": level}
 
         return work
 
-    part = stash(map_batches(scan, make, "rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, score double, rare array<bigint>, times array<int>"), "scored")
+    def score():
+        def work(batch):
+            out = []
+            for levels, word, pair in zip(*(batch.column(i) for i in (1, 2, 3))):
+                found = np.zeros(max(len(word) * 2, 1), np.int64)
+                if levels.is_valid:
+                    found[pc.struct_field(levels.values, "at").to_numpy()] = pc.struct_field(levels.values, "level").to_numpy()
+                word, pair = word.values.to_numpy(), pair.values.to_numpy()
+                row = np.zeros(len(word), np.int64)
+                out.append(sent.value.log10(row, _firsts(row), word, pair, found, found, 1)[0])
+            yield {"rid": batch.column(0), "score": np.array(out)}
+
+        return work
+
+    sent = part.sparkSession.sparkContext.broadcast(model)
+    blocks = map_batches(model.table, cut, "block bigint, bits binary")
+    probes = part.select("rid", F.posexplode("grams").alias("at", "hash")).withColumn("block", block_of("hash", model.blocks))
+    levels = map_batches(probes.join(blocks, "block").select("rid", "at", "hash", "bits"), read, "rid bigint, at int, level int")
+    levels = levels.filter("level > 0").groupBy("rid").agg(F.collect_list(F.struct("at", "level")).alias("levels"))
+    return map_batches(part.join(levels, "rid", "left").select("rid", "levels", "word", "pair"), score, "rid bigint, score double")
+
+
+def score_frame(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs."""
+    if model.gathered():
+        part = _scan(docs, model, "score double", _direct)
+    else:
+        part = _scan(docs, model, GRAMS, _grams)
+        scores = stash(_routed(part, model), "scores")
+        part = part.drop("grams", "word", "pair").join(scores, "rid")
     flat = part.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("hash"), F.col("x.times").alias("times"))
     found = flat.join(counts, "hash").groupBy("rid").agg(F.sum(F.col("times") * F.log10(F.col("count") + F.lit(1.0))).alias("more"), F.sum("times").alias("more_known"))
     total = math.log10(model.n_tokens + model.n_types + 1)

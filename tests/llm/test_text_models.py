@@ -47,15 +47,61 @@ def test_filter_reads_quantised_counts_back():
     r = np.random.default_rng(1)
     h, c = np.unique(r.integers(0, 2**64, 5000, dtype=np.uint64)), None
     c = r.zipf(1.5, len(h)).clip(1, 10**6)
-    bits = 2
-    parts = (h >> np.uint64(62)).astype(int)
-    f = ngram_lm.Filter({s: ngram_lm.build_filter([(h[parts == s], ngram_lm.level_of(c[parts == s]))], 1 << 24) for s in range(4)}, bits)
-    got = f.counts(h)
-    assert (got >= ngram_lm.LEVEL_VALUE[ngram_lm.level_of(c)]).all()  # a filter never says less
-    assert (got == ngram_lm.LEVEL_VALUE[ngram_lm.level_of(c)]).mean() > 0.9
-    assert (f.counts(r.integers(0, 2**64, 5000, dtype=np.uint64)) == 0).mean() > 0.9
-    small = ngram_lm.build_filter([(h, ngram_lm.level_of(c))], 1 << 12)
-    assert len(small) == 1 << 9
+    blocks = -(-int(ngram_lm.level_of(c).sum()) * 8 // (ngram_lm.BLOCK_BYTES * 8))
+    field = ngram_lm.set_bits(h, ngram_lm.level_of(c), ngram_lm.block_of(h, blocks), blocks)
+    level = lambda x: ngram_lm.read_levels(x, ngram_lm.block_of(x, blocks), field)
+    got = level(h)
+    assert (got >= ngram_lm.level_of(c)).all()  # a filter never says less
+    assert (got == ngram_lm.level_of(c)).mean() > 0.9
+    assert (level(r.integers(0, 2**64, 5000, dtype=np.uint64)) == 0).mean() > 0.9
+
+
+def language_rows():
+    r = random.Random(9)
+    return awkward() + [(100 + i, " ".join(r.choice("abcdef") + r.choice("xyz") for _ in range(r.randint(0, 60))), "s") for i in range(120)]
+
+
+def test_language_model_scores_equal_a_dictionary(spark):
+    """With bits enough for no false probe, scores are those of the smoothed model over quantised counts."""
+    rows, out = language_rows(), lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    frame = docs(spark, rows)
+    model, counts = ngram_lm.fit(frame.filter(~ngram_lm.held_out()).select("text"), bits_per_entry=400)
+    got = sorted((x.doc_id or -1, x.score) for x in ngram_lm.score_frame(frame, model, counts).collect())
+    one, two = collections.Counter(), collections.Counter()
+    for i, t, _ in rows:
+        if not out(i):
+            said = [*words(t), "end"]
+            one.update(said)
+            two.update(zip(["begin", *said], said))
+    n, v = sum(one.values()), len(one)
+    near = lambda c: 0.0 if not c else float(ngram_lm.LEVEL_VALUE[1 + math.floor(math.log(c) / math.log(1.5) + 1e-9)])
+
+    def score(t):
+        total, before = 0.0, "begin"
+        for w in [*words(t), "end"]:
+            c1, ch = near(one[w]), near(one["end" if before == "begin" else before])
+            c2 = min(near(two[before, w]), ch, c1)
+            total += math.log10(min(1, (c2 + (20 + ch) * (c1 + 1) / (n + v + 1)) / (2 * ch + 20)))
+            before = w
+        return total
+
+    want = sorted((i or -1, score(t)) for i, t, _ in rows)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert np.allclose([x for _, x in got], [x for _, x in want], atol=1e-8)
+
+
+def test_scores_do_not_depend_on_the_way_or_on_partitions(spark, monkeypatch):
+    frame, found = docs(spark, language_rows()), []
+    monkeypatch.setattr(ngram_lm, "SEGMENT", 2)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts, broadcast in ((4, 64 << 20), (64, 64 << 20), (4, 0)):
+        monkeypatch.setattr(ngram_lm, "BROADCAST", broadcast)
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        model, counts = ngram_lm.fit(frame.filter(~ngram_lm.held_out()).select("text"))
+        found.append(sorted((x.doc_id or -1, x.n_known, x.score) for x in ngram_lm.score_frame(frame, model, counts).collect()))
+        assert (model.field is None) == (broadcast == 0) and model.blocks > 4
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2]
 
 
 def test_language_model_of_nothing(spark):

@@ -8,9 +8,11 @@ of the chunk, of bytes that equal the byte a lag before.  The maximum and the
 mean of the chunk vectors over the document meet in one logistic unit.
 
 Fitting (Adam, fixed number of steps, fixed seed) runs in one task on at most
-SAMPLE labelled documents with at most SAMPLE_CHUNKS evenly spread chunks each
-(8 KB a document); some texts of label 1 are cut short in a step, so that short
-texts are not taken for bad ones.  Scoring reads every byte of every text.
+SAMPLE labelled documents, in the order of their ids' hash as far as SAMPLE_BYTES
+reach, and all their chunks; gradients are summed over slices of chunks, so a
+long text costs time, not memory.  Some texts of label 1 are cut short in a
+step, so that short texts are not taken for bad ones.  Scoring reads every byte
+of every text.
 
 Nulls and empty texts are one chunk of padding and get its score.  Equal texts
 have equal scores.  Without labelled rows of both kinds the score is the share
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from stratawell.llm import labelled
 from stratawell.llm.arrow_map import map_batches
@@ -29,7 +31,7 @@ from stratawell.llm.bytes_np import slices, utf8
 
 CHUNK, OVERLAP, STEP, FILTERS, WIDTH = 512, 64, 4, 32, 8
 STRIDE = CHUNK - OVERLAP
-SAMPLE, SAMPLE_CHUNKS, STEPS, DOCS = 4000, 16, 500, 64
+SAMPLE, SAMPLE_BYTES, STEPS, DOCS = 4000, 24 << 20, 500, 64
 CROPS = 0.12
 PAD = 256
 LAGS, QUARTER, ECHO = range(2, 21), 128, 4.0
@@ -59,6 +61,10 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, count
 
 
+def all_chunks(text: bytes) -> np.ndarray:
+    return chunks(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+
+
 class Net:
     def __init__(self, seed: int = 1):
         r = np.random.default_rng(seed)
@@ -96,27 +102,34 @@ class Net:
         z = top.astype(np.float64) @ self.p["top"].astype(np.float64) + mean @ self.p["mean"].astype(np.float64) + float(self.p["bias"][0])
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def gradients(self, x: np.ndarray, count: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    def gradients(self, x: np.ndarray, count: np.ndarray, y: np.ndarray, step: int = 512) -> dict[str, np.ndarray]:
+        """Gradients of the mean loss of documents of count chunks each, over slices of step chunks."""
         p, first = self.p, np.cumsum(count) - count
         doc = np.repeat(np.arange(len(count)), count)
-        e, r = self.convolve(x)
-        at = r.argmax(axis=1)
-        v = np.maximum(np.take_along_axis(r, at[:, None], 1)[:, 0] + p["b"], 0)
-        v = np.concatenate([v, echo(x)[:, None]], axis=1)
+        at, v = np.empty((len(x), FILTERS), np.int64), np.empty((len(x), VECTOR), np.float32)
+        for a in range(0, len(x), step):
+            part = slice(a, a + step)
+            r = self.convolve(x[part])[1]
+            at[part] = r.argmax(axis=1)
+            v[part, :FILTERS] = np.maximum(np.take_along_axis(r, at[part][:, None], 1)[:, 0] + p["b"], 0)
+            v[part, FILTERS] = echo(x[part])
         top, mean = np.maximum.reduceat(v, first), np.add.reduceat(v, first) / count[:, None]
         z = top @ p["top"] + mean @ p["mean"] + p["bias"][0]
         d = ((1 / (1 + np.exp(-z)) - y) / len(y)).astype(np.float32)
-        g = {"top": top.T @ d, "mean": mean.T @ d, "bias": d.sum(keepdims=True)}
-        dv = d[doc][:, None] * (p["mean"] / count[doc][:, None] + p["top"] * (v == top[doc]))
-        dv = np.where(v > 0, dv, 0)[:, :FILTERS].astype(np.float32)
-        g["b"] = dv.sum(axis=0)
-        n = np.arange(len(x))[:, None]
-        left, right = e[n, at], e[n, at + 1]
-        g["w"] = np.concatenate([np.einsum("nfk,nf->kf", left, dv), np.einsum("nfk,nf->kf", right, dv)], axis=1)
-        de = np.concatenate([dv[:, :, None] * p["w"].T[:FILTERS], dv[:, :, None] * p["w"].T[FILTERS:]], axis=1).reshape(-1, WIDTH)
-        spot = np.concatenate([at, at + 1], axis=1)[:, :, None] * STEP + np.arange(STEP)
-        code = x[n[:, :, None], spot].reshape(-1)
-        g["emb"] = np.stack([np.bincount(code, de[:, k], minlength=257) for k in range(WIDTH)], axis=1)
+        g = {"top": top.T @ d, "mean": mean.T @ d, "bias": d.sum(keepdims=True), "b": 0, "w": 0, "emb": 0}
+        for a in range(0, len(x), step):
+            part = slice(a, a + step)
+            own, n = doc[part], np.arange(len(x[part]))[:, None]
+            dv = d[own][:, None] * (p["mean"] / count[own][:, None] + p["top"] * (v[part] == top[own]))
+            dv = np.where(v[part] > 0, dv, 0)[:, :FILTERS].astype(np.float32)
+            g["b"] = g["b"] + dv.sum(axis=0)
+            e, here = p["emb"][x[part]].reshape(len(n), CHUNK // STEP, STEP * WIDTH), at[part]
+            left, right = e[n, here], e[n, here + 1]
+            g["w"] = g["w"] + np.concatenate([np.einsum("nfk,nf->kf", left, dv), np.einsum("nfk,nf->kf", right, dv)], axis=1)
+            de = np.concatenate([dv[:, :, None] * p["w"].T[:FILTERS], dv[:, :, None] * p["w"].T[FILTERS:]], axis=1).reshape(-1, WIDTH)
+            spot = np.concatenate([here, here + 1], axis=1)[:, :, None] * STEP + np.arange(STEP)
+            code = x[part][n[:, :, None], spot].reshape(-1)
+            g["emb"] = g["emb"] + np.stack([np.bincount(code, de[:, k], minlength=257) for k in range(WIDTH)], axis=1)
         g["emb"][PAD] = 0
         return g
 
@@ -135,20 +148,20 @@ def cropped(x: np.ndarray, r: np.random.Generator) -> np.ndarray:
 
 
 def fit_rows(rows: list[tuple[bytes, int]], seed: int = 1) -> Net:
-    """A network of (bytes of at most SAMPLE_CHUNKS chunks, label) rows."""
+    """A network of (text bytes, label) rows; a text's chunks are made when a step takes it."""
     net, y = Net(seed), np.array([label for _, label in rows], np.float32)
     if not len(y) or y.min() == y.max():
         net.constant = float(y.mean()) if len(y) else 0.5
         return net
-    xs = [np.frombuffer(b, np.int16).reshape(-1, CHUNK) for b, _ in rows]
     r = np.random.default_rng(seed)
     m, s = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
     order: list[int] = []
     for t in range(1, STEPS + 1):
         if len(order) < DOCS:
-            order += r.permutation(len(xs)).tolist()
+            order += r.permutation(len(rows)).tolist()
         take, order = order[:DOCS], order[DOCS:]
-        parts = [cropped(xs[i], r) if y[i] == 1 and r.random() < CROPS else xs[i] for i in take]
+        parts = [all_chunks(rows[i][0]) for i in take]
+        parts = [cropped(x, r) if y[i] == 1 and r.random() < CROPS else x for i, x in zip(take, parts)]
         g = net.gradients(np.concatenate(parts), np.array([len(x) for x in parts]), y[take])
         rate = 0.01 * min(1, t / 20) * (1 - 0.9 * t / STEPS)
         for k, v in net.p.items():
@@ -162,27 +175,19 @@ def fit_rows(rows: list[tuple[bytes, int]], seed: int = 1) -> Net:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 3, excluded: int = 1) -> Net:
     """The network of a bounded sample of docs(doc_id, text) with labels(doc_id, label)."""
 
-    def make():
-        def work(batch):
-            data, offsets = utf8(batch.column(2))
-            for a, b in slices(offsets):
-                x, count = chunks(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                first, out = np.cumsum(count) - count, []
-                for f, n in zip(first.tolist(), count.tolist()):
-                    spread = np.unique(np.linspace(0, n - 1, min(n, SAMPLE_CHUNKS)).astype(int))
-                    out.append(x[f + spread].tobytes())
-                yield {"doc_id": batch.column(0).slice(a, b - a), "label": batch.column(1).slice(a, b - a), "x": pa.array(out, pa.binary())}
-
-        return work
-
     chosen = labelled.sample(docs, labels, label, modulus, excluded, SAMPLE)
-    rows = map_batches(chosen.select("doc_id", "label", "text"), make, "doc_id bigint, label int, x binary")
+    # At most SAMPLE rows: their running size can be had in one task.
+    rows = chosen.select("doc_id", "label", F.coalesce("text", F.lit("")).cast("binary").alias("x"))
+    place = W.orderBy(F.xxhash64("doc_id"), "doc_id", "size", "label").rowsBetween(W.unboundedPreceding, W.currentRow)
+    # The running size counts from the row before, so the first one is always in.
+    near = rows.withColumn("size", F.length("x")).withColumn("before", F.sum("size").over(place) - F.col("size"))
+    rows = near.filter(F.col("before") < SAMPLE_BYTES).select("doc_id", "label", "x")
 
     def train(table):
         if table is None:
             return fit_rows([])
-        table = table.sort_by("doc_id")
-        return fit_rows(list(zip(table["x"].to_pylist(), table["label"].to_pylist())))
+        got = sorted(zip(table["doc_id"].to_pylist(), table["x"].to_pylist(), table["label"].to_pylist()))
+        return fit_rows([(x, y) for _, x, y in got])
 
     return labelled.fit_in_task(rows, train)
 

@@ -3,8 +3,8 @@
 Features are the distinct words (runs of letters, digits and bytes from 0x80) of
 a whole text and their 4- and 6-byte prefixes, hashed to DIM.  Weights, none below
 0, minimise logistic loss + L1 + L2 + LAMBDA times the squared score change between a labelled
-text and its counterfactual, in which each identity term gives way to another
-term of its group.  Neutral sentences that name each identity term join the
+text and its counterfactuals, in which the identity terms give way to the other
+terms of their groups, one after another.  Neutral sentences that name each identity term join the
 sample with label 0.  So neutral mentions of a group do not raise a score.
 
 Fitting runs in one task on at most SAMPLE labelled documents and all their words;
@@ -46,18 +46,26 @@ GROUPS = (
     ("chrétiens", "musulmans", "juifs"), ("femmes", "hommes"),
     ("cristianos", "musulmanes", "judíos"), ("mujeres", "hombres"),
 )
-SWAP = {t: g[(i + 1) % len(g)] for g in GROUPS for i, t in enumerate(g)}
-TERM = re.compile(r"\b(" + "|".join(sorted(map(re.escape, SWAP), key=len, reverse=True)) + r")\b", re.I)
+PLACE = {t: (g, i) for g in GROUPS for i, t in enumerate(g)}
+TERM = re.compile(r"\b(" + "|".join(sorted(map(re.escape, PLACE), key=len, reverse=True)) + r")\b", re.I)
 NEUTRAL = ("the {} people of the town opened a school", "my neighbour is {} and bakes bread", "a report about {} families was published")
 
 #: Word separators: ASCII other than letters and digits.
 BREAKS = np.array([b < 128 and not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123) for b in range(256)])
 
 
-def counterfactual(text: str) -> str | None:
-    """The text with each identity term replaced by the next of its group; None if it has none."""
-    out, n = TERM.subn(lambda m: SWAP[m[0].lower()], text)
-    return out if n else None
+def counterfactuals(text: str) -> list[str]:
+    """The text with each identity term replaced by the k-th after it in its group, for every k; none without terms."""
+    groups = [PLACE[m.lower()][0] for m in TERM.findall(text)]
+
+    def turned(k):
+        def other(m):
+            group, i = PLACE[m[0].lower()]
+            return group[(i + k) % len(group)]
+
+        return TERM.sub(other, text)
+
+    return [turned(k) for k in range(1, max(map(len, groups)))] if groups else []
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,9 +134,10 @@ def fit_rows(rows: list[tuple[np.ndarray, int]], pairs: list[tuple[np.ndarray, n
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.5
         return Model(None, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    said = [t.format(x) for t in NEUTRAL for x in SWAP]
+    said = [t.format(x) for t in NEUTRAL for x in PLACE]
     rows = rows + [(f, 0) for f in features_of(said)]
-    pairs = pairs + list(zip(features_of(said), features_of([counterfactual(t) for t in said])))
+    swapped = [(t, c) for t in said for c in counterfactuals(t)]
+    pairs = pairs + list(zip(features_of([t for t, _ in swapped]), features_of([c for _, c in swapped])))
     y = np.array([label for _, label in rows], float)
     weight = np.ones(len(y))
     weight[len(y) - len(said) :] = 0.1
@@ -176,21 +185,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
             for a, b in slices(offsets):
                 row, code = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 plain = np.split(code, np.searchsorted(row, np.arange(1, b - a)))
-                other = [counterfactual(t or "") for t in texts[a:b]]
-                swapped = iter(features_of([t for t in other if t is not None]) if any(t is not None for t in other) else [])
-                yield {"doc_id": batch.column(0).slice(a, b - a), "label": batch.column(1).slice(a, b - a), "plain": [x.astype(np.int32) for x in plain], "swapped": [next(swapped).astype(np.int32) if t is not None else None for t in other]}
+                swapped = [[x.astype(np.int32) for c in counterfactuals(t or "") for x in features_of([c])] for t in texts[a:b]]
+                yield {"doc_id": batch.column(0).slice(a, b - a), "label": batch.column(1).slice(a, b - a), "plain": [x.astype(np.int32) for x in plain], "swapped": swapped}
 
         return work
 
     chosen = labelled.sample(docs, labels, label, modulus, excluded, SAMPLE)
-    rows = map_batches(chosen.select("doc_id", "label", "text"), make, "doc_id bigint, label int, plain array<int>, swapped array<int>")
+    rows = map_batches(chosen.select("doc_id", "label", "text"), make, "doc_id bigint, label int, plain array<int>, swapped array<array<int>>")
 
     def train(table):
         if table is None:
             return fit_rows([], [], strength)
         table = table.sort_by("doc_id")
         said = [x.values.to_numpy() for x in table["plain"]]
-        pairs = [(p, x.values.to_numpy()) for p, x in zip(said, table["swapped"]) if x.is_valid]
+        pairs = [(p, np.array(c, np.int64)) for p, x in zip(said, table["swapped"]) for c in x.as_py()]
         return fit_rows(list(zip(said, table["label"].to_pylist())), pairs, strength)
 
     return labelled.fit_in_task(rows, train)

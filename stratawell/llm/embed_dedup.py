@@ -10,17 +10,23 @@ computed again in double precision.
 Equal vectors form a class first, so a group of copies costs one row.  A tile
 returns, per class, its number of linked vectors and one link to the tile's
 root of its part (a spanning forest), never pairs; links of all tiles go through
-distributed component labelling.  All strips meet all strips: a tile is about
-STRIP * STRIP products whatever the data, so work is spread evenly, and its
-amount is that of a complete comparison.
+distributed component labelling.  All strips meet all strips, so work is spread
+evenly, and its amount is that of a complete comparison.  A strip holds as many
+vectors as STRIP_BYTES allow, so a vector is sent to few tiles: to all bytes /
+STRIP_BYTES of them, or, in a small table, to as many as the cores need.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link
 with nothing, nor do vectors without id, or vectors of another dimension.
-Repeated rows count as vectors of their own; extra input columns are not read.
+Components keep the column's type; a vector of any magnitude is scaled by a
+power of two first.  Repeated rows count as vectors of their own.  Rows of one
+id with different vectors have the links of their own vectors each, and join
+their components.  Extra input columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -31,6 +37,8 @@ from stratawell.session import ship, stash
 
 THRESHOLD = 0.95
 STRIP, ROWS, DIMS = 4096, 1024, 1024
+#: Bytes of a strip's vectors; a memory bound.
+STRIP_BYTES = 12 << 20
 #: Slack for float32 rounding in the comparison with the bound.
 SLACK = 1e-5
 
@@ -58,27 +66,34 @@ def linked(x: np.ndarray, y: np.ndarray, threshold: float, same: bool):
     qx, sx, ex = quantise(x / nx[:, None])
     qy, sy, ey = (qx, sx, ex) if same else quantise(y / ny[:, None])
     for a in range(0, len(x), ROWS):
-        z, lo = min(a + ROWS, len(x)), a if same else 0
-        p = products(qx[a:z], qy[lo:])
-        p *= sy[lo:].astype(p.dtype)
-        # u.v <= s_u s_v P + (1 + e_u)(1 + e_v) - 1, with the largest e_v of the strip.
-        least = (threshold + 1 - (1 + ex[a:z]) * (1 + ey.max()) - SLACK) / sx[a:z]
-        i, j = np.nonzero(p >= least[:, None].astype(p.dtype))
-        if same:
-            upper = i < j
-            i, j = i[upper], j[upper]
-        exact = sx[a:z][i] * p[i, j] + (1 + ex[a:z][i]) * (1 + ey[lo:][j]) - 1 + SLACK
-        i, j = i[exact >= threshold], j[exact >= threshold]
-        if len(i) > p.size // 50:
-            full = (x[a:z] @ y[lo:].T) / np.outer(nx[a:z], ny[lo:])
-            keep = full[i, j] >= threshold
-        else:
-            keep = np.zeros(len(i), bool)
-            for c in range(0, len(i), 1 << 16):
-                u, v = i[c : c + (1 << 16)] + a, j[c : c + (1 << 16)] + lo
-                keep[c : c + (1 << 16)] = np.einsum("ij,ij->i", x[u], y[v]) / (nx[u] * ny[v]) >= threshold
-        if keep.any():
-            yield i[keep] + a, j[keep] + lo
+        for c in range(a if same else 0, len(y), 4 * ROWS):
+            i, j = _block(x, y, (qx, sx, ex, nx), (qy, sy, ey, ny), a, min(a + ROWS, len(x)), c, min(c + 4 * ROWS, len(y)), threshold)
+            if same:
+                upper = i < j
+                i, j = i[upper], j[upper]
+            if len(i):
+                yield i, j
+
+
+def _block(x, y, mine, other, a: int, z: int, lo: int, hi: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of rows a to z of x and lo to hi of y."""
+    qx, sx, ex, nx = (v[a:z] for v in mine)
+    qy, sy, ey, ny = (v[lo:hi] for v in other)
+    p = products(qx, qy)
+    p *= sy.astype(p.dtype)
+    # u.v <= s_u s_v P + (1 + e_u)(1 + e_v) - 1, with the largest e_v of the block.
+    least = (threshold + 1 - (1 + ex) * (1 + ey.max()) - SLACK) / sx
+    i, j = np.nonzero(p >= least[:, None].astype(p.dtype))
+    exact = sx[i] * p[i, j] + (1 + ex[i]) * (1 + ey[j]) - 1 + SLACK
+    i, j = i[exact >= threshold], j[exact >= threshold]
+    if len(i) > p.size // 50:
+        keep = ((x[a:z] @ y[lo:hi].T) / np.outer(nx, ny))[i, j] >= threshold
+    else:
+        keep = np.zeros(len(i), bool)
+        for c in range(0, len(i), 1 << 16):
+            u, v = i[c : c + (1 << 16)], j[c : c + (1 << 16)]
+            keep[c : c + (1 << 16)] = np.einsum("ij,ij->i", x[a + u], y[lo + v]) / (nx[u] * ny[v]) >= threshold
+    return i[keep] + a, j[keep] + lo
 
 
 def join_parts(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -104,6 +119,7 @@ def tile_links(table: pa.Table, threshold: float) -> dict:
     order = np.argsort(rep, kind="stable")
     v = table["v"].combine_chunks()
     v = (v.chunk(0) if isinstance(v, pa.ChunkedArray) else v).flatten().to_numpy().reshape(-1, dim).astype(np.float64)
+    v = np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])  # exact, and no square overflows
     rep, size, side, v = rep[order], size[order], side[order], v[order]
     links, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
     same = table["i"][0].as_py() == table["j"][0].as_py()
@@ -125,11 +141,18 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     spark = ship(vectors.sparkSession)
     v = F.col("v")
     good = F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
+    kind = vectors.schema[vector].dataType.elementType.simpleString()
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<float>" if kind == "float" else "array<double>").alias("v"))
     keyed = rows.select("id", "v", F.when(F.coalesce(good, F.lit(False)), F.xxhash64(F.lit(1), v)).alias("k1"), F.xxhash64(F.lit(2), v).alias("k2"))
-    classes = keyed.filter("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v"))
-    classes = stash(classes, "classes")
-    strips = max(1, -(-classes.count() // STRIP))
+    kinds = keyed.filter("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("low"), F.count("*").alias("n"), F.first("v").alias("v"))
+    # A class goes by its smallest id, or by a hash of its vector where that id has several rows.
+    several = stash(keyed.filter("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("id").alias("low"), F.lit(True).alias("shared")), "several")
+    repeats = not several.isEmpty()
+    kinds = kinds.join(several, "low", "left") if repeats else kinds.withColumn("shared", F.lit(False))
+    classes = stash(kinds.select("k1", "k2", "low", F.when(F.col("shared"), F.col("k1")).otherwise(F.col("low")).alias("rep"), "n", "v"), "classes")
+    count, size = classes.agg(F.count("*"), F.sum(F.size("v").cast("long"))).first()
+    cores = spark.sparkContext.defaultParallelism
+    strips = max(1, -(-(size or 0) * (4 if kind == "float" else 8) // STRIP_BYTES), min(-(-count // STRIP), math.isqrt(8 * cores) + 1))
     # A row goes to the tiles (i, j), i <= j, of its strip: as side 0 for its own i, else as side 1.
     own = F.pmod(F.xxhash64(F.lit(3), "rep"), F.lit(strips))
     spread = classes.select("rep", "n", "v", F.size("v").alias("dim"), own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(strips - 1))).alias("other"))
@@ -142,10 +165,21 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
 
     found = stash(spread.groupBy("dim", "i", "j").applyInArrow(tile, TILE), "found")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    parts = components(found.select(F.col("rep").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("node", "rep")
-    info = classes.select("k1", "k2", "rep", "n").join(links, "rep", "left").join(parts, "rep", "left")
-    info = stash(info.select("k1", "k2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "info")
+    edges = found.select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    if repeats:
+        of_id = keyed.filter("k1 IS NOT NULL").select("id", "k1", "k2").join(several.select(F.col("low").alias("id")), "id", "left_semi").distinct()
+        of_id = of_id.join(classes.select("k1", "k2", "rep"), ["k1", "k2"])
+        edges = edges.unionByName(of_id.join(of_id.groupBy("id").agg(F.min("rep").alias("b")), "id").select(F.col("rep").alias("a"), "b"))
+    parts = components(edges).withColumnRenamed("node", "rep")
+    info = classes.select("k1", "k2", "low", "rep", "n").join(links, "rep", "left").join(parts, "rep", "left")
+    if repeats:  # a component goes by the smallest id of all its classes
+        lows = stash(info.filter("component IS NOT NULL").groupBy("component").agg(F.min("low").alias("whole_low")), "lows")
+        info = info.join(lows, "component", "left").withColumn("component", F.col("whole_low"))
+    info = stash(info.select("k1", "k2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "low").alias("component_id")), "info")
     out = keyed.select("id", "k1", "k2").join(info, ["k1", "k2"], "left")
+    if repeats:  # so do an id's vectors that link with nothing
+        by_id = out.select("id", F.coalesce("component_id", "id").alias("c")).join(several.select(F.col("low").alias("id")), "id", "left_semi").groupBy("id").agg(F.min("c").alias("c"))
+        out = out.join(stash(by_id, "by_id"), "id", "left").withColumn("component_id", F.coalesce("c", "component_id"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
 

@@ -34,28 +34,32 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"(class|id|role|aria-label|hidden|style|itemprop)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
-RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "title", "noscript", "template", "iframe", "textarea", "svg", "select", "object", "math")}
+RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "title", "template", "iframe", "textarea", "svg", "select", "annotation")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var picture".split())
+#: Formulas are part of the text around them.
+INLINE |= frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+#: Elements that stand for their content: inside a paragraph they don't part it.
+CLEAR = frozenset("noscript object".split())
 BREAKS = frozenset("br wbr".split())
 #: What an opening tag closes if it is the innermost of its kind.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 LIMITS = frozenset("ul ol dl table body html article section div nav".split())
 
-TAGS = ["#text", "other"] + "html body div section article main header footer nav aside form p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th tbody blockquote pre figure figcaption button dialog details summary address fieldset hr center menu head".split()
+TAGS = ["#text", "other"] + "html body div section article main header footer nav aside form p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th tbody blockquote pre figure figcaption button dialog details summary address fieldset hr center menu head noscript object".split()
 TAG_ID = {t: i for i, t in enumerate(TAGS)}
 #: Words of class, id and role, one group per kind of page part.
 WORDS = [
     re.compile(rf"(?:^|[^a-z])(?:{w})", re.I)
     for w in (
-        "ad(?![a-z])|ads(?![a-z])|advert|sponsor|promo|banner|adsense|dfp|outbrain|taboola|commercial",
-        "nav|menu|breadcrumb|crumb|toolbar|tabs?(?![a-z])|pagination|pager|skip|toc(?![a-z])",
-        "comment|disqus|repl(?:y|ies)|respon(?:se|d)|discussion|reader|feedback|review",
-        "foot|copyright|legal|bottom|colophon|imprint",
-        "head(?:er)?(?![a-z])|masthead|topbar|logo|site-title|brand|hero",
-        "side|rail|widget|related|recommend|popular|trending|more-|see-also|teaser|archive|tagcloud",
+        "ad(?![a-z])|ads(?![a-z])|advert|sponsor|promo|banner|adsense|dfp|outbrain|taboola|commercial(?![a-z])",
+        "nav(?:bar|igation)?(?![a-z])|menu|breadcrumb|crumb|toolbar|tabs?(?![a-z])|pagination|pager|skip|toc(?![a-z])",
+        "comments?(?![a-z])|comment(?:list|body|form|area|text)|disqus|repl(?:y|ies)(?![a-z])|respon(?:ses?|d)(?![a-z])|discussions?(?![a-z])|reader|feedback|reviews(?![a-z])",
+        "footer|foot(?![a-z])|copyright|legal(?![a-z])|bottom|colophon|imprint",
+        "head(?:er)?(?![a-z])|masthead|topbar|logo(?![a-z])|site-title|brand(?![a-z])|hero(?![a-z])",
+        "side(?![a-z])|sidebar|rail(?![a-z])|widget|related|recommend|popular|trending|more-|see-also|teaser|archive|tagcloud",
         "cookie|consent|notice|alert|warning|gdpr|privacy|modal|popup|overlay|toast|dialog|message|info(?:box)?(?![a-z])|paywall|announcement",
-        "share|social|follow|subscribe|newsletter|signup|sign-up|login|search|form|download|print",
+        "share|social|follow|subscribe|newsletter|signup|sign-up|login|search|form(?![a-z])|download(?![a-z])|print(?![a-z])",
         "article|content|post(?!ed)|entry|story|main|body|text|prose|paragraph|chapter|blog",
         "meta|byline|author|date|tags?(?![a-z])|categor|caption|credit|contact",
     )
@@ -165,7 +169,7 @@ class Page:
                     break
                 at = end.end() if end else at
                 continue
-            if tag in INLINE:
+            if tag in INLINE or tag in CLEAR and opened[-1][0] == "p":
                 if tag == "a":
                     links += 1
                 continue
@@ -361,8 +365,32 @@ def training_pages(n: int = 1000, seed: int = 11) -> list[tuple[str, list[tuple[
                 x[k] = f"<{tag}>{x[k]}</{tag.split()[0]}>"
             return " ".join(x)
 
+        def extra():
+            """Rarer parts of an article: links alone, sources, terms, formulas, notes."""
+            link = lambda text: f'<a href="/{word()}">{text}</a>'
+            kind = r.randrange(7)
+            if kind == 0:
+                return f"<p>{link(say(words(2, 9), True))}</p>"
+            if kind == 1:
+                n = r.choice("234")
+                title = f"<h{n}>{say(words(1, 3), True)}</h{n}>"
+                return title + "<ul>" + "".join(f"<li>{link(say(words(1, 8), True))}</li>" for _ in range(r.randint(1, 5))) + "</ul>"
+            if kind == 2:
+                return "<dl>" + "".join(f"<dt>{say(words(1, 2), True)}</dt><dd>{say(sentence(), True)}</dd>" for _ in range(r.randint(1, 3))) + "</dl>"
+            if kind == 3:
+                a, b, c = sentence(), word(), words(2, 6)
+                say(f"{a} {b} {c}", True)
+                return f"<p>{a} <math><mrow><mi>{b}</mi></mrow></math> {c}</p>"
+            if kind == 4:
+                return f"<{(tag := r.choice(['noscript', 'object']))}><p>{say(noise_text(), True)}</p></{tag}>"
+            if kind == 5:
+                return f'<section class="{r.choice(["footnotes", word(), word() + "-" + word()])}"><ol>' + "".join(f"<li>{say(words(2, 9), True)}</li>" for _ in range(r.randint(1, 3))) + "</ol></section>"
+            return f'<div class="{r.choice([word(), "commentary", "football", "sidelines", "format-standard", "information"])}"><p>{say(noise_text(1, 4), True)}</p></div>'
+
         def paragraph():
             kind = r.random()
+            if r.random() < 0.08:
+                return extra()
             text = lambda a=1, b=6: say(" ".join(sentence(1, 16) for _ in range(r.randint(a, b))), True)
             if kind < 0.7:
                 end = r.choice(["</p>", "</p>", "</p>", ""])
@@ -401,7 +429,7 @@ def training_pages(n: int = 1000, seed: int = 11) -> list[tuple[str, list[tuple[
                 body += f"<footer>{say(words(1, 6), False)}</footer>"
             kind = r.random()
             if kind < 0.55:
-                return f"<article{r.choice(['', '', attr('post', 'article', 'entry')])}>{body}</article>"
+                return f"<article{r.choice(['', '', attr('post', 'article', 'entry', 'commentary', 'football', 'format-standard', word())])}>{body}</article>"
             if kind < 0.7:
                 return f"<main{r.choice(['', attr('content', 'main')])}>{body}</main>"
             name = r.choice(["content", "article", "post", "main", "entry-content", "story", "article-body", "post-body", "text"])
@@ -413,6 +441,8 @@ def training_pages(n: int = 1000, seed: int = 11) -> list[tuple[str, list[tuple[
         wrap = r.random() < 0.3
         if r.random() < 0.2:
             parts.append(side())
+        if r.random() < 0.08:
+            parts.insert(0, f"<noscript>{say(noise_text(1, 1), False)}</noscript>")
         core = article()
         if r.random() < 0.2:
             core = f"<main>{core}" + (comments() if r.random() < 0.4 else "") + "</main>"

@@ -79,6 +79,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def features_of(texts: list[str]) -> list[np.ndarray]:
+    if not texts:
+        return []
     row, code = features(*utf8(pa.array(texts, pa.string())))
     return np.split(code, np.searchsorted(row, np.arange(1, len(texts))))
 

@@ -53,3 +53,18 @@ def test_awkward_rows(spark):
     alone = [(i, 0, i, True) for i in (1, 2, 3, 4, 5, 6)]
     assert got == sorted([*alone, (7, 2, 7, True), (7, 2, 7, True), (8, 2, 7, False), (9, 0, 9, True), (-1, 0, -1, False)])
     assert op.near_vectors(frame(spark, rows).limit(0)).collect() == []
+
+
+def test_magnitudes_of_doubles(spark):
+    rows = [(1, [1e300, 0.0]), (2, [1e300, 1.0]), (3, [1e-300, 0.0]), (4, [0.0, 5e-200]), (5, [1.0, 1e-12])]
+    data = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted((x.vec_id, x.n_links, x.component_id) for x in op.near_vectors(data).collect())
+    assert got == [(1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 0, 4), (5, 3, 1)]
+
+
+def test_repeated_ids_with_different_vectors(spark):
+    v, w, lone = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    near = lambda x: [c + 0.01 for c in x]
+    rows = [(5, v), (5, w), (7, near(v)), (8, near(w)), (9, w), (2, lone), (9, None)]
+    got = sorted((x.vec_id, x.n_links, x.component_id, x.kept) for x in op.near_vectors(frame(spark, rows)).collect())
+    assert got == [(2, 0, 2, True), (5, 1, 5, True), (5, 2, 5, True), (7, 1, 5, False), (8, 2, 5, False), (9, 0, 5, False), (9, 2, 5, False)]

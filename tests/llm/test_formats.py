@@ -138,6 +138,31 @@ def test_html_model_on_unseen_pages():
     assert np.mean([a == b for a, b in zip(model.texts([s for s, _ in pages]), want)]) > 0.95
 
 
+#: Pages written by hand, not by the trainer, with the text a reader would copy.
+SITE = "<!DOCTYPE html><html><head><title>T</title></head><body><header class='site-header'><div class='logo'>Site</div><nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul></nav></header>{}<footer>© 2020 Site. All rights reserved.</footer></body></html>"
+P = "<p>The river rose by two metres in the night, and the lower town was cut off.</p>"
+R = "The river rose by two metres in the night, and the lower town was cut off."
+CASES = [
+ (f"<article><h1>Flood</h1><p>Let <math><mi>x</mi></math> be real.</p>{P}</article>", "Flood\nLet x be real.\n"+R),
+ (f"<article class='commentary'><h1>Flood</h1>{P}{P}</article>", f"Flood\n{R}\n{R}"),
+ (f"<article><h1>Flood</h1>{P}<noscript><p>The gauge stood at six.</p></noscript></article>", f"Flood\n{R}\nThe gauge stood at six."),
+ (f"<article><h1>Flood</h1>{P}<object><p>A chart of the levels.</p></object></article>", f"Flood\n{R}\nA chart of the levels."),
+ (f"<article><h1>Flood</h1>{P}<p><a href='/x'>Read the report of the council</a></p></article>", f"Flood\n{R}\nRead the report of the council"),
+ (f"<main><article><h1>Flood</h1>{P}<h2>Sources</h2><ul><li><a href='/x'>Council report</a></li><li><a href='/y'>Weather office</a></li></ul></article></main>", f"Flood\n{R}\nSources\nCouncil report\nWeather office"),
+ (f"<div id='content'><h1>Flood</h1>{P}<dl><dt>Gauge</dt><dd>A mark on the wall.</dd></dl></div>", f"Flood\n{R}\nGauge\nA mark on the wall."),
+ (f"<article class='post format-standard'><h1>Flood</h1>{P}</article><section id='comments'><h3>2 comments</h3><div class='comment'><p>Stay safe, all of you.</p></div></section>", f"Flood\n{R}"),
+ (f"<div class='football'><h1>Cup final</h1>{P}</div>", f"Cup final\n{R}"),
+ (f"<noscript>Please enable JavaScript to use this site.</noscript><article><h1>Flood</h1>{P}<aside class='related'><h3>More</h3><ul><li><a href='/q'>Other floods</a></li></ul></aside>{P}</article>", f"Flood\n{R}\n{R}"),
+ (f"<div class='cookie-banner'><p>We use cookies.</p><button>OK</button></div><main><h1>Flood</h1>{P}<blockquote><p>It came so fast.</p></blockquote><form><label>Mail</label><input><button>Subscribe</button></form></main>", f"Flood\n{R}\nIt came so fast."),
+ (f"<article><h1>Flood &amp; fire</h1><p>First line<br>second line &lt;3 &#233;.</p><table><tr><th>Day</th><th>Level</th></tr><tr><td>Mon</td><td>6 m</td></tr></table></article>", "Flood & fire\nFirst line second line <3 é.\nDay\nLevel\nMon\n6 m"),
+]
+
+
+@pytest.mark.parametrize("body, want", CASES)
+def test_html_model_on_hand_made_pages(body, want):
+    assert html_tree.trained().texts([SITE.format(body)]) == [want]
+
+
 def test_messages_equal_enumeration():
     import itertools
 

@@ -134,7 +134,7 @@ def labelled_rows(biased):
 
 def fit_toxicity(rows, strength):
     f = toxicity.features_of([t for t, _ in rows])
-    pairs = [(a, x) for a, (t, _) in zip(f, rows) for x in (toxicity.features_of(c) if (c := toxicity.counterfactuals(t)) else [])]
+    pairs = [(a, x) for a, (t, _) in zip(f, rows) for x in toxicity.features_of(toxicity.counterfactuals(t))]
     return toxicity.fit_rows([(a, y) for a, (_, y) in zip(f, rows)], pairs, strength)
 
 

@@ -145,7 +145,9 @@ def test_counterfactual_penalty_lowers_scores_of_neutral_mentions():
     assert held.score_texts(neutral).max() < free.score_texts(neutral).max()
     assert held.score_texts(neutral).max() < toxicity.THRESHOLD
     assert held.score_texts(["green zorgly river"])[0] >= toxicity.THRESHOLD
-    assert toxicity.counterfactual("Muslim and hindu") == "jewish and buddhist" and toxicity.counterfactual("none") is None
+    others = toxicity.counterfactuals("Muslim and hindu")
+    assert others[0] == "jewish and buddhist" and len(others) == len(set(others)) == 8 and toxicity.counterfactuals("none") == []
+    assert toxicity.counterfactuals("Two women") == ["Two men"]
 
 
 @pytest.mark.parametrize("module,label,query", [(toxicity, "toxic", "score"), (quality_cnn, "quality", "score")])
@@ -198,6 +200,8 @@ def test_gradients_match_differences():
         return float(np.mean(np.logaddexp(0, z) - y * z))
 
     g = net.gradients(x, count, y)
+    sliced = net.gradients(x, count, y, step=2)
+    assert all(np.allclose(g[k], sliced[k], atol=1e-5) for k in g)
     for k, at in (("w", (3, 5)), ("w", (10, 40)), ("b", (2,)), ("top", (1,)), ("mean", (4,)), ("emb", (int(x[0, 0]), 1)), ("bias", (0,))):
         keep = net.p[k][at]
         net.p[k][at] = keep + 1e-6

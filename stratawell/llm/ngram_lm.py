@@ -1,11 +1,12 @@
 """Bigram language model in a log-frequency Bloom filter.
 
 Counting: tasks count word and pair hashes of their share of the training texts
-in numpy, Spark adds the counts up by hash.  Counts of words and pairs are
-quantised to LEVEL_BASE**k and stored as entries (n-gram, 1) .. (n-gram, level)
-in a Bloom filter of BITS_PER_ENTRY bits an entry, whatever their number.  All
-entries of an n-gram lie in one block of BLOCK_BYTES, chosen by its hash; blocks
-are built SEGMENT a task, so a task's share doesn't grow with the corpus.
+in numpy, Spark adds the counts up by hash, a range of hashes a task.  Counts of
+words and pairs are quantised to LEVEL_BASE**k and stored as entries (n-gram, 1)
+.. (n-gram, level) in a Bloom filter of BITS_PER_ENTRY bits an entry, whatever
+their number.  All entries of an n-gram lie in one block of BLOCK_BYTES, chosen by
+the place of its hash among all, so a task that reads counts sets the bits of
+few blocks; only those are shuffled and united, SEGMENT a task.
 
 A filter of at most BROADCAST bytes is broadcast, with at most HEAVY exact word
 counts.  A larger one stays a table of blocks: each text's distinct n-grams are
@@ -131,7 +132,10 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
         yield from flush()
         trim()
 
-    return docs.mapInArrow(run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("count"))
+    # Ranges of hashes, some dozens a partition: what a task adds up lies in few blocks of the filter.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    top = F.shiftrightunsigned("hash", 64 - min(20, max(parts, 2).bit_length() + 5)).alias("top")
+    return docs.mapInArrow(run, "hash bigint, n bigint").select("hash", "n", top).repartition("top").groupBy("top", "hash").agg(F.sum("n").alias("count")).drop("top")
 
 
 def probe(h: np.ndarray, q, p: int) -> np.ndarray:
@@ -167,26 +171,58 @@ def read_levels(h: np.ndarray, block: np.ndarray, field: np.ndarray) -> np.ndarr
 
 
 def block_of(c, blocks: int):
-    """The block of a hash: of a numpy array, or of a column's name."""
+    """The block of a hash: of a numpy array, or of a column's name.  Both round alike."""
     if isinstance(c, str):
-        return F.shiftrightunsigned(F.col(c), 1) % F.lit(blocks)
-    return ((c >> np.uint64(1)) % np.uint64(blocks)).astype(np.int64)
+        at = F.shiftrightunsigned(F.col(c), 12).cast("double") * F.lit(2.0**-52) * F.lit(float(blocks))
+        return F.least(F.floor(at), F.lit(blocks - 1).cast("long"))
+    at = (c >> np.uint64(12)).astype(np.float64) * 2.0**-52 * float(blocks)
+    return np.minimum(at.astype(np.int64), blocks - 1)
 
 
 def build_filter(counts: DataFrame, blocks: int) -> DataFrame:
     """seg and field (bytes of its SEGMENT blocks) of the filter of counts(hash, count)."""
     from pyspark.sql.types import StructType
 
-    ddl = "seg bigint, field binary"
+    ddl, step = "seg bigint, field binary", 4096
     schema = to_arrow_schema(StructType.fromDDL(ddl))
+    pieces = to_arrow_schema(StructType.fromDDL("block bigint, bits binary"))
 
-    def build(table: pa.Table) -> pa.Table:
-        seg, h = table["seg"][0].as_py(), table["hash"].to_numpy().view(np.uint64)
-        first = seg * SEGMENT
-        field = set_bits(h, level_of(table["count"].to_numpy()), block_of(h, blocks) - first, min(SEGMENT, blocks - first))
+    def run(batches):
+        held, size = [], 0
+
+        def flush():
+            h, c = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            block = block_of(h, blocks)
+            order = np.argsort(block)
+            h, level, block = h[order], level_of(c[order]), block[order]
+            names, at = np.unique(block, return_inverse=True)
+            for a in range(0, len(names), step):
+                lo, hi = np.searchsorted(at, (a, a + step))
+                part = names[a : a + step]
+                bits = set_bits(h[lo:hi], level[lo:hi], at[lo:hi] - a, len(part))
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([x.tobytes() for x in bits], pa.binary())], schema=pieces)
+
+        for batch in batches:
+            held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
+            size += batch.num_rows
+            if size >= 1 << 19:
+                yield from flush()
+                size = 0
+        if held:
+            yield from flush()
+        trim()
+
+    def unite(table: pa.Table) -> pa.Table:
+        seg = table["seg"][0].as_py()
+        field = np.zeros((min(SEGMENT, blocks - seg * SEGMENT), BLOCK_BYTES), np.uint8)
+        for block, bits in zip(table["block"].to_numpy() - seg * SEGMENT, table["bits"].to_pylist()):
+            field[block] |= np.frombuffer(bits, np.uint8)
         return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip([seg, field.tobytes()], schema)], schema=schema)
 
-    return counts.withColumn("seg", F.floor(block_of("hash", blocks) / SEGMENT)).groupBy("seg").applyInArrow(build, ddl)
+    ship(counts.sparkSession)
+    made = counts.select("hash", "count").mapInArrow(run, "block bigint, bits binary")
+    return made.withColumn("seg", F.floor(F.col("block") / SEGMENT)).groupBy("seg").applyInArrow(unite, ddl)
 
 
 class Model:

@@ -15,7 +15,7 @@ step, so that short texts are not taken for bad ones.  Scoring reads every byte
 of every text.
 
 Nulls and empty texts are one chunk of padding and get its score.  Equal texts
-have equal scores.  Without labelled rows of both kinds the score is the share
+have equal scores to six digits.  Without labelled rows of both kinds the score is the share
 of label 1 (0.5 without any).  Extra input columns are not read.
 """
 
@@ -87,14 +87,12 @@ class Net:
         out = np.empty((len(x), VECTOR), self.p["b"].dtype)
         for a in range(0, len(x), step):
             part = x[a : a + step]
-            # Products of small matrices may round otherwise: full blocks keep equal texts' scores equal.
-            full = part if len(part) % 64 == 0 else np.concatenate([part, np.full((-len(part) % 64, CHUNK), PAD, part.dtype)])
-            out[a : a + step, :FILTERS] = np.maximum(self.convolve(full)[1][: len(part)].max(axis=1) + self.p["b"], 0)
+            out[a : a + step, :FILTERS] = np.maximum(self.convolve(part)[1].max(axis=1) + self.p["b"], 0)
             out[a : a + step, FILTERS] = echo(part)
         return out
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Probability of label 1 of each row; rows with the same bytes get the same."""
+        """Probability of label 1 of each row, to six digits: the last ones of float32 products depend on the slice."""
         if self.constant is not None:
             return np.full(len(offsets) - 1, self.constant)
         x, count = chunks(data, offsets)
@@ -102,7 +100,7 @@ class Net:
         top = np.maximum.reduceat(v, first)
         mean = np.add.reduceat(v.astype(np.float64), first) / count[:, None]
         z = top.astype(np.float64) @ self.p["top"].astype(np.float64) + mean @ self.p["mean"].astype(np.float64) + float(self.p["bias"][0])
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return np.round(1 / (1 + np.exp(-np.clip(z, -30, 30))), 6)
 
     def gradients(self, x: np.ndarray, count: np.ndarray, y: np.ndarray, step: int = 512) -> dict[str, np.ndarray]:
         """Gradients of the mean loss of documents of count chunks each, over slices of step chunks."""

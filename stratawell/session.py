@@ -7,6 +7,7 @@ setting is absent, as in local tests, a local folder stands in for it.
 
 from __future__ import annotations
 
+import gc
 import io
 import tempfile
 import uuid
@@ -93,5 +94,11 @@ def drop(*tables: DataFrame | None) -> None:
             system.delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now; else they stay until the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

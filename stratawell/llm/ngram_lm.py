@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from stratawell.llm.arrow_map import map_batches, to_arrow_schema, trim
 from stratawell.llm.bytes_np import Words, mix, slices, utf8
-from stratawell.session import ship, stash
+from stratawell.session import release, ship, stash
 
 END, BEGIN = np.uint64(0x656E64206F662074), np.uint64(0x626567696E206F66)
 PAIR, LEVEL_STEP, PROBE_STEP = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -206,7 +206,7 @@ def build_filter(counts: DataFrame, blocks: int) -> DataFrame:
         for batch in batches:
             held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
             size += batch.num_rows
-            if size >= 1 << 19:
+            if size >= 1 << 21:
                 yield from flush()
                 size = 0
         if held:
@@ -262,7 +262,8 @@ class Model:
 
 def fit(docs: DataFrame, bits_per_entry: int = BITS_PER_ENTRY) -> tuple[Model, DataFrame]:
     """The model of docs(text) and its table of exact word counts (hash, count)."""
-    every = stash(count_ngrams(docs), "counts")
+    spark, every = docs.sparkSession, stash(count_ngrams(docs), "counts")
+    release(spark)
     counts = every.filter("hash % 2 = 0")
     level = 1 + F.floor(F.log(F.col("count").cast("double")) / math.log(LEVEL_BASE) + 1e-9)
     word = F.col("hash") % 2 == 0
@@ -272,6 +273,7 @@ def fit(docs: DataFrame, bits_per_entry: int = BITS_PER_ENTRY) -> tuple[Model, D
     n_tokens, n_types = sum(r["tokens"] for r in words), sum(r["n"] for r in words)
     blocks = max(1, -(-sum(r["entries"] for r in by_size) * bits_per_entry // (BLOCK_BYTES * 8)))
     table = stash(build_filter(every, blocks), "filter")
+    release(spark)
     least, room = 64 * 4, HEAVY
     for size, n in sorted(((r["size"], r["n"]) for r in words), reverse=True):
         if n > room:

@@ -46,7 +46,7 @@ PAIR, LEVEL_STEP, PROBE_STEP = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C
 LEVEL_BASE, PROBES, BITS_PER_ENTRY = 1.5, 3, 8
 BLOCK_BYTES, SEGMENT = 256, 1024
 #: The largest filter that is broadcast.
-BROADCAST = 64 << 20
+BROADCAST = 128 << 20
 HEAVY = 1 << 19
 FLUSH = 3_000_000
 A, B = 20.0, 1.0

@@ -47,10 +47,14 @@ def imputed_scaled(long: DataFrame, train: Column, feature: str = "feature", val
     return out.withColumn("scaled", F.try_divide(F.col("imputed") - F.col("__mean"), "__sd")).drop("__mean", "__sd")
 
 
-def group_folds(df: DataFrame, group: str, k: int, seed: int) -> DataFrame:
-    """group and fold (1 to k): groups in descending size, dealt forth and back, so folds are near equal."""
+def group_folds(df: DataFrame, group: str, k: int, seed: int | None) -> DataFrame:
+    """group and fold (1 to k): groups in descending size, dealt forth and back, so folds are near equal.
+
+    Groups of equal size come in pseudo-random order, or by their name if seed is None.
+    """
     sizes = df.groupBy(group).agg(F.count("*").alias("n"))
-    place = F.row_number().over(W.orderBy(F.col("n").desc(), F.xxhash64(F.lit(seed), group), group)) - 1
+    tie = [] if seed is None else [F.xxhash64(F.lit(seed), group)]
+    place = F.row_number().over(W.orderBy(F.col("n").desc(), *tie, group)) - 1
     lap, at = F.floor(place / k), place % k
     return sizes.select(group, F.when(lap % 2 == 0, at + 1).otherwise(F.lit(k) - at).cast("int").alias("fold"))
 
@@ -174,12 +178,27 @@ def hash_text(x: str) -> int:
     return zlib.crc32(x.encode())
 
 
-def rotations(units: DataFrame, same: list[str], differ: str, key: str, n: int, seed: int) -> DataFrame:
-    """Up to n other units for each: equal in the columns same, different in differ, in pseudo-random order."""
-    b = units.select(*same, F.col(differ).alias("__d"), F.col(key).alias("donor"))
-    pairs = units.join(b, same).filter((F.col(differ) != F.col("__d")) & (F.col(key) != F.col("donor")))
-    w = W.partitionBy(key).orderBy(F.xxhash64(F.lit(seed), key, "donor"), "donor")
-    return pairs.withColumn("rotation", F.row_number().over(w)).filter(F.col("rotation") <= n).select(key, "donor", "rotation")
+def rotations(units: DataFrame, same: list[str], differ: str, key: str, n: int, seed: int | None) -> DataFrame:
+    """Up to n other units for each: equal in the columns same, different in differ, spread evenly over those.
+
+    Units of a group stand in a row, those of equal differ together, in pseudo-random order (by key if seed
+    is None).  A unit's donors are every (m / n)-th of the m units outside its own stretch, from a start of
+    its own, so a group of any size gives n rows a unit and no table of all pairs.
+    """
+    order = [F.xxhash64(F.lit(seed), key)] if seed is not None else []
+    group = W.partitionBy(*same)
+    mine = W.partitionBy(*same, differ)
+    u = units.select(*same, differ, key).filter(F.col(differ).isNotNull() & F.col(key).isNotNull())
+    u = u.withColumn("__at", F.row_number().over(group.orderBy(differ, *order, key)) - 1)
+    u = u.withColumns({"__m": F.count("*").over(group) - F.count("*").over(mine), "__c": F.count("*").over(mine), "__s": F.min("__at").over(mine)})
+    start = F.pmod(F.xxhash64(F.lit(seed), F.lit("start"), key), F.col("__m")) if seed is not None else F.pmod(F.col("__at"), F.col("__m"))
+    j = F.explode(F.sequence(F.lit(0), F.least(F.lit(n), F.col("__m")).cast("int") - 1))
+    step = F.greatest(F.lit(1), F.floor(F.col("__m") / n))
+    want = u.filter("__m > 0").withColumn("__first", start).select(*same, key, "__m", "__c", "__s", "__first", step.alias("__t"), j.alias("__j"))
+    place = F.pmod(F.col("__first") + F.col("__j") * F.col("__t"), F.col("__m"))
+    want = want.withColumn("__at", F.when(place < F.col("__s"), place).otherwise(place + F.col("__c")))
+    donors = u.select(*same, "__at", F.col(key).alias("donor"))
+    return attach(want, donors, [*same, "__at"]).select(key, "donor", (F.col("__j") + 1).alias("rotation"))
 
 
 def logistic_l1(df: DataFrame, features: list[str], label: str, weight: str | None, strength: float):

@@ -17,9 +17,9 @@ def to_wide(df: DataFrame, ids: list[str], name: str, value: str, names: list[st
     return out.fillna(fill, subset=names) if fill is not None else out
 
 
-def usable_features(long: DataFrame, feature: str = "feature", value: str = "value") -> DataFrame:
-    """Names of features that have values and vary."""
-    return long.groupBy(feature).agg(F.count(value).alias("n"), F.stddev_samp(value).alias("sd")).filter("n > 0 AND sd > 0").select(feature)
+def usable_features(long: DataFrame, feature: str = "feature", value: str = "value", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Names of features that have values and vary, per key."""
+    return long.groupBy(*keys, feature).agg(F.count(value).alias("n"), F.stddev_samp(value).alias("sd")).filter("n > 0 AND sd > 0").select(*keys, feature)
 
 
 def families(long: DataFrame, prefixes: dict[str, str], other: str, feature: str = "feature", name: str = "family") -> DataFrame:

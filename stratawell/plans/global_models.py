@@ -128,7 +128,7 @@ def metrics(predictions: DataFrame) -> DataFrame:
     return c.join(a, keys).join(p, keys)
 
 
-def baselines(sizes: DataFrame) -> DataFrame:
+def baselines(sizes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """What a guess reaches: 0.5 for AUROC and balanced accuracy, 0 for kappa and MCC, the share of cases for precision."""
     share = F.try_divide("npos_test", "n_test")
-    return sizes.select(F.lit(0.5).alias("auroc"), F.lit(0.5).alias("balanced_accuracy"), F.lit(0.0).alias("kappa"), F.lit(0.0).alias("mcc"), share.alias("pr_area"), F.greatest(share, 1 - share).alias("accuracy"))
+    return sizes.select(*keys, F.lit(0.5).alias("auroc"), F.lit(0.5).alias("balanced_accuracy"), F.lit(0.0).alias("kappa"), F.lit(0.0).alias("mcc"), share.alias("pr_area"), F.greatest(share, 1 - share).alias("accuracy"))

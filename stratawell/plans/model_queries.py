@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from stratawell.operators import evaluation as evl, modelling as md, relational as rel, reshape, stats
+from stratawell.plans import global_models as gm
 from stratawell.plans.registry import query, r
 from stratawell.plans.statistics_queries import FEATURES, LONG_SQL
 
@@ -53,10 +54,10 @@ def zscore_train(t):
     return with_holes(t).select("l_orderkey", "l_linenumber", "l_suppkey", "feature", r(F.col("scaled")).alias("scaled"))
 
 
-@query("SELECT c_custkey, (c_nationkey % 5) + 1 AS fold, count(*) OVER (PARTITION BY c_nationkey % 5) AS size FROM customer")
+@query("WITH g AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY ALL), p AS (SELECT c_nationkey, n, row_number() OVER (ORDER BY n DESC, c_nationkey) - 1 AS place FROM g) SELECT c_nationkey, n, (CASE WHEN (place // 5) % 2 = 0 THEN place % 5 + 1 ELSE 5 - place % 5 END)::INTEGER AS fold FROM p")
 def group_folds(t):
-    fold = F.col("c_nationkey") % 5 + 1
-    return t("customer").select("c_custkey", fold.alias("fold"), F.count("*").over(W.partitionBy(fold)).alias("size"))
+    c = t("customer")
+    return c.groupBy("c_nationkey").agg(F.count("*").alias("n")).join(md.group_folds(c, "c_nationkey", 5, None), "c_nationkey")
 
 
 @query(None)
@@ -159,8 +160,9 @@ def one_se_rule(t):
 
 @query("SELECT toxic, count(*) AS n, round(greatest(avg(quality), 1 - avg(quality)), 6) AS accuracy_base, 0.5 AS auroc_base, round(avg(quality), 6) AS pr_base, 0.0 AS mcc_base FROM labels GROUP BY toxic")
 def metric_baselines(t):
-    p = F.avg("quality")
-    return t("labels").groupBy("toxic").agg(F.count("*").alias("n"), r(F.greatest(p, 1 - p)).alias("accuracy_base"), F.lit(0.5).alias("auroc_base"), r(p).alias("pr_base"), F.lit(0.0).alias("mcc_base"))
+    sizes = t("labels").groupBy("toxic").agg(F.count("*").alias("n_test"), F.sum("quality").alias("npos_test"))
+    b = gm.baselines(sizes, ("toxic", "n_test"))
+    return b.select("toxic", F.col("n_test").alias("n"), r(F.col("accuracy")).alias("accuracy_base"), F.col("auroc").alias("auroc_base"), r(F.col("pr_area")).alias("pr_base"), F.col("mcc").alias("mcc_base"))
 
 
 @query("SELECT lang, count(*) FILTER (l.doc_id % 4 <> 0) AS n_train, count(*) FILTER (l.doc_id % 4 = 0) AS n_test, count(*) FILTER (l.doc_id % 4 <> 0 AND quality = 1) AS npos_train, count(*) FILTER (l.doc_id % 4 = 0 AND quality = 1) AS npos_test FROM labels l JOIN documents d ON d.doc_id = l.doc_id GROUP BY lang")

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from stratawell.functions import text as tx
 from stratawell.functions.safe_math import safe_log2
-from stratawell.operators import relational as rel
+from stratawell.operators import modelling as md, relational as rel
 from stratawell.plans.registry import query, r
 
 
@@ -47,11 +47,14 @@ def anti_members(t):
     return rel.not_in(c, "k", t("orders").select("o_custkey"))
 
 
-@query("SELECT a.p_partkey, b.p_partkey AS donor FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_type <> b.p_type AND a.p_partkey <> b.p_partkey")
+@query("""WITH u AS (
+  SELECT p_size, p_brand, p_partkey, row_number() OVER (PARTITION BY p_size ORDER BY p_brand, p_partkey) - 1 AS spot, count(*) OVER (PARTITION BY p_size) - count(*) OVER (PARTITION BY p_size, p_brand) AS m, count(*) OVER (PARTITION BY p_size, p_brand) AS c FROM part
+), s AS (SELECT *, min(spot) OVER (PARTITION BY p_size, p_brand) AS s FROM u
+), w AS (
+  SELECT s.*, j.j, (spot % m + j.j * greatest(1, m // 10)) % m AS o FROM s, range(10) j(j) WHERE m > 0 AND j.j < least(10, m)
+) SELECT w.p_partkey, d.p_partkey AS donor, w.j + 1 AS rotation FROM w JOIN u d ON d.p_size = w.p_size AND d.spot = CASE WHEN w.o < w.s THEN w.o ELSE w.o + w.c END""")
 def candidate_rotations(t):
-    p = t("part")
-    b = p.select("p_brand", "p_size", F.col("p_type").alias("t2"), F.col("p_partkey").alias("donor"))
-    return p.join(b, ["p_brand", "p_size"]).filter("p_type <> t2 AND p_partkey <> donor").select("p_partkey", "donor")
+    return md.rotations(t("part"), ["p_size"], "p_brand", "p_partkey", 10, None)
 
 
 @query("SELECT c_custkey, regexp_extract(c_name, '[0-9]+') AS number, split_part(c_name, '#', 1) AS word FROM customer")

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from stratawell.functions.safe_math import padded_dispersion, round_even, safe_corr
 from stratawell.operators import relational as rel, reshape, stats
-from stratawell.operators.ordered import with_totals
+from stratawell.operators.ordered import ranged, running, with_totals
 from stratawell.plans.registry import query, r
 
 FEATURES = ["l_quantity", "l_discount", "l_tax"]
@@ -57,6 +57,56 @@ def spearman_corr(t):
     return stats.spearman(t("orders"), ["o_orderstatus"], "o_totalprice", "o_custkey").withColumn("r", r(F.col("r")))
 
 
+LEAST, METHODS = 20, ("pearson", "spearman", "kendall")
+#: Customers by segment (key) and region (level, and All): two features with holes, the nation as a response with ties.
+MIXED_SQL = """mixed AS (
+  SELECT c_mktsegment, n_regionkey::VARCHAR AS region, c_custkey AS id, f.feature, CASE f.feature WHEN 'acctbal' THEN c_acctbal WHEN 'key' THEN c_custkey % 50 ELSE c_custkey % 9 END::DOUBLE AS value, CASE WHEN c_custkey % 7 > 0 THEN c_nationkey::DOUBLE END AS y, (c_custkey % 9)::DOUBLE AS z
+  FROM customer JOIN nation ON c_nationkey = n_nationkey, (VALUES ('acctbal'), ('key'), ('z')) f(feature)
+), both_ AS (SELECT * FROM mixed UNION ALL SELECT c_mktsegment, 'All', id, feature, value, y, z FROM mixed
+), whole AS (SELECT *, count(*) OVER (PARTITION BY c_mktsegment, region, feature) AS n FROM both_ WHERE value IS NOT NULL AND y IS NOT NULL
+), g AS (SELECT * FROM whole WHERE n >= 20
+), ranks AS (
+  SELECT *, rank() OVER (w ORDER BY value) + (count(*) OVER (PARTITION BY c_mktsegment, region, feature, value) - 1) / 2.0 AS rv,
+    rank() OVER (w ORDER BY y) + (count(*) OVER (PARTITION BY c_mktsegment, region, feature, y) - 1) / 2.0 AS ry, rank() OVER (w ORDER BY z) + (count(*) OVER (PARTITION BY c_mktsegment, region, feature, z) - 1) / 2.0 AS rz
+  FROM g WINDOW w AS (PARTITION BY c_mktsegment, region, feature)
+), signs AS (
+  SELECT a.c_mktsegment, a.region, a.feature, a.n, sign(a.value - b.value) AS v, sign(a.y - b.y) AS y, sign(a.z - b.z) AS z
+  FROM g a JOIN g b ON a.c_mktsegment = b.c_mktsegment AND a.region = b.region AND a.feature = b.feature AND a.id < b.id
+)"""
+
+
+def _tau(a, b):
+    return f"CASE WHEN sum({a} * {a}) * sum({b} * {b}) > 0 THEN sum({a} * {b}) / sqrt(sum({a} * {a}) * sum({b} * {b})) END"
+
+
+def _by_method(columns):
+    """SQL of columns (name, left, right) by method over g, ranks and signs."""
+    plain, ranked, signed = {"v": "value", "y": "y", "z": "z"}, {"v": "rv", "y": "ry", "z": "rz"}, {"v": "v", "y": "y", "z": "z"}
+    parts = []
+    for method, source, names, f in (("pearson", "g", plain, CORR), ("spearman", "ranks", ranked, CORR), ("kendall", "signs", signed, None)):
+        got = ", ".join((f.format(x=names[a], y=names[b]) if f else _tau(names[a], names[b])) + f" AS {c}" for c, a, b in columns)
+        parts.append(f"SELECT '{method}' AS method, c_mktsegment, region, feature, max(n) AS n, {got} FROM {source} GROUP BY ALL")
+    return " UNION ALL ".join(parts)
+
+
+def mixed(t):
+    c = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    k = F.col("c_custkey")
+    c = c.select("c_mktsegment", F.col("n_regionkey").cast("string").alias("region"), F.when(k % 7 > 0, F.col("c_nationkey").cast("double")).alias("y"), (k % 9).cast("double").alias("z0"), F.col("c_acctbal").alias("acctbal"), (k % 50).alias("key"), (k % 9).alias("z"))
+    return reshape.to_long(c, ["c_mktsegment", "region", "y", "z0"], ["acctbal", "key", "z"]).withColumnRenamed("z0", "z")
+
+
+@query(f"WITH {MIXED_SQL} SELECT method, c_mktsegment, region, feature, n, round(r, 6) AS r FROM ({_by_method([('r', 'v', 'y')])})")
+def corr_methods_two_level(t):
+    return stats.method_correlations(mixed(t), ["c_mktsegment"], "region", "y", LEAST, METHODS).withColumn("r", r(F.col("r")))
+
+
+@query(f"""WITH {MIXED_SQL}, c AS ({_by_method([('xy', 'v', 'y'), ('xz', 'v', 'z'), ('yz', 'y', 'z')])})
+SELECT method, c_mktsegment, region, feature, n, round(CASE WHEN feature = 'z' THEN xy WHEN (1 - xz * xz) * (1 - yz * yz) > 1e-18 THEN (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) END, 6) AS r FROM c""")
+def partial_methods_two_level(t):
+    return stats.method_partial_correlations(mixed(t), ["c_mktsegment"], "region", "y", "z", LEAST, METHODS).withColumn("r", r(F.col("r")))
+
+
 @query(CORR_SQL + ", m AS (SELECT feature, median(r) AS middle, avg(r) AS mean, stddev_samp(r) AS sd, bool_or(abs(r) > 0.1) AS strong FROM c GROUP BY feature) SELECT feature, round(middle, 6) AS middle, round(mean, 6) AS mean, round(sd, 6) AS sd, strong FROM m ORDER BY abs(middle) DESC, feature LIMIT 2")
 def topn_features_abs_median(t):
     m = group_correlations(t).groupBy("feature").agg(F.median("r").alias("middle"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd"), F.bool_or(F.abs("r") > 0.1).alias("strong"))
@@ -129,8 +179,9 @@ def replicate_mean_se(t):
 
 @query("SELECT o_orderkey, o_custkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS running FROM orders")
 def running_total(t):
-    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return t("orders").select("o_orderkey", "o_custkey", F.round(F.sum("o_totalprice").over(w), 2).alias("running"))
+    keys, order = ["o_custkey"], ["o_orderdate", "o_orderkey"]
+    rows = ranged(t("orders").select(*keys, *order, "o_totalprice"), keys, order)
+    return running(rows, keys, order, "running", F.col("o_totalprice")).select("o_orderkey", "o_custkey", F.round("running", 2).alias("running"))
 
 
 P_SQL = "p AS (SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE ((o_orderkey * 7919) % 10007 + 1) / 10008.0 END AS p FROM orders)"
@@ -195,7 +246,7 @@ def pivot_fill0(t):
 @query(f"WITH {LONG_SQL} SELECT l_suppkey, feature FROM long WHERE NOT (l_suppkey % 5 = 0 AND feature = 'l_tax') GROUP BY ALL HAVING count(value) > 0 AND stddev_samp(value) > 0")
 def constant_column_prune(t):
     x = long(t).withColumn("value", F.when(~((F.col("l_suppkey") % 5 == 0) & (F.col("feature") == "l_tax")), F.col("value")))
-    return x.groupBy("l_suppkey", "feature").agg(F.count("value").alias("n"), F.stddev_samp("value").alias("sd")).filter("n > 0 AND sd > 0").select("l_suppkey", "feature")
+    return reshape.usable_features(x, keys=("l_suppkey",))
 
 
 @query(f"WITH {LONG_SQL} SELECT CASE WHEN starts_with(feature, 'l_q') THEN 'amount' ELSE 'rate' END AS family, feature, feature NOT IN (SELECT 'l_tax') AS near, count(*) AS n FROM long GROUP BY ALL")

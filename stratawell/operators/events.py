@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stratawell.functions.safe_math import safe_log2
 from stratawell.functions.text import piece
+from stratawell.operators.ranges import overlap_join
 
 TYPES = ("SE", "RI", "AF", "AL", "A3", "A5", "MX")
 
@@ -60,6 +62,25 @@ def regions(events: DataFrame) -> DataFrame:
     return events.select("id", "seqnames", "strand", F.explode(parts).alias("r")).select("id", "r.name", "seqnames", "r.start", "r.end", "strand").filter("start IS NOT NULL")
 
 
+def end_distances(df: DataFrame) -> DataFrame:
+    """df(strand, start, end, gene_start, gene_end) with distance_tss and distance_tes: log2 of the places to the gene's ends along the strand."""
+    before, after = safe_log2((F.col("start") - F.col("gene_start")).cast("double")), safe_log2((F.col("gene_end") - F.col("end")).cast("double"))
+    minus = F.col("strand") == "-"
+    return df.withColumns({"distance_tss": F.when(minus, after).otherwise(before), "distance_tes": F.when(minus, before).otherwise(after)})
+
+
+def with_nearby_states(regions_: DataFrame, states: DataFrame, vicinity: int, width: int) -> DataFrame:
+    """name, seqnames, start and end of regions and of the named states within vicinity places of an event region, each once.
+
+    The event regions are those whose name is a number (no up_ or down_ before it).
+    """
+    columns = ["name", "seqnames", "start", "end"]
+    own = regions_.filter(~F.col("name").contains("_")).select(*columns)
+    near = overlap_join(own, states.select(*columns), ["seqnames"], width, gap=vicinity)
+    near = near.select(F.col("name_2").alias("name"), "seqnames", F.col("start_2").alias("start"), F.col("end_2").alias("end")).distinct()
+    return regions_.select(*columns).unionByName(near)
+
+
 def region_of(name: Column) -> tuple[Column, Column]:
     """Region and id of a name: up_7, down_7, 7."""
     head, tail = piece(name, "_", 1), piece(name, "_", 2)

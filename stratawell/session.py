@@ -69,13 +69,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{shared_folder(spark)}/stratawell-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
+    where, system = _place(spark, path)
+    system.deleteOnExit(where)
+    return path
+
+
 def stash(df: DataFrame, tag: str = "table") -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends, lost executors lose nothing."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stratawell-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
+    path = scratch(spark, tag)
     df.write.parquet(path)
-    where, system = _place(spark, path)
-    system.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._stashed_at = path
     return out

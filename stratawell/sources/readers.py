@@ -54,11 +54,6 @@ def signal_summaries(spark: SparkSession, paths: list[str], pattern: str, name:
     return with_source(spark, paths, SIGNAL, pattern, name)
 
 
-def from_first(df: DataFrame, column: str, token: str) -> DataFrame:
-    """Rows whose name starts with the token, wherever they stand."""
-    return df.filter(F.col(column).startswith(token))
-
-
 def gtf(spark: SparkSession, path: str, attributes: list[str], support: list[str] | None = None) -> DataFrame:
     """Annotation rows with the wanted attributes as columns; support keeps these transcript support levels."""
     df = spark.read.option("sep", "\t").option("comment", "#").option("quote", "").schema(GTF).csv(path)
@@ -70,11 +65,19 @@ def gtf(spark: SparkSession, path: str, attributes: list[str], support: list[str
 
 
 def bed(spark: SparkSession, path: str) -> DataFrame:
-    """Intervals (0-based half-open in the file, 1-based closed here), name as state, and a name by position in the genome."""
+    """Intervals (0-based half-open in the file, 1-based closed here), name as state."""
     df = spark.read.option("sep", "\t").option("comment", "#").schema("seqnames string, s bigint, end bigint, state string").csv(path)
     return df.select("seqnames", (F.col("s") + 1).alias("start"), "end", "state")
 
 
+def indexed(states: DataFrame, prefix: str = "chromhmm") -> DataFrame:
+    """states(seqnames, start, end, state) with name: the prefix and the row's place, from 1, in the order of the genome."""
+    from stratawell.operators.relational import row_ids
+
+    numbered = row_ids(states, [F.col(c) for c in ("seqnames", "start", "end", "state")], "__place")
+    return numbered.withColumn("name", F.concat(F.lit(f"{prefix}_"), F.col("__place").cast("string"))).drop("__place")
+
+
 def fasta(spark: SparkSession, path: str) -> DataFrame:
     """name (first token of the header) and sequence of each record."""
     df = spark.read.option("lineSep", ">").text(path).filter(F.trim("value") != "")
@@ -91,13 +94,20 @@ def sequence_chunks(sequences: DataFrame, size: int = 100_000, overlap: int = 10
 
 
 def subsequences(windows: DataFrame, chunks: DataFrame, size: int = 100_000) -> DataFrame:
-    """windows(seqnames, start, end, strand, ...) with seq, reverse-complemented on the minus strand; at most the overlap long."""
+    """windows(seqnames, start, end, strand, ...) with seq, reverse-complemented on the minus strand.
+
+    A window of any length takes its part of every chunk that it meets; beyond the sequence's ends it is cut.
+    """
     from stratawell.functions.text import reverse_complement
 
-    w = windows.withColumn("chunk", F.floor((F.col("start") - 1) / size))
+    w = windows.withColumn("__w", F.monotonically_increasing_id())
+    w = w.withColumn("chunk", F.explode(F.sequence(F.floor((F.greatest("start", F.lit(1)) - 1) / size), F.floor((F.col("end") - 1) / size))))
     j = w.join(chunks.withColumnRenamed("name", "seqnames"), ["seqnames", "chunk"])
-    s = F.substring("piece", (F.col("start") - F.col("first") + 1).cast("int"), (F.col("end") - F.col("start") + 1).cast("int"))
-    return j.withColumn("seq", F.when(F.col("strand") == "-", reverse_complement(s)).otherwise(s)).drop("chunk", "first", "piece")
+    a, z = F.greatest("start", "first"), F.least(F.col("end"), F.col("first") + size - 1)
+    j = j.withColumn("__part", F.substring("piece", (a - F.col("first") + 1).cast("int"), (z - a + 1).cast("int")))
+    whole = j.groupBy("__w", *windows.columns).agg(F.sort_array(F.collect_list(F.struct("chunk", "__part"))).alias("__parts"))
+    s = F.array_join(F.col("__parts")["__part"], "")
+    return whole.withColumn("seq", F.when(F.col("strand") == "-", reverse_complement(s)).otherwise(s)).drop("__w", "__parts")
 
 
 def psi_matrix(spark: SparkSession, path: str) -> DataFrame:

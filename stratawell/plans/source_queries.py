@@ -109,11 +109,12 @@ def methylation_long(t):
     return readers.methylation(o.sparkSession, path)
 
 
-@query("SELECT 'SE' AS event_type, l_orderkey::VARCHAR AS event_id, '[' || string_agg(l_linenumber::VARCHAR, ', ' ORDER BY l_linenumber) || ']' AS total, count(*) FILTER (l_linenumber > 1) AS others FROM lineitem GROUP BY l_orderkey")
+@query("""WITH d AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
+SELECT 'SE' AS event_type, l_orderkey::VARCHAR AS event_id, '[' || string_agg(l_linenumber::VARCHAR, ', ' ORDER BY l_linenumber) || ']' AS total, count(*) FILTER (l_linenumber > 1) AS others FROM d GROUP BY l_orderkey""")
 def event_member_lists(t):
-    m = t("lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_linenumber")).cast("array<string>").alias("total"))
+    m = t("lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_linenumber")).cast("array<string>").alias("total"))
     line = F.concat_ws("\t", F.col("l_orderkey").cast("string"), F.lit("1"), F.array_join("total", ","))
-    path = put(m.filter(F.array_contains("total", "1")), "members", line, "event_id\talternative_transcripts\ttotal_transcripts")
+    path = put(m, "members", line, "event_id\talternative_transcripts\ttotal_transcripts")
     got = readers.event_members(m.sparkSession, {"SE": path})
     return got.select("event_type", "event_id", F.concat(F.lit("["), F.array_join("total", ", "), F.lit("]")).alias("total"), F.size("other").cast("bigint").alias("others"))
 

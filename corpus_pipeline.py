@@ -17,7 +17,7 @@ from stratawell.session import stash, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 QUALITY_LEAST, TOXICITY_MOST = 0.5, 0.3
 #: Words a tokenizing worker holds; few, as workers and heaps have grown in the stages before.
-WORDS_HELD = 250_000
+WORDS_HELD = 150_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

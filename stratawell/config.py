@@ -23,7 +23,7 @@ class Settings:
     rotations: int = 10
     alpha: float = 0.05
     seed: int = 1234
-    lambda_grid: tuple[float, ...] = field(default_factory=lambda: tuple(10 ** (-4 + 0.2 * k) for k in range(21)))
+    lambda_grid: tuple[float, ...] = field(default_factory=lambda: tuple(10 ** (-4 + 0.15 * k) for k in range(21)))
 
     @property
     def small_window(self) -> int:

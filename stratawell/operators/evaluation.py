@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from stratawell.operators.ordered import ranged, running, with_totals
+from stratawell.operators.ordered import attach, ranged, running, with_totals
 
 
 def confusion(df: DataFrame, keys: list[str], truth: str, predicted: str) -> DataFrame:
@@ -32,19 +32,39 @@ def auroc(df: DataFrame, keys: list[str], truth: str, score: str) -> DataFrame:
     return s.select(*keys, F.try_divide(F.col("u") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("n1").cast("double") * F.col("n0")).alias("auroc"), "n1", "n0")
 
 
-def pr_points(df: DataFrame, keys: list[str], truth: str, score: str) -> DataFrame:
-    """Recall and precision at each distinct score, from the highest on."""
+def _called(df: DataFrame, keys: list[str], truth: str, score: str) -> DataFrame:
+    """Per distinct score the cases and rows at or above it (tp, called), its own cases __pos and the totals __all and __rows."""
     tie = df.groupBy(*keys, score).agg(F.count("*").alias("__n"), F.sum(F.col(truth).cast("long")).alias("__pos"))
     points = running(ranged(tie, keys, [score]), keys, [score], "tp", F.col("__pos"), back=True)
-    points = with_totals(running(points, keys, [score], "called", F.col("__n"), back=True), keys, __all=F.sum("__pos"))
+    return with_totals(running(points, keys, [score], "called", F.col("__n"), back=True), keys, __all=F.sum("__pos"), __rows=F.sum("__n"))
+
+
+def pr_points(df: DataFrame, keys: list[str], truth: str, score: str) -> DataFrame:
+    """Recall and precision at each distinct score, from the highest on."""
+    points = _called(df, keys, truth, score)
     return points.select(*keys, F.col(score).alias("threshold"), "tp", "called", F.try_divide("tp", "__all").alias("recall"), F.try_divide("tp", "called").alias("precision"))
 
 
 def pr_area(df: DataFrame, keys: list[str], truth: str, score: str) -> DataFrame:
-    """Average precision (step interpolation) per key."""
-    order = W.partitionBy(*keys).orderBy(F.col("threshold").desc())
-    p = pr_points(df, keys, truth, score).withColumn("gain", F.col("recall") - F.coalesce(F.lag("recall").over(order), F.lit(0.0)))
-    return p.groupBy(*keys).agg(F.sum(F.col("gain") * F.col("precision")).alias("pr_area"))
+    """Average precision (step interpolation) per key; a score's own cases are its gain of recall."""
+    p = _called(df, keys, truth, score)
+    return p.groupBy(*keys).agg(F.sum(F.try_divide("__pos", "__all") * F.try_divide("tp", "called")).alias("pr_area"))
+
+
+def roc_points(df: DataFrame, keys: list[str], truth: str, score: str) -> DataFrame:
+    """True and false positive rate at each distinct score; NULL where a class is missing."""
+    p = _called(df, keys, truth, score)
+    fp, negatives = F.col("called") - F.col("tp"), F.col("__rows") - F.col("__all")
+    return p.select(*keys, F.col(score).alias("threshold"), F.try_divide("tp", "__all").alias("tpr"), F.try_divide(fp, negatives).alias("fpr"))
+
+
+def by_fold(df: DataFrame, keys: list[str], fold: str, truth: str, predicted: str, score: str) -> DataFrame:
+    """All classification metrics of each key and fold: of the calls, of the ranking, and log loss."""
+    at = [*keys, fold]
+    p = F.least(F.greatest(F.col(score), F.lit(1e-15)), F.lit(1 - 1e-15))
+    loss = df.groupBy(*at).agg(F.avg(-F.log(F.when(F.col(truth) == 1, p).otherwise(1 - p))).alias("log_loss"))
+    out = attach(confusion(df, at, truth, predicted), loss, at)
+    return attach(attach(out, auroc(df, at, truth, score).select(*at, "auroc"), at), pr_area(df, at, truth, score), at)
 
 
 def regression(df: DataFrame, keys: list[str], truth: str, predicted: str) -> list:

@@ -24,10 +24,10 @@ def holdout(df: DataFrame, groups: dict[str, list]) -> DataFrame:
     return df.withColumns({"test": any_, "strict_test": all_})
 
 
-def share_holdout(df: DataFrame, group: str, share: float, seed: int) -> DataFrame:
-    """Groups, in pseudo-random order, whose rows first reach the share of all rows."""
+def share_holdout(df: DataFrame, group: str, share: float, seed: int | None) -> DataFrame:
+    """Groups, in pseudo-random order (by name if seed is None), whose rows first reach the share of all rows."""
     sizes = df.groupBy(group).agg(F.count("*").alias("n"))
-    run = W.orderBy(F.xxhash64(F.lit(seed), group), group).rowsBetween(W.unboundedPreceding, W.currentRow)
+    run = W.orderBy(*([] if seed is None else [F.xxhash64(F.lit(seed), group)]), group).rowsBetween(W.unboundedPreceding, W.currentRow)
     sizes = sizes.withColumns({"before": F.sum("n").over(run) - F.col("n"), "all": F.sum("n").over(W.partitionBy())})
     return sizes.filter(F.col("before") < share * F.col("all")).select(group)
 
@@ -47,6 +47,13 @@ def imputed_scaled(long: DataFrame, train: Column, feature: str = "feature", val
     return out.withColumn("scaled", F.try_divide(F.col("imputed") - F.col("__mean"), "__sd")).drop("__mean", "__sd")
 
 
+def response_scaled(df: DataFrame, response: str, train: Column, keys: list[str], name: str = "scaled_response") -> DataFrame:
+    """df with the response centred and scaled by mean and sample sd of its key's training rows; NULL if they don't vary."""
+    v = F.when(train, F.col(response))
+    t = with_totals(df, keys, __mean=F.avg(v), __sd=F.stddev_samp(v))
+    return t.withColumn(name, F.try_divide(F.col(response) - F.col("__mean"), F.nullif(F.col("__sd"), F.lit(0.0)))).drop("__mean", "__sd")
+
+
 def group_folds(df: DataFrame, group: str, k: int, seed: int | None) -> DataFrame:
     """group and fold (1 to k): groups in descending size, dealt forth and back, so folds are near equal.
 
@@ -129,12 +136,14 @@ def robust(full: np.ndarray, by_fold: np.ndarray) -> np.ndarray:
     return (full != 0) & ((by_fold != 0).sum(axis=0) >= 2)
 
 
-UNIT_FIT = "unit string, arm string, rotated boolean, feature string, coefficient double, n_folds int, robust boolean, strength double, n long, p_base double, p_free double, status string"
+UNIT_FIT = "unit string, arm string, rotated boolean, feature string, coefficient double, n_folds int, folds array<int>, robust boolean, strength double, n long, p_base double, p_free double, status string"
 
 
-def unit_fits(df: DataFrame, unit: str, features: list[str], response: str, free: str | None, key: str, grid: list[float], folds: int, seed: int, rotated: bool = False) -> DataFrame:
+def unit_fits(df: DataFrame, unit: str, features: list[str], response: str, free: str | None, key: str, grid: list[float], folds: int, seed: int, rotated: bool = False, only: str | None = None) -> DataFrame:
     """Per unit, a real and a permuted arm: lasso with one-SE strength, robust features and nested F tests.
 
+    Rotated units have no permuted arm: that cell of the design is not fitted.  only names a column that holds the
+    list of features a unit may use (equal in all its rows); without it a unit uses all.
     A unit is one group of rows and has to fit one task; what fails in a unit is told in status, the
     others go on.  Units need more rows than features used and a response that varies.
     """
@@ -142,16 +151,20 @@ def unit_fits(df: DataFrame, unit: str, features: list[str], response: str, free
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         name, rows = str(pdf[unit].iloc[0]), []
         use = pdf.dropna(subset=[response, *features, *([free] if free else [])]).sort_values([key, response, *features])
-        x = use[features].to_numpy(float)
+        allowed = set(pdf[only].iloc[0]) if only else set(features)
+        names = [f for f in features if f in allowed]
+        x = use[names].to_numpy(float)
         r = np.random.default_rng([seed, abs(hash_text(name)) % 2**32])
         z = use[free].to_numpy(float)[:, None] if free else None
-        for arm in ("real", "permuted"):
+        for arm in ("real",) if rotated else ("real", "permuted"):
             y = use[response].to_numpy(float)
             y = y if arm == "real" else r.permutation(y)
             row = {"unit": name, "arm": arm, "rotated": rotated, "n": len(y), "status": "ok"}
             try:
                 if len(y) < max(10, folds) or np.std(y) == 0:
                     raise ValueError("too few rows" if len(y) < max(10, folds) else "the response does not vary")
+                if not names:
+                    raise ValueError("no feature may be used")
                 strength, w, by_fold = lasso_one_se(x, y, z, grid, np.arange(len(y)) % folds + 1)
                 sse = lambda cols: float(((y - cols @ np.linalg.lstsq(cols, y, rcond=None)[0]) ** 2).sum())
                 one = np.ones((len(y), 1))
@@ -163,15 +176,20 @@ def unit_fits(df: DataFrame, unit: str, features: list[str], response: str, free
                 row["p_free"] = test(s1, sse(np.column_stack([one, sel, z])), 1, d - 1) if q and z is not None else None
                 row["strength"] = strength
                 strong = robust(w, by_fold)
-                rows += [row | {"feature": f, "coefficient": float(c), "n_folds": int((by_fold[:, i] != 0).sum()), "robust": bool(strong[i])} for i, (f, c) in enumerate(zip(features, w))]
+                rows += [row | {"feature": f, "coefficient": float(c), "n_folds": int((by_fold[:, i] != 0).sum()), "folds": [int(k) + 1 for k in np.flatnonzero(by_fold[:, i])], "robust": bool(strong[i])} for i, (f, c) in enumerate(zip(names, w))]
             except Exception as e:
                 rows.append(row | {"status": f"{type(e).__name__}: {e}"[:200]})
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in UNIT_FIT.split(", ")])
-        return pd.DataFrame({c: pd.Series([None if pd.isna(v) else v for v in out[c]], dtype=object) for c in out})
+        return pd.DataFrame({c: pd.Series([v if isinstance(v, list) else None if pd.isna(v) else v for v in out[c]], dtype=object) for c in out})
 
     return df.groupBy(unit).applyInPandas(fit, UNIT_FIT)
 
 
+def fold_features(fits: DataFrame) -> DataFrame:
+    """A row per unit, arm, fold and feature that the fold's fit selects."""
+    return fits.filter("size(folds) > 0").select("unit", "arm", "rotated", "feature", F.explode("folds").alias("fold"))
+
+
 def hash_text(x: str) -> int:
     import zlib
 

@@ -88,6 +88,19 @@ def groups_where(df: DataFrame, keys: list[str], having: Column) -> DataFrame:
     return df.join(good, keys, "left_semi")
 
 
+def disjoint(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: how many distinct combinations a and b share, and whether they share none."""
+    both = a.select(*columns).intersect(b.select(*columns))
+    return both.agg(F.count("*").alias("n_shared")).withColumn("disjoint", F.col("n_shared") == 0)
+
+
+def with_place(df: DataFrame, column: str, order: list[str], name: str = "place") -> DataFrame:
+    """The place (from 1) of column's value in a fixed list of categories; values off the list come after it, NULL last."""
+    places = F.create_map(*[F.lit(x) for i, v in enumerate(order) for x in (v, i + 1)])
+    listed = F.coalesce(F.try_element_at(places, F.col(column)), F.lit(len(order) + 1))
+    return df.withColumn(name, F.when(F.col(column).isNull(), len(order) + 2).otherwise(listed))
+
+
 def seeded_order(seed: int, *keys: str) -> Column:
     """A pseudo-random order of rows that depends on seed and keys only, not on partitions."""
     return F.xxhash64(F.lit(seed), *keys)

@@ -6,6 +6,8 @@ stages hand over named Parquet tables.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from stratawell.config import Settings
@@ -13,6 +15,7 @@ from stratawell.functions.safe_math import padded_dispersion
 from stratawell.functions.text import piece, strip_version
 from stratawell.operators import events as ev, modelling as md, ranges, relational as rel, reshape, stats
 from stratawell.operators.ordered import with_totals
+from stratawell.plans import global_models as gm
 
 ASSAYS, EXPERIMENTS = 3, 8
 
@@ -121,6 +124,37 @@ def unit_models(wide: DataFrame, unit: str, features: list[str], response: str,
     return real.unionByName(md.unit_fits(turned, unit, features, response, free, key, grid, settings.event_folds, settings.seed, rotated=True))
 
 
+def run_configurations(df: DataFrame, events: DataFrame, families: dict[str, list[str]], settings: Settings, key: str, group: str, response: str, first: tuple[str, list], second: tuple[str, list], **options) -> dict[str, DataFrame]:
+    """The tables of global_models.run_global for every configuration, with event_type, row_filter and feature_set; and a status each.
+
+    events(group, event_type, variability) says which rows a configuration takes, families which features.  A
+    configuration without usable features or classes tells so in "status", the others go on.
+    """
+    whole, tables, status = df.join(events, group), {}, []
+    for event_type, row_filter, feature_set in configurations(settings.event_types, tuple(families)):
+        rows = whole.filter(F.col("event_type") == event_type)
+        rows = rows if row_filter == "all" else rows.filter(F.col("variability") == row_filter)
+        name = dict(event_type=event_type, row_filter=row_filter, feature_set=feature_set)
+        try:
+            got = gm.run_global(rows, key, group, families[feature_set], response, first, second, settings, **options)
+        except ValueError as e:
+            status.append((*name.values(), str(e)))
+            continue
+        status.append((*name.values(), "ok"))
+        for k, v in got.items():
+            tables.setdefault(k, []).append(v.withColumns({c: F.lit(x) for c, x in name.items()}))
+    out = {k: reduce(lambda a, b: a.unionByName(b), v) for k, v in tables.items()}
+    return out | {"status": df.sparkSession.createDataFrame(status, "event_type string, row_filter string, feature_set string, status string")}
+
+
+def refitted(wide: DataFrame, fits: DataFrame, unit: str, features: list[str], response: str, key: str, settings: Settings, free: str | None = "gene_expression") -> DataFrame:
+    """Fits of each unit once more, without the features that its rotated controls select; units left without a feature say so."""
+    kept = without_trans_features(fits).groupBy("unit").agg(F.sort_array(F.collect_list("feature")).alias("__only"))  # at most the features
+    rows = wide.join(kept.select(F.col("unit").alias("__u"), "__only"), F.col(unit).cast("string") == F.col("__u"), "left").drop("__u")
+    rows = rows.withColumn("__only", F.coalesce("__only", F.array().cast("array<string>")))
+    return md.unit_fits(rows, unit, features, response, free, key, list(settings.lambda_grid), settings.event_folds, settings.seed, only="__only")
+
+
 def without_trans_features(fits: DataFrame) -> DataFrame:
     """unit and feature pairs to fit again: those that no rotated control of the unit selects."""
     base = F.element_at(F.split("unit", "#"), 1)

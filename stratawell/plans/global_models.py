@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Pipeline
@@ -52,11 +54,22 @@ def balanced_accuracy(df: DataFrame, label: str) -> float:
     return evl.confusion(p, [], "t", "p").first().balanced_accuracy or 0.0
 
 
-def one_se_strength(train: DataFrame, label: str, folds: int, grid: tuple[float, ...]) -> float:
-    """The largest strength within one standard error of the best mean balanced accuracy over the folds."""
+def one_se_strength(train: DataFrame, label: str, folds: int, grid: tuple[float, ...], metric: Callable[[DataFrame, str], float] = balanced_accuracy, parallel: int = 4) -> float:
+    """The largest strength within one standard error of the best mean metric over the folds.
+
+    metric takes scored rows and the label's name; larger is better.  So many fits run at once; each is a Spark job.
+    """
+
+    def fit(at: tuple[float, int]) -> float:
+        g, k = at
+        return metric(logistic(train.filter(F.col("fold") != k), g, label).transform(train.filter(F.col("fold") == k)), label)
+
+    cells = [(g, k) for g in grid for k in range(1, folds + 1)]
+    with ThreadPoolExecutor(parallel) as pool:
+        values = dict(zip(cells, pool.map(fit, cells)))
     rows = []
     for g in grid:
-        got = [balanced_accuracy(logistic(train.filter(F.col("fold") != k), g, label).transform(train.filter(F.col("fold") == k)), label) for k in range(1, folds + 1)]
+        got = [values[g, k] for k in range(1, folds + 1)]
         mean = sum(got) / folds
         sd = (sum((x - mean) ** 2 for x in got) / max(1, folds - 1)) ** 0.5
         rows.append(("m", float(g), mean, sd))

@@ -151,6 +151,13 @@ def palette(spark: SparkSession, path: str) -> DataFrame:
     return flat.select("section", F.explode("part").alias("label", "rgb")).select("section", "label", hex_colour(F.col("rgb")).alias("hex"))
 
 
+def model(path: str):
+    """A pipeline model that writers.model saved."""
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
 def all_exist(spark: SparkSession, paths: list[str]) -> list[str]:
     """The paths that are missing, on whatever store they are."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -39,6 +39,11 @@ def fasta(sequences: DataFrame, path: str, name: str = "name", sequence: str = "
     lines(sequences.filter(~F.col(sequence).contains("N")), F.concat(F.lit(">"), F.col(name).cast("string"), F.lit("\n"), F.col(sequence)), path)
 
 
+def model(fitted, path: str) -> None:
+    """A fitted Spark ML model or pipeline; readers.model brings it back."""
+    fitted.write().overwrite().save(path)
+
+
 def remembered(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The table at path; made and written first if it is not there or not complete."""
     if all_exist(spark, [f"{path}/_SUCCESS"]):

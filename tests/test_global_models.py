@@ -47,3 +47,44 @@ def test_hold_out_groups_do_not_train(spark):
 def test_fractional_logit(spark):
     model = md.fractional_logit(frame(spark, rows()).dropna(), ["a"], "psi").stages[-1]
     assert model.coefficients[0] > 0.5
+
+
+def test_every_configuration_runs_or_tells_why(spark):
+    from stratawell.plans import assemble
+
+    df = frame(spark, rows(200))
+    events = df.select("gene").distinct().select("gene", F.lit("SE").alias("event_type"), F.when(F.substring("gene", 2, 2).cast("int") % 2 == 0, "Low").otherwise("High").alias("variability"))
+    sets = {"all": ["a", "b"], "none": ["flat"]}
+    small = Settings(event_types=("SE",), minimum_events=3, vicinity=1000, histone_marks=("m",), global_folds=2, lambda_grid=(0.01,))
+    got = assemble.run_configurations(df, events, sets, small, "id", "gene", "psi", ("chrom", ["chr1"]), ("cell", ["T", "B"]), trees=3)
+    status = {(x.row_filter, x.feature_set): x.status for x in got["status"].collect()}
+    assert set(status) == {(f, s) for f in ("all", "Low", "High") for s in sets}
+    assert all((v == "ok") == (k[1] == "all") for k, v in status.items())
+    assert {(x.event_type, x.row_filter, x.feature_set) for x in got["metrics"].select("event_type", "row_filter", "feature_set").distinct().collect()} == {("SE", f, "all") for f in ("all", "Low", "High")}
+
+
+def test_a_callers_metric_chooses_the_strength(spark):
+    data = [(float(i % 2), 1.0, i % 2 + 1 if i < 2 else i // 2 % 2 + 1, float(i % 2)) for i in range(40)]
+    df = gm.preprocess(x := spark.createDataFrame(data, "label double, weight double, fold int, a double"), ["a"]).transform(x)
+    assert gm.one_se_strength(df, "label", 2, (0.001, 0.01), lambda scored, label: 1.0) == 0.01  # equal: the largest
+
+
+def test_refit_without_trans_features_and_no_permuted_rotations(spark):
+    from stratawell.plans import assemble
+
+    r, data = random.Random(5), []
+    for u in range(4):
+        for s in range(40):
+            shared, own = random.Random(s).gauss(0, 1), r.gauss(0, 1)
+            data.append((str(u), s, shared, own, shared + 2 * own + r.gauss(0, 0.05)))
+    wide = spark.createDataFrame(data, "unit string, s int, shared double, own double, psi double")
+    donors = spark.createDataFrame([(str(u), str((u + 1) % 4), 1) for u in range(4)], "unit string, donor string, rotation int")
+    st = Settings(event_types=("SE",), minimum_events=3, vicinity=1000, histone_marks=("m",), event_folds=4, lambda_grid=(0.05,))
+    fits = assemble.unit_models(wide, "unit", ["shared", "own"], "psi", "s", st, donors, free=None).cache()
+    assert fits.filter("rotated AND arm = 'permuted'").count() == 0 and fits.filter("NOT rotated AND arm = 'permuted'").count() == 8
+    trans = {(x.unit.split("#")[0], x.feature) for x in fits.filter("rotated AND coefficient <> 0").collect()}
+    again = assemble.refitted(wide, fits, "unit", ["shared", "own"], "psi", "s", st, free=None).filter("arm = 'real'").collect()
+    assert {(x.unit, x.feature) for x in again if x.feature} == {(str(u), f) for u in range(4) for f in ("shared", "own")} - trans
+    assert {x.unit for x in again} == {"0", "1", "2", "3"} and ("0", "shared") in trans
+    picked = md.fold_features(fits).filter("NOT rotated AND arm = 'real' AND feature = 'own'")
+    assert {(x.unit, x.fold) for x in picked.collect()} == {(str(u), k) for u in range(4) for k in range(1, 5)}

@@ -28,53 +28,28 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from stratawell.llm.arrow_map import map_batches
-from stratawell.llm.bytes_np import SPACE, utf8
 from stratawell.session import drop, stash
 
 BLOCK, FINE, LEAST_SLOTS = 1024, 1024, 1 << 20
 REPEATS, WEIGHTS = 3, (1, 2, 3)
 GOLDEN = 2654435769  # 2**32 / golden ratio
 CELLS, RANGE = 4096, 4096
-#: Bytes looked at in one step of counting words; a memory bound.
-STEP = 1 << 20
-
-
-def count_words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Words of each row, in steps of STEP bytes whatever the rows' lengths."""
-    out = np.zeros(len(offsets) - 1, np.int64)
-    for a in range(0, len(data), STEP):
-        z = min(a + STEP, len(data))
-        solid = ~SPACE[data[a:z]]
-        start = solid.copy()
-        start[1:] &= ~solid[:-1]
-        if a and solid[0]:
-            start[0] = SPACE[data[a - 1]]
-        lo, hi = np.searchsorted(offsets, (a, z))
-        inner = offsets[lo:hi]
-        start[inner - a] = solid[inner - a]
-        at = np.flatnonzero(start) + a
-        first = int(np.searchsorted(offsets, a, "right")) - 1
-        last = int(np.searchsorted(offsets, z, "left"))
-        edges = np.clip(offsets[first : last + 1], a, z)
-        out[first:last] += np.diff(np.searchsorted(at, edges))
-    return out
 
 
-def word_counts(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys and size, the number of words of the text."""
-    types = dict(docs.dtypes)
+def n_words(text: Column) -> Column:
+    """The number of words of a text, 0 for NULL: each becomes one mark, what separates them goes.
 
-    def make():
-        def work(batch):
-            yield {k: batch.column(i) for i, k in enumerate(keys)} | {"size": count_words(*utf8(batch.column(len(keys))))}
+    The text is only passed over, so memory is a few times the longest text; no list of words is made.
+    """
+    marks = F.regexp_replace(text, r"[^\x20\x09-\x0D]+", "x")
+    return F.coalesce(F.length(F.translate(marks, " \t\n\x0b\x0c\r", "")), F.lit(0)).cast("long")
 
-        return work
 
-    return map_batches(docs.select(*keys, F.col(text).alias("__text")), make, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", size bigint")
+def word_counts(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """keys and size, the number of words of the text."""
+    return docs.select(*keys, n_words(F.col(text)).alias("size"))
 
 
 def targets(sizes: DataFrame) -> DataFrame:

@@ -251,16 +251,13 @@ def test_another_schedule_gives_another_mix(spark):
     assert [x[:2] for x in turned] == [x[:2] for x in full] and turned != full
 
 
-def test_words_are_counted_across_steps(monkeypatch):
-    import pyarrow as pa
-
-    from stratawell.llm.bytes_np import utf8
-
+def test_words_are_counted(spark):
     r = random.Random(6)
-    texts = ["".join(r.choice("ab \n\té") for _ in range(r.randint(0, 40))) for _ in range(200)] + [None, "", " ", "x" * 100]
-    for step in (1, 7, 64, 1 << 20):
-        monkeypatch.setattr(mixing, "STEP", step)
-        assert mixing.count_words(*utf8(pa.array(texts, pa.string()))).tolist() == [len(words(t)) for t in texts]
+    texts = ["".join(r.choice("ab \n\té\x0b\x0c\r\x00\x1f\x85\u2003😀x") for _ in range(r.randint(0, 40))) for _ in range(300)]
+    texts += [None, "", " ", "x" * 100, "x " * 300_000, "y" * 1_000_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {x.i: x.size for x in mixing.word_counts(df, ["i"]).collect()}
+    assert got == {i: len(words(t)) for i, t in enumerate(texts)}
 
 
 def test_mixed_documents(spark):

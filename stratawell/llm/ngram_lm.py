@@ -9,10 +9,13 @@ the place of its hash among all, so a task that reads counts sets the bits of
 few blocks; only those are shuffled and united, SEGMENT a task.
 
 A filter of at most BROADCAST bytes is broadcast, with at most HEAVY exact word
-counts.  A larger one stays a table of blocks: each text's distinct n-grams are
-joined to their blocks, and the levels found come back to the text.  Both ways
-read the same bits and add the same numbers in the same order, so scores depend
-on the texts alone, not on the way or on the number of partitions.
+counts.  A larger one stays a table of blocks: the distinct n-grams of a slice of
+texts go, packed and sorted, to parts of SPAN segments, and a byte for each comes
+back.  This takes ROUNDS turns over the slices, one after the other, so that only
+one turn's n-grams are on disk; between turns a slice is kept as its distinct words
+and the number of each token's word.  Both ways read the same bits and add the same
+numbers in the same order, so scores depend on the texts alone, not on the way or on
+the number of partitions.
 
 Scoring: a count is read back by probing level 1, 2, ... until a probe fails.
 With c quantised counts, N training tokens and V distinct ones,
@@ -31,15 +34,15 @@ count each time and get a row each.  Extra input columns are not read.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from stratawell.llm.arrow_map import map_batches, to_arrow_schema, trim
 from stratawell.llm.bytes_np import Words, mix, slices, utf8
-from stratawell.session import release, ship, stash
+from stratawell.session import drop, release, ship, stash
 
 END, BEGIN = np.uint64(0x656E64206F662074), np.uint64(0x626567696E206F66)
 PAIR, LEVEL_STEP, PROBE_STEP = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -47,6 +50,8 @@ LEVEL_BASE, PROBES, BITS_PER_ENTRY = 1.5, 3, 8
 BLOCK_BYTES, SEGMENT = 256, 1024
 #: The largest filter that is broadcast.
 BROADCAST = 128 << 20
+#: Segments of a larger one that a task holds at once, and turns over the texts.
+SPAN, ROUNDS = 32, 4
 HEAVY = 1 << 19
 FLUSH = 3_000_000
 A, B = 20.0, 1.0
@@ -264,7 +269,7 @@ def fit(docs: DataFrame, bits_per_entry: int = BITS_PER_ENTRY) -> tuple[Model, D
     """The model of docs(text) and its table of exact word counts (hash, count)."""
     spark, every = docs.sparkSession, stash(count_ngrams(docs), "counts")
     release(spark)
-    counts = every.filter("hash % 2 = 0")
+    counts = stash(every.filter("hash % 2 = 0"), "words")
     level = 1 + F.floor(F.log(F.col("count").cast("double")) / math.log(LEVEL_BASE) + 1e-9)
     word = F.col("hash") % 2 == 0
     size = F.when(word, F.floor(F.log2(F.col("count").cast("double")) * 4))
@@ -273,6 +278,7 @@ def fit(docs: DataFrame, bits_per_entry: int = BITS_PER_ENTRY) -> tuple[Model, D
     n_tokens, n_types = sum(r["tokens"] for r in words), sum(r["n"] for r in words)
     blocks = max(1, -(-sum(r["entries"] for r in by_size) * bits_per_entry // (BLOCK_BYTES * 8)))
     table = stash(build_filter(every, blocks), "filter")
+    drop(every)
     release(spark)
     least, room = 64 * 4, HEAVY
     for size, n in sorted(((r["size"], r["n"]) for r in words), reverse=True):
@@ -290,7 +296,8 @@ def held_out(id_col: str = "doc_id"):
 
 
 BASE = "rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, rare array<bigint>, times array<int>"
-GRAMS = "grams array<bigint>, word array<int>, pair array<int>"
+#: A slice of texts, kept in its first row: rids and numbers of tokens of its rows, sorted hashes of its words, and each token's place among them.
+SLICE = "turn int, rids binary, sizes binary, names binary, word binary"
 
 
 def _lists(ends: np.ndarray, values: np.ndarray) -> pa.ListArray:
@@ -322,7 +329,7 @@ def _firsts(row: np.ndarray) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, model: Model, more: str, extra) -> DataFrame:
-    """BASE and what extra(model, row, h, before, rows) adds, a row per row of docs."""
+    """BASE and what extra(model, rid, row, h, before) adds, a row per row of docs."""
     scan = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", held_out().alias("held_out"), F.col("text").alias("__text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -334,74 +341,101 @@ def _scan(docs: DataFrame, model: Model, more: str, extra) -> DataFrame:
             for a, b in slices(offsets):
                 row, h, before = tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 keys = {k: batch.column(i).slice(a, b - a) for i, k in enumerate(("rid", "doc_id", "held_out"))}
-                yield keys | _base(m, row, h, b - a) | extra(m, row, h, before, b - a)
+                yield keys | _base(m, row, h, b - a) | extra(m, keys["rid"].to_numpy(), row, h, before)
 
         return work
 
     return stash(map_batches(scan, make, f"{BASE}, {more}"), "scored")
 
 
-def _direct(m: Model, row, h, before, rows) -> dict:
+def _direct(m: Model, rid, row, h, before) -> dict:
     words, at = np.unique(h, return_inverse=True)
     pairs, back = np.unique(pair_hash(before, h), return_inverse=True)
-    return {"score": m.log10(row, _firsts(row), at, back, m.levels(words), m.levels(pairs), rows)}
+    return {"score": m.log10(row, _firsts(row), at, back, m.levels(words), m.levels(pairs), len(rid))}
 
 
-def _grams(m: Model, row, h, before, rows) -> dict:
-    """Distinct n-grams of each row, words before pairs, and the place of each token's word and pair among them."""
-    grams, word, pair, size = [], [], [], np.bincount(row, minlength=rows)
-    both = pair_hash(before, h)
-    for a, z in zip(np.cumsum(size) - size, np.cumsum(size)):
-        w, at = np.unique(h[a:z], return_inverse=True)
-        p, back = np.unique(both[a:z], return_inverse=True)
-        grams.append(np.concatenate([w, p]).view(np.int64))
-        word.append(at.astype(np.int32))
-        pair.append((back + len(w)).astype(np.int32))
-    ends = np.concatenate([[0], np.cumsum(size)])
-    return {"grams": _lists(np.concatenate([[0], np.cumsum([len(g) for g in grams])]), np.concatenate(grams)), "word": _lists(ends, np.concatenate(word)), "pair": _lists(ends, np.concatenate(pair))}
+def _sliced(m: Model, rid, row, h, before) -> dict:
+    """SLICE of these rows."""
+    names, word = np.unique(h, return_inverse=True)
+    parts = rid, np.bincount(row, minlength=len(rid)), names, word.astype(np.uint16 if len(names) <= 1 << 16 else np.uint32)
+    kept = [int(mix(rid[:1].view(np.uint64))[0] % np.uint64(ROUNDS)), *(x.tobytes() for x in parts)]
+    return {k: pa.array([x] + [None] * (len(rid) - 1), kind) for k, x, kind in zip(("turn", "rids", "sizes", "names", "word"), kept, (pa.int32(), *[pa.binary()] * 4))}
+
+
+def _unpacked(sizes, names, word) -> tuple[np.ndarray, ...]:
+    """Of a slice: row of each token, whether it is its row's first, the distinct words, each token's place among them, its pair."""
+    names = np.frombuffer(names.as_buffer(), np.uint64)
+    word = np.frombuffer(word.as_buffer(), np.uint16 if len(names) <= 1 << 16 else np.uint32)
+    sizes = np.frombuffer(sizes.as_buffer(), np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    first, h = _firsts(row), names[word]
+    before = np.roll(h, 1)
+    before[first] = BEGIN
+    return row, first, names, word, pair_hash(before, h)
+
+
+def _blobs(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The pieces of data between ends, as bytes."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * data.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def _routed(part: DataFrame, model: Model) -> DataFrame:
-    """rid and score: n-grams go to the blocks of the filter and their levels come back."""
+    """rid and score of the slices given: n-grams go to their part of the filter and their levels come back."""
+    blocks, span = model.blocks, SEGMENT * SPAN
 
-    def cut():
+    def probes():
         def work(batch):
-            for seg, field in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = len(field.as_py()) // BLOCK_BYTES
-                data = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((np.arange(rows + 1) * BLOCK_BYTES).astype(np.int32).tobytes()), pa.py_buffer(field.as_py())])
-                yield {"block": seg * SEGMENT + np.arange(rows), "bits": data}
+            for piece, sizes, names, word in zip(*batch.columns):
+                _, _, words, _, both = _unpacked(sizes, names, word)
+                grams = np.sort(np.concatenate([words, np.unique(both)]))  # so blocks ascend
+                at = block_of(grams, blocks) // span
+                start = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                yield {"part": at[start], "piece": np.full(len(start), piece.as_py()), "data": _blobs(grams, np.append(start, len(grams)))}
 
         return work
 
     def read():
-        def work(batch):
-            h = batch.column(2).to_numpy().view(np.uint64)
-            field = np.frombuffer(b"".join(x.as_py() for x in batch.column(3)), np.uint8)
-            level = read_levels(h, np.arange(len(h)), field)
-            yield {"rid": batch.column(0), "at": batch.column(1), "level": level}
-
-        return work
+        held, field = -1, np.zeros((span, BLOCK_BYTES), np.uint8)
 
-    def score():
         def work(batch):
-            out = []
-            for levels, word, pair in zip(*(batch.column(i) for i in (1, 2, 3))):
-                found = np.zeros(max(len(word) * 2, 1), np.int64)
-                if levels.is_valid:
-                    found[pc.struct_field(levels.values, "at").to_numpy()] = pc.struct_field(levels.values, "level").to_numpy()
-                word, pair = word.values.to_numpy(), pair.values.to_numpy()
-                row = np.zeros(len(word), np.int64)
-                out.append(sent.value.log10(row, _firsts(row), word, pair, found, found, 1)[0])
-            yield {"rid": batch.column(0), "score": np.array(out)}
+            nonlocal held
+            parts, pieces, data = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            edges = np.flatnonzero(np.append(True, (parts[1:] != parts[:-1]) | ((pieces[1:] < 0) != (pieces[:-1] < 0))))
+            for a, b in zip(edges, np.append(edges[1:], len(parts))):
+                if parts[a] != held:
+                    held = parts[a]
+                    field[:] = 0
+                got = [np.frombuffer(x.as_buffer(), np.uint8) for x in data[a:b]]
+                if pieces[a] < 0:
+                    for seg, bits in zip(-1 - pieces[a:b], got):
+                        at = int(seg - held * SPAN) * SEGMENT
+                        field[at : at + len(bits) // BLOCK_BYTES] = bits.reshape(-1, BLOCK_BYTES)
+                else:
+                    h = np.concatenate(got).view(np.uint64)
+                    level = read_levels(h, block_of(h, blocks) - held * span, field).astype(np.uint8)
+                    ends = np.cumsum([0] + [len(x) // 8 for x in got])
+                    yield {"piece": pieces[a:b], "part": parts[a:b], "levels": _blobs(level, ends)}
 
         return work
 
+    def score(key, texts: pa.Table, levels: pa.Table) -> pa.Table:
+        rids, sizes, names, word = (texts[k][0] for k in ("rids", "sizes", "names", "word"))
+        row, first, words, at, both = _unpacked(sizes, names, word)
+        pairs, back = np.unique(both, return_inverse=True)
+        found = np.empty(len(words) + len(pairs), np.uint8)
+        sent_back = levels.sort_by("part")["levels"]
+        found[np.argsort(np.concatenate([words, pairs]))] = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in sent_back])
+        rid = np.frombuffer(rids.as_buffer(), np.int64)
+        out = sent.value.log10(row, first, at, back, found[: len(words)], found[len(words) :], len(rid))
+        return pa.table({"rid": rid, "score": out})
+
     sent = part.sparkSession.sparkContext.broadcast(model)
-    blocks = map_batches(model.table, cut, "block bigint, bits binary")
-    probes = part.select("rid", F.posexplode("grams").alias("at", "hash")).withColumn("block", block_of("hash", model.blocks))
-    levels = map_batches(probes.join(blocks, "block").select("rid", "at", "hash", "bits"), read, "rid bigint, at int, level int")
-    levels = levels.filter("level > 0").groupBy("rid").agg(F.collect_list(F.struct("at", "level")).alias("levels"))
-    return map_batches(part.join(levels, "rid", "left").select("rid", "levels", "word", "pair"), score, "rid bigint, score double")
+    texts = part.select(F.col("rid").alias("piece"), "rids", "sizes", "names", "word")
+    grams = map_batches(texts.select("piece", "sizes", "names", "word"), probes, "part bigint, piece bigint, data binary")
+    filled = model.table.select(F.floor(F.col("seg") / SPAN).alias("part"), (-1 - F.col("seg")).alias("piece"), F.col("field").alias("data"))
+    met = filled.union(grams).repartition("part").sortWithinPartitions("part", "piece")  # a part's bits come first
+    levels = map_batches(met, read, "piece bigint, part bigint, levels binary")
+    return texts.groupBy("piece").cogroup(levels.groupBy("piece")).applyInArrow(score, "rid bigint, score double")
 
 
 def score_frame(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
@@ -409,9 +443,11 @@ def score_frame(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     if model.gathered():
         part = _scan(docs, model, "score double", _direct)
     else:
-        part = _scan(docs, model, GRAMS, _grams)
-        scores = stash(_routed(part, model), "scores")
-        part = part.drop("grams", "word", "pair").join(scores, "rid")
+        part, scores = _scan(docs, model, SLICE, _sliced), []
+        for turn in range(ROUNDS):
+            scores.append(stash(_routed(part.filter(F.col("turn") == turn), model), "scores"))
+            release(docs.sparkSession)
+        part = part.drop("turn", "rids", "sizes", "names", "word").join(reduce(DataFrame.union, scores), "rid")
     flat = part.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("hash"), F.col("x.times").alias("times"))
     found = flat.join(counts, "hash").groupBy("rid").agg(F.sum(F.col("times") * F.log10(F.col("count") + F.lit(1.0))).alias("more"), F.sum("times").alias("more_known"))
     total = math.log10(model.n_tokens + model.n_types + 1)

@@ -101,8 +101,12 @@ def drop(*tables: DataFrame | None) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps now; else they stay until the driver collects its garbage."""
+    """Lets Spark delete the shuffle files of finished steps now; else they stay until the driver collects its garbage.
+
+    The scheduler's threads hold the last job they saw, so a tiny one comes first.
+    """
     gc.collect()
+    spark.range(0, 1, 1, 1).collect()
     spark.sparkContext._jvm.System.gc()
 
 

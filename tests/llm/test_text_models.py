@@ -1,12 +1,15 @@
 import collections
 import math
+import pathlib
 import random
+import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
+from stratawell import session
 from stratawell.llm import bytes_np, ngram_lm, quality_cnn, toxicity
 from tests.llm.helpers import awkward, docs, words
 
@@ -104,6 +107,35 @@ def test_scores_do_not_depend_on_the_way_or_on_partitions(spark, monkeypatch):
     assert found[0] == found[1] == found[2]
 
 
+def test_a_filter_too_large_to_send_needs_little_disk(spark, monkeypatch):
+    """Tables and shuffle files at the end of each step, against the text: the n-grams of all texts are never there at once."""
+    r, most = random.Random(3), 0
+    rows = awkward() + [(100 + i, " ".join(f"{r.choice('abcdefgh')}{int(r.expovariate(1 / 400))}" for _ in range(500)), "s") for i in range(600)]
+    frame = docs(spark, rows).repartition(12, "doc_id")
+    folders = [session.shared_folder(spark).removeprefix("file:"), *(str(x) for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs())]
+    on_disk = lambda: sum(f.stat().st_size for d in folders for k in ("*.parquet", "shuffle_*.data") for f in pathlib.Path(d).rglob(k))
+
+    def stash(df, tag):
+        nonlocal most
+        out = session.stash(df, tag)
+        most = max(most, on_disk() - start)
+        return out
+
+    for name, value in (("SEGMENT", 2), ("SPAN", 4), ("stash", stash)):
+        monkeypatch.setattr(ngram_lm, name, value, raising=False)
+    found, peak = [], []
+    for broadcast in (64 << 20, 0):
+        monkeypatch.setattr(ngram_lm, "BROADCAST", broadcast)
+        session.release(spark)
+        time.sleep(1)  # shuffle files go a little later
+        start, most = on_disk(), 0
+        model, counts = ngram_lm.fit(frame.filter(~ngram_lm.held_out()).select("text"))
+        found.append(sorted((x.doc_id or -1, x.n_known, x.score) for x in ngram_lm.score_frame(frame, model, counts).collect()))
+        peak.append(most / sum(len(t or "") for _, t, _ in rows))
+    assert found[0] == found[1] and model.blocks > 16 * 8
+    assert peak[1] < 5
+
+
 def test_language_model_of_nothing(spark):
     frame = docs(spark, awkward()).limit(0)
     model, counts = ngram_lm.fit(frame.select("text"))

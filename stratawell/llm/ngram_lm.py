@@ -96,12 +96,15 @@ def pair_hash(before: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes and the sum of their counts."""
+    """Sorted distinct hashes and the sum of their counts.  Empties parts, so that a worker holds them once."""
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     h, c = (np.concatenate(x) for x in zip(*parts))
+    parts.clear()
     order = np.argsort(h)
-    h, c = h[order], c[order]
+    h = h[order]
+    c = c[order]
+    del order
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
     return h[first], np.add.reduceat(c, first) if len(h) else c
 

@@ -16,8 +16,9 @@ from stratawell.session import stash, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 QUALITY_LEAST, TOXICITY_MOST = 0.5, 0.3
-#: Words a tokenizing worker holds; few, as workers and heaps have grown in the stages before.
-WORDS_HELD = 150_000
+#: Words a tokenizing worker holds and text bytes it learns from at once; few, as workers and heaps have grown in the
+#: stages before.
+WORDS_HELD, BYTES_AT_ONCE = 150_000, 2 << 20
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +47,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of ids and decoded bytes of each row."""
-    return bpe.encode_frame(docs.select(*COLUMNS), with_ids=False, remember=WORDS_HELD)
+    return bpe.encode_frame(docs.select(*COLUMNS), with_ids=False, remember=WORDS_HELD, at_once=BYTES_AT_ONCE)
 
 
 STAGES = [("quality", quality), ("toxicity", toxic), ("minhash", deduplicate), ("mixing", mix), ("bpe", tokens)]

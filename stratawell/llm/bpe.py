@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from stratawell.llm.arrow_map import column, map_batches, to_arrow_schema
+from stratawell.llm.arrow_map import column, map_batches, to_arrow_schema, trim
 from stratawell.session import ship
 
 LONG_WORD, HUGE_WORD = 64, 16 << 10
@@ -46,6 +46,8 @@ LONG_ROWS = 1_000_000
 QUERY_WORK = 6_000_000
 #: Chunks a worker remembers before it forgets those not met lately; a memory bound, results don't depend on it.
 REMEMBER = 800_000
+#: Text bytes whose new chunks are learned at once; a memory bound, as all of them are held at first.
+TEXT_BYTES = 6 << 20
 #: New chunks per DuckDB query; a memory bound.
 QUERY_CHUNKS = 25_000
 #: White space as the split pattern means it (Unicode White_Space).
@@ -275,8 +277,9 @@ class Codec:
 
     def texts(self, texts: list[str | None]) -> Iterator[tuple[int, str, bytes]]:
         """Number of tokens, ids joined by spaces and decoded bytes of each text; new chunks take one query for all texts."""
-        cut = [CHUNK.findall(t) if t else () for t in texts]
-        met: set[str] = set().union(*cut)
+        met: set[str] = set()
+        for t in filter(None, texts):  # each is cut again below: the cuts of all take some twenty times their bytes
+            met.update(CHUNK.findall(t))
         new = met.difference(self.ids)
         met -= new
         if len(self.hot) < self.remember // 2:
@@ -289,7 +292,8 @@ class Codec:
         if new:
             self.learn(sorted(new))
         ids = self.ids.__getitem__
-        for cs in cut:
+        for t in texts:
+            cs = CHUNK.findall(t) if t else ()
             line = " ".join(map(ids, cs))
             back = b"".join([self.odd.get(c, c.encode()) for c in cs]) if self.odd else "".join(cs).encode()
             yield (line.count(" ") + 1 if cs else 0), line, back
@@ -317,11 +321,11 @@ def codec(key: int, table: dict[bytes, int], pattern: str, remember: int | None
     return _codecs[key]
 
 
-def encode_frame(df: DataFrame, ranks_path: str | None = None, pattern: str | None = None, text: str = "text", keys: tuple[str, ...] = ("doc_id",), with_ids: bool = True, remember: int | None = None) -> DataFrame:
+def encode_frame(df: DataFrame, ranks_path: str | None = None, pattern: str | None = None, text: str = "text", keys: tuple[str, ...] = ("doc_id",), with_ids: bool = True, remember: int | None = None, at_once: int | None = None) -> DataFrame:
     """Keys, ids (unless with_ids is false), n_tokens and digests of ids and decoded bytes, a row per row of df.
 
-    The rank table (a fixed vocabulary of about 1 MB) is broadcast.  remember bounds what a worker
-    holds, in place of REMEMBER.
+    The rank table (a fixed vocabulary of about 1 MB) is broadcast.  remember bounds the chunks a
+    worker holds, in place of REMEMBER, and at_once the text bytes it learns from at once, in place of TEXT_BYTES.
     """
     import public_tokenizers
 
@@ -334,9 +338,8 @@ def encode_frame(df: DataFrame, ranks_path: str | None = None, pattern: str | No
 
     def run(batches):
         code, at = codec(key, sent.value, pattern, remember), len(keys)
-        for held in gathered(batches, at):
-            texts = [t for x in held for t in x.column(at).to_pylist()]
-            rows = code.texts(texts)
+        for held in gathered(batches, at, at_once or TEXT_BYTES):
+            rows = code.texts([t for x in held for t in x.column(at).to_pylist()])
             for x in held:
                 got = [next(rows) for _ in range(x.num_rows)]
                 out = [x.column(i) for i in range(at)]
@@ -344,13 +347,15 @@ def encode_frame(df: DataFrame, ranks_path: str | None = None, pattern: str | No
                 if with_ids:
                     out.append([np.array(i.split(), np.int32) for _, i, _ in got])
                 yield pa.RecordBatch.from_arrays([column(v, f.type) for v, f in zip(out, arrow)], schema=arrow)
+            rows = got = out = None
+            trim()
 
     ship(df.sparkSession)
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     return df.select(*[F.col(k) for k in keys], F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
-def gathered(batches, at: int, limit: int = 6 << 20) -> Iterator[list[pa.RecordBatch]]:
+def gathered(batches, at: int, limit: int = TEXT_BYTES) -> Iterator[list[pa.RecordBatch]]:
     """Batches in lists of about limit text bytes, in rows of at most 1000."""
     held, size = [], 0
     for batch in batches:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -26,6 +27,25 @@ def test_bpe_equals_tiktoken(spark):
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_bpe_holds_no_cuts_of_all_texts():
+    c = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    texts = ["a bc de " * 2500] * 200  # 4 MB in 1.5 million chunks, of few kinds
+    tracemalloc.start()
+    try:
+        got = [(n, hashlib.sha256(back).digest()) for n, _, back in c.texts(texts)]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert set(got) == {(got[0][0], hashlib.sha256(texts[0].encode()).digest())}
+    assert peak < 8 << 20  # some 90 MB when the chunks of all texts were held
+
+
+def test_bpe_by_few_bytes_at_once(spark):
+    frame = docs(spark, awkward())
+    plain = sorted(map(repr, bpe.encode_frame(frame, with_ids=False).collect()))
+    assert sorted(map(repr, bpe.encode_frame(frame, with_ids=False, remember=3, at_once=1).collect())) == plain
+
+
 def test_bpe_round_trip_and_forgetting(spark, monkeypatch):
     frame = docs(spark, awkward())
     back = bpe.decode_frame(bpe.encode_frame(frame)).collect()
